@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from skylattice.llm.language import op2_language_id
 from skylattice.llm.packing import op10_packing
 from skylattice.llm.token_counts import op5_token_counts
+from skylattice.llm.toxicity import op1_toxicity
 from skylattice.llm.url_rules import OP3_SQL, op3_url_filters
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op5_token_counts": op5_token_counts,
     "op10_packing": op10_packing,
