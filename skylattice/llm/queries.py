@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skylattice.llm.decontaminate import OP4_SQL, op4_decontamination
 from skylattice.llm.language import op2_language_id
 from skylattice.llm.packing import op10_packing
 from skylattice.llm.token_counts import op5_token_counts
@@ -12,8 +13,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
+    "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL = {"op3_url_filters": OP3_SQL}
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op4_decontamination": OP4_SQL}
