@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skylattice.llm.decontaminate import OP4_SQL, op4_decontamination
 from skylattice.llm.language import op2_language_id
+from skylattice.llm.line_dedup import OP7_SQL, op7_line_dedup
 from skylattice.llm.packing import op10_packing
 from skylattice.llm.token_counts import op5_token_counts
 from skylattice.llm.toxicity import op1_toxicity
@@ -15,7 +16,8 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op4_decontamination": OP4_SQL}
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
