@@ -9,6 +9,7 @@ from skylattice.llm.line_dedup import OP7_SQL, op7_line_dedup
 from skylattice.llm.packing import op10_packing
 from skylattice.llm.token_counts import op5_token_counts
 from skylattice.llm.toxicity import op1_toxicity
+from skylattice.llm.vector_dedup import OP6_SQL, op6_vector_dedup
 from skylattice.llm.url_rules import OP3_SQL, op3_url_filters
 
 QUERIES = {
@@ -17,9 +18,10 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_vector_dedup": op6_vector_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op4_decontamination": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op4_decontamination": OP4_SQL, "op6_vector_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
