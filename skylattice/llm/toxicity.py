@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.shared import small_batches
+from skylattice.llm.shared import small_batches, stored
 from skylattice.llm.textkernel import Block, blocks, byte_class, mix
 
 #: Labelled documents that training reads, at most: those of the smallest hashes.
@@ -86,24 +86,22 @@ def _held_out_rest(doc_id: str = "doc_id", modulus: int = 5):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus)), F.lit(-1))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS, features: int = FEATURES) -> Model:
-    """Train on rows of texts with a label 0 or 1 for the whole document.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = TRAIN_DOCS, features: int = FEATURES) -> Model:
+    """Train on texts of ``docs`` whose ids have a label 0 or 1, for the whole document, in ``labels``.
 
-    At most ``train_docs`` rows are read, those of the smallest hashes of their text and label.
+    At most ``train_docs`` labels are used, those of the smallest hashes of id and label. As they
+    are so few they are broadcast, and only their documents are kept, in shared storage.
     Features are the words and word beginnings whose documents' labels differ most by the
     z-score of their log odds; their number is bounded too. A document is toxic if any of its
     sentences is: P = 1 - (1 - leak) * prod(1 - sigmoid(bias + sum of the sentence's weights)),
     over sentences with a feature; weights maximise the penalised likelihood of the labels.
-    Without labels of both kinds the model scores 0 throughout.
+    Without labels of both kinds the model scores 0 throughout. Null ids, texts and labels are left out.
     """
-    small_batches(labelled.sparkSession)
-    sample = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where("text IS NOT NULL AND y IN (0, 1)")
-    sample = sample.withColumn("h", F.xxhash64("text", "y")).orderBy("h").limit(train_docs).select("h", "y", "text")
-    sample = sample.repartition(64, "h").persist()
-    try:
-        return _fit(sample, features)
-    finally:
-        sample.unpersist()
+    small_batches(docs.sparkSession)
+    chosen = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
+    chosen = chosen.withColumn("h", F.xxhash64("i", "y")).orderBy("h").limit(train_docs)
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return _fit(stored(texts.join(F.broadcast(chosen), "i").select("y", "text"), "toxicity-sample"), features)
 
 
 def _fit(sample: DataFrame, features: int) -> Model:
@@ -158,8 +156,9 @@ def _fit(sample: DataFrame, features: int) -> Model:
                     ["y", "s", "f"],
                 )
 
-    found = sample.select("y", "text").mapInArrow(gather, "y int, s array<int>, f array<int>").toPandas()
-    return _train(hashes, found["y"].to_numpy(float), list(found["s"]), list(found["f"]))
+    found = sample.select("y", "text").mapInArrow(gather, "y int, s array<int>, f array<int>").toArrow()
+    lists = lambda c: [x.values.to_numpy() for x in found.column(c)]
+    return _train(hashes, found.column("y").to_numpy().astype(float), lists("s"), lists("f"))
 
 
 def _train(hashes: np.ndarray, y: np.ndarray, s: list, f: list, steps: int = 300) -> Model:
@@ -219,7 +218,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_held_out_rest() > 0).select("doc_id", "toxic")
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, labels)
     return score(docs, model).select(
         "doc_id", (_held_out_rest() == 0).alias("held_out"), "score", "predicted", "sentences"
     )
