@@ -1,21 +1,65 @@
-"""A corpus pipeline of ordered stages over ``documents``."""
+"""A corpus pipeline of ordered stages over ``documents``.
+
+Every stage but the last returns the columns of documents and works on all rows that the one
+before has kept. Rows with null texts or ids pass the stages that compare texts or ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skylattice.llm.packing import pack
+from skylattice.llm import decontaminate, jaccard_join, language, line_dedup, packing
 from skylattice.llm.shared import stored
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids that a stage broadcasts to drop their rows, at most; beyond them it joins.
+BROADCAST_IDS = 1_000_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those without a letter are rejected, all others stay."""
+    model = language.fit(docs)
+    return language.predict(docs, model).where("lang_pred != 'und'").select(COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that three documents or more hold, but for each line's largest document id."""
+    kept = line_dedup.LineStore(spark).add(docs).dedup(docs)
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document of the smallest id."""
+    found = jaccard_join.JaccardJoin(docs).components()
+    gone = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "near-duplicates")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("runs") == 0).select(COLUMNS)
+
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in sequences of at most 1024."""
+    return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packing)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("benchmark decontamination", decontamination),
+    ("packing", packed),
+]
 
+#: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL: str | None = None
 
 

@@ -163,12 +163,10 @@ def parse(source: str | None) -> Page:
 
 def _looks(node: Node, own: bool) -> Iterator[str]:
     """An element's features."""
-    yield f"tag:{node.tag}"
+    yield f"tag:{node.tag} links:{int(3.99 * min(1.0, node.links / node.chars)) if node.chars else -1}"
     for x in set(node.names):
         yield f"name:{x}"
-    yield f"chars:{min(8, int(math.log2(node.chars + 1)) // 2)}"
-    yield f"links:{int(4 * min(1.0, node.links / node.chars)) if node.chars else -1}"
-    yield f"own:{own}"
+    yield f"chars:{min(8, int(math.log2(node.chars + 1)) // 2)} own:{own}"
 
 
 @dataclass

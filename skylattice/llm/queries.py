@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skylattice.llm.decontaminate import OP4_SQL, op4_decontamination
+from skylattice.llm.html_text import op8_html_extraction
 from skylattice.llm.jaccard_join import op9_jaccard_join
 from skylattice.llm.language import op2_language_id
 from skylattice.llm.line_dedup import OP7_SQL, op7_line_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_vector_dedup": op6_vector_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
