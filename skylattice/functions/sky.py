@@ -67,7 +67,7 @@ def _even_bits(v: Column, order: int) -> Column:
     return out
 
 
-def _let(then, **values: Column) -> Column:
+def let(then, **values: Column) -> Column:
     """``then`` of a struct of named values, each computed once and not wherever it is used: expressions stay small."""
     return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), then)[0]
 
@@ -90,7 +90,7 @@ def nest_to_lonlat(order: int, ipix: Column, dx: Column | float = 0.5, dy: Colum
     def plane(s: Column) -> Column:
         # base pixels stand on a grid of half steps: column 2 (face mod 4), one more in the polar rows
         column = 2 * s["face"].bitwiseAND(F.lit(3).cast("long")) + F.when(s["row"] == 1, 0).otherwise(1)
-        return _let(sphere, t=(column.cast("double") + s["p"] - s["q"]) * (_PI / 4), u=(s["p"] + s["q"] - s["row"].cast("double")) * (_PI / 4))
+        return let(sphere, t=(column.cast("double") + s["p"] - s["q"]) * (_PI / 4), u=(s["p"] + s["q"] - s["row"].cast("double")) * (_PI / 4))
 
     def sphere(s: Column) -> Column:
         t, u = s["t"], s["u"]
@@ -101,7 +101,7 @@ def nest_to_lonlat(order: int, ipix: Column, dx: Column | float = 0.5, dy: Colum
         phi = F.when(middle, t).otherwise(t - turn)
         return F.struct(F.pmod(F.degrees(phi), F.lit(360.0)).alias("lon"), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z)))).alias("lat"))
 
-    return _let(plane, face=face, row=F.floor(face / 4).cast("long"), p=(ix.cast("double") + dx) / n, q=(iy.cast("double") + dy) / n)
+    return let(plane, face=face, row=F.floor(face / 4).cast("long"), p=(ix.cast("double") + dx) / n, q=(iy.cast("double") + dy) / n)
 
 
 def lonlat_to_nest(order: int, lon: Column, lat: Column) -> Column:
@@ -113,26 +113,26 @@ def lonlat_to_nest(order: int, lon: Column, lat: Column) -> Column:
         sigma = F.signum(z) * (2.0 - F.sqrt(3.0 * (1.0 - F.abs(z))))
         middle = F.abs(z) <= 2.0 / 3.0
         t = F.when(middle, phi).otherwise(phi - (F.abs(sigma) - 1.0) * (F.pmod(phi, F.lit(_PI / 2)) - _PI / 4))
-        return _let(edges, t=t / (_PI / 2), u=F.when(middle, 0.75 * z).otherwise(sigma / 2.0))
+        return let(edges, t=t / (_PI / 2), u=F.when(middle, 0.75 * z).otherwise(sigma / 2.0))
 
     def edges(s: Column) -> Column:
         # steps along both edges of base pixels; the equatorial faces lie where both are in the same step
-        return _let(steps, a=s["t"] + s["u"] + 0.5, b=s["t"] - s["u"] + 0.5)
+        return let(steps, a=s["t"] + s["u"] + 0.5, b=s["t"] - s["u"] + 0.5)
 
     def steps(s: Column) -> Column:
         fa, fb = F.floor(s["a"]), F.floor(s["b"])
         face = F.when(fa == fb, F.pmod(fa, F.lit(4)) + 4).when(fa > fb, F.pmod(fb, F.lit(4))).otherwise(F.pmod(fa, F.lit(4)) + 8)
-        return _let(cells, face=face.cast("long"), x=(s["a"] - fa) * n, y=(1.0 - s["b"] + fb) * n)
+        return let(cells, face=face.cast("long"), x=(s["a"] - fa) * n, y=(1.0 - s["b"] + fb) * n)
 
     def cells(s: Column) -> Column:
         inside = lambda v: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(v))).cast("long")
-        return _let(pixel, face=s["face"], x=s["x"], y=s["y"], ix=inside(s["x"]), iy=inside(s["y"]))
+        return let(pixel, face=s["face"], x=s["x"], y=s["y"], ix=inside(s["x"]), iy=inside(s["y"]))
 
     def pixel(s: Column) -> Column:
         ipix = F.shiftleft(s["face"], 2 * order) + _spread_bits(s["ix"], order) + F.shiftleft(_spread_bits(s["iy"], order), 1)
         return F.struct(ipix.alias("ipix"), (s["x"] - s["ix"]).alias("x"), (s["y"] - s["iy"]).alias("y"))
 
-    return _let(plane, z=F.sin(F.radians(lat)), phi=F.pmod(F.radians(lon), F.lit(2 * _PI)))
+    return let(plane, z=F.sin(F.radians(lat)), phi=F.pmod(F.radians(lon), F.lit(2 * _PI)))
 
 
 def nest_to_ring(order: int, ipix: Column) -> Column:
@@ -143,7 +143,7 @@ def nest_to_ring(order: int, ipix: Column) -> Column:
 
     def ring(s: Column) -> Column:
         base = 2 * s["face"].bitwiseAND(F.lit(3).cast("long")) + F.when(s["row"] == 1, 0).otherwise(1)
-        return _let(place, base=base, ring=(s["row"] + 2) * n - s["ix"] - s["iy"] - 1, step=s["ix"] - s["iy"])
+        return let(place, base=base, ring=(s["row"] + 2) * n - s["ix"] - s["iy"] - 1, step=s["ix"] - s["iy"])
 
     def place(s: Column) -> Column:
         r = s["ring"]
@@ -151,13 +151,13 @@ def nest_to_ring(order: int, ipix: Column) -> Column:
         size = F.when(north, r).when(south, 4 * n - r).otherwise(F.lit(n))
         before = F.when(north, 2 * r * (r - 1)).when(south, total - 2 * (4 * n - r + 1) * (4 * n - r)).otherwise(2 * n * (n - 1) + 4 * n * (r - n))
         odd = F.when(north | south, F.lit(0)).otherwise((r - n).bitwiseAND(F.lit(1).cast("long")))
-        return _let(number, before=before, size=size, at=F.floor((s["base"] * size + s["step"] + 1 + odd) / 2))
+        return let(number, before=before, size=size, at=F.floor((s["base"] * size + s["step"] + 1 + odd) / 2))
 
     def number(s: Column) -> Column:
         at = F.when(s["at"] > 4 * s["size"], s["at"] - 4 * s["size"]).when(s["at"] < 1, s["at"] + 4 * s["size"]).otherwise(s["at"])
         return (s["before"] + at - 1).cast("long")
 
-    return _let(ring, face=face, row=F.floor(face / 4).cast("long"), ix=ix, iy=iy)
+    return let(ring, face=face, row=F.floor(face / 4).cast("long"), ix=ix, iy=iy)
 
 
 def max_pixel_radius(order: int) -> float:

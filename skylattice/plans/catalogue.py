@@ -570,3 +570,128 @@ def xisf_compression_parse(spark, d):
     even = F.col("p_size") % 2 == 0
     c = text.compression(F.concat(F.lit("zlib"), F.when(even, "+sh").otherwise(""), F.lit(":"), (F.col("p_partkey") * 2).cast("string"), F.when(even, ":2").otherwise("")))
     return table(spark, d, "part").select("p_partkey", c["codec"].alias("codec"), c["shuffled"].alias("shuffled"), c["size"].alias("size"), c["item"].alias("item"))
+
+
+@query("SELECT p_partkey, p_name, p_size, round(p_retailprice, 2) AS price FROM part")
+def xisf_table_cells(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("int"), "p_retailprice")
+    cells = arrow.read_xisf(arrow.write_xisf_tables(rows, "PARTS", ["UInt64", "String", "Int32", "Float64"]), "cells")
+    of = lambda name, c: F.max(F.when(F.col("field_id") == name, F.col(c)))
+    wide = cells.groupBy("path", "row").agg(
+        of("p_partkey", "value_exact").cast("long").alias("p_partkey"), of("p_name", "value_str").alias("p_name"), of("p_size", "value_exact").cast("int").alias("p_size"),
+        F.round(of("p_retailprice", "value_num"), 2).alias("price"),
+    )
+    return wide.drop("path", "row")
+
+
+@query("SELECT o_orderkey, c_mktsegment AS value FROM orders JOIN customer ON o_custkey = c_custkey")
+def xisf_uid_join(spark, d):
+    refs = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("uid"))
+    elements = table(spark, d, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("value"))
+    return refs.join(elements, "uid").select("o_orderkey", "value")
+
+
+@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, sha256(coalesce(text, '')) AS digest FROM documents")
+def xisb_roundtrip(spark, d):
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from skylattice.formats import xisf
+
+    def trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(1).to_pylist()
+            file = xisf.build_index([(x, len(x)) for x in data])
+            index = xisf.parse_index(file)
+            out = [file[index[i + 1][0] : index[i + 1][0] + index[i + 1][1]] for i in range(len(data))]
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "raw"])
+
+    rows = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).mapInArrow(trip, "doc_id long, raw binary")
+    return rows.select("doc_id", F.length("raw").cast("long").alias("n"), F.sha2("raw", 256).alias("digest"))
+
+
+def _event_sequences(spark, d) -> DataFrame:
+    rows = _events(spark, d).select("user_id", "frame", F.col("ticks").alias("ts_ticks"), F.array((F.col("event_id") % 65536).cast("int"), (F.col("user_id") % 256).cast("int")).alias("samples"))
+    return arrow.write_ser(rows, "user_id", 2, 1, 16)
+
+
+_SEQUENCE_SQL = f"SELECT CAST(user_id AS VARCHAR) AS path, CAST(frame AS INTEGER) AS frame, {{ticks}} AS ts_ticks, CAST(event_id % 65536 AS INTEGER) AS s0, CAST(user_id % 256 AS INTEGER) AS s1 FROM ({_TICKS})"
+
+
+def _conversion_query(name: str, *way: str) -> None:
+    def run(spark, d):
+        back = arrow.read_ser_frames(arrow.convert(_event_sequences(spark, d), *way))
+        return back.select("path", "frame", F.col("ts_ticks").cast("long").alias("ts_ticks"), F.col("samples")[0].alias("s0"), F.col("samples")[1].alias("s1"))
+
+    exact = "CAST(ticks AS BIGINT)"
+    query(_SEQUENCE_SQL.format(ticks=exact), name)(run)
+
+
+_conversion_query("convert_ser_fits_ser", "ser", "fits", "ser")
+_conversion_query("convert_ser_xisf_ser", "ser", "xisf", "ser")
+
+
+@query(_RASTER_SQL.format(value="count(*)"))
+def convert_fits_xisf_fits(spark, d):
+    image = arrow.write_images(_raster(spark, d).withColumn("pixels", F.transform("pixels", lambda v: v - 32768)), 16, bscale=1.0, bzero=32768.0)
+    return images.pixels(arrow.read_frames(arrow.convert(image, "fits", "xisf", "fits"))).where("value != 0").select("x", "y", "value")
+
+
+@query("""WITH g AS (SELECT x, y, CAST(100 + x + 10 * y AS DOUBLE) AS v FROM (SELECT unnest(range(32)) AS x) a CROSS JOIN (SELECT unnest(range(16)) AS y) b),
+  t AS (SELECT i // 64 AS ipix, i % 8 AS px, i // 8 % 8 AS py FROM (SELECT unnest(range(768)) AS i)),
+  u AS (SELECT ipix, px, py, 2 * (ipix % 4) + CASE ipix // 4 WHEN 1 THEN 0 ELSE 1 END + (px - py) / 8.0 AS t, (px + 0.5) / 8 + (py + 0.5) / 8 - ipix // 4 AS u FROM t),
+  s AS (SELECT ipix, px, py, CASE WHEN abs(u) <= 1 THEN 2 * u / 3 ELSE sign(u) * (1 - (2 - abs(u)) * (2 - abs(u)) / 3) END AS z,
+    CASE WHEN abs(u) <= 1 THEN t * 45 ELSE t * 45 - (abs(u) - 1) / (abs(u) - 2) * ((t * 45) % 90 - 45) END AS lon FROM u),
+  p AS (SELECT ipix, px, py, (((lon + 360) % 360 - 0.13 + 540) % 360 - 180) / -0.5 + 15.5 AS x, (degrees(asin(z)) - 0.17) / 0.5 + 7.5 AS y FROM s)
+  SELECT ipix, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, v AS value FROM p JOIN g ON g.x = floor(p.x + 0.5) AND g.y = floor(p.y + 0.5)""")
+def hips_reproject_nearest(spark, d):
+    import numpy as np
+
+    from skylattice.plans import pyramids
+
+    y, x = np.mgrid[0:16, 0:32]
+    wcs = (16.5, 8.5, 0.13, 0.17, -0.5, 0.0, 0.0, 0.5)
+    tiles = pyramids.build_tiles(spark, (100.0 + x + 10 * y)[None], wcs, order=1, min_order=0, tile_width=8, interpolation="nearest").where("order = 0")
+    px = tiles.select("ipix", F.posexplode("data").alias("i", "v")).where(~F.isnan("v"))
+    return px.select("ipix", (F.col("i") % 8).cast("int").alias("px"), F.floor(F.col("i") / 8).cast("int").alias("py"), F.col("v").cast("double").alias("value"))
+
+
+@query()
+def hips_cutout_nearest(spark, d):
+    from skylattice.plans import pyramids
+
+    tiles = table(spark, d, "embeddings").where("vec_id < 48").select(F.lit(1).alias("order"), F.col("vec_id").alias("ipix"), F.lit(8).alias("width"), F.lit(1).alias("depth"), F.col("embedding").alias("data"))
+    return pyramids.cutout(tiles, (16.5, 16.5, 40.0, 10.0, -0.7, 0.0, 0.0, 0.7), 32, 32, 1, "nearest")
+
+
+@query("""SELECT 'error' AS level, 'TILE_FORMAT_UNDECLARED' AS code, 'Norder5/Dir' || (i // 10000) * 10000 || '/Npix' || i || '.png' AS subject FROM (SELECT DISTINCT l_partkey AS i FROM lineitem) WHERE i % 10 = 0
+  UNION ALL VALUES ('warning', 'ALLSKY_MISSING', 'Allsky'), ('warning', 'MOC_MISSING', 'Moc.fits'), ('warning', 'PROPERTY_WARNING', 'hips_status'), ('warning', 'PROPERTY_WARNING', 'hips_release_date')""")
+def hips_lint(spark, d):
+    from skylattice.formats import hips
+    from skylattice.plans import pyramids
+
+    i = table(spark, d, "lineitem").select(F.col("l_partkey").alias("i")).distinct()
+    files = i.select(F.when(F.col("i") % 10 == 0, text.tile_path(F.lit(5), "i", "png")).otherwise(text.tile_path(F.lit(5), "i")).alias("path"))
+    values = hips.default_properties(creator_did="ivo://x/y", obs_title="t", hips_order="6", hips_tile_width="64", hips_tile_format="fits")
+    return pyramids.lint(files, hips.format_properties(values))
+
+
+@query("SELECT p_partkey, p_size & (p_size - 1) <> 0 AS bad_width, p_size % 2 = 0 AS missing_title FROM part")
+def hips_properties_validate(spark, d):
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from skylattice.formats import hips
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for size in batch.column(1).to_pylist():
+                values = hips.default_properties(creator_did="a", obs_title="" if size % 2 == 0 else "t", hips_order="3", hips_tile_width=str(size), hips_tile_format="fits")
+                found.append({(c, k) for _, c, k in hips.check_properties(values)})
+            bad, missing = ([x in f for f in found] for x in (("INVALID_PROPERTY", "hips_tile_width"), ("MISSING_PROPERTY", "obs_title")))
+            yield pa.record_batch([batch.column(0), pa.array(bad), pa.array(missing)], ["p_partkey", "bad_width", "missing_title"])
+
+    return table(spark, d, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, bad_width boolean, missing_title boolean")

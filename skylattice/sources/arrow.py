@@ -232,3 +232,73 @@ def write_ser(frames: DataFrame, key: str, width: int, height: int, pixel_depth:
         return pa.table({"path": [str(name[0].as_py())], "content": pa.array([data], pa.binary())})
 
     return frames.groupBy(key).applyInArrow(run, "path string, content binary")
+
+
+def convert(files: DataFrame, *way: str) -> DataFrame:
+    """(path, content) of each file converted through formats, such as "ser", "fits", "xisf"."""
+    from skylattice.formats.convert import convert as one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.record_batch([pa.array([path]), pa.array([one(content, way)], pa.binary())], ["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
+XISF_IMAGES = (
+    "path string, image int, id string, geometry array<long>, channel_count int, sample_format string, pixel_storage string, color_space string, "
+    "bounds array<double>, byte_order string, data binary"
+)
+_VALUES = "value_str string, value_num double, value_exact decimal(20,0), vec array<double>, rows int, cols int"
+XISF_PROPERTIES = f"path string, scope string, image int, id string, type string, format string, comment string, {_VALUES}"
+XISF_CELLS = f"path string, table_id string, row int, pos int, field_id string, type string, {_VALUES}"
+XISF_KEYWORDS = "path string, image int, name string, value string, comment string"
+
+
+def read_xisf(files: DataFrame, view: str = "images", strict: bool = True, verify: bool = True, decode_images: bool = True) -> DataFrame:
+    """images, properties, cells or keywords of XISF units."""
+    from skylattice.formats import xisf
+
+    def rows(path: str, data: bytes) -> Iterator[dict]:
+        unit = xisf.read(data, strict=strict, verify=verify, decode_images=decode_images and view == "images")
+        if view == "images":
+            for i, x in enumerate(unit.images):
+                yield {
+                    "path": path, "image": i, "id": x.id, "geometry": x.geometry, "channel_count": x.channels, "sample_format": x.sample_format,
+                    "pixel_storage": x.pixel_storage, "color_space": x.color_space, "bounds": list(x.bounds) if x.bounds else None, "byte_order": x.byte_order, "data": x.data,
+                }
+        elif view == "properties":
+            scopes = [("metadata", None, unit.metadata), ("unit", None, unit.properties), *(("image", i, x.properties) for i, x in enumerate(unit.images))]
+            for scope, i, some in scopes:
+                for p in some:
+                    yield {"path": path, "scope": scope, "image": i, "id": p.id, "type": p.type, "format": p.format, "comment": p.comment, **xisf.value_columns(p)}
+        elif view == "cells":
+            for t in unit.tables:
+                for r, cells in enumerate(t.rows):
+                    for pos, p in enumerate(cells):
+                        yield {"path": path, "table_id": t.id, "row": r, "pos": pos, "field_id": p.id, "type": p.type, **xisf.value_columns(p)}
+        else:
+            for i, x in enumerate(unit.images):
+                for name, value, comment in x.keywords:
+                    yield {"path": path, "image": i, "name": name, "value": value, "comment": comment}
+
+    return _emit(files, {"images": XISF_IMAGES, "properties": XISF_PROPERTIES, "cells": XISF_CELLS, "keywords": XISF_KEYWORDS}[view], rows)
+
+
+def write_xisf_tables(df: DataFrame, table_id: str, kinds: Sequence[str]) -> DataFrame:
+    """(path, content): a unit per batch of rows, with the columns of ``df`` as the fields of one table."""
+    from skylattice.formats import xisf
+
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            rows = [[xisf.Property(n, k, v) for n, k, v in zip(names, kinds, r, strict=True)] for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            unit = xisf.Unit(tables=[xisf.Table(table_id, list(zip(names, kinds, strict=True)), rows)])
+            yield pa.record_batch([[f"part-{part}-{i}.xisf"], pa.array([xisf.write(unit)], pa.binary())], ["path", "content"])
+
+    return df.mapInArrow(run, "path string, content binary")
