@@ -12,7 +12,8 @@ The steps, each linear in its input but for what is said of it:
 4. Crowded shingles, which over CROWD sets share, are not paired outright: their sets are dealt
    to blocks of bounded size with some members in common, and each block is joined by a prefix
    tree. Then only pairs are candidates that no chain of links connects yet.
-5. Candidates whose counts of shingles by hash cell rule the similarity out are dropped; the rest
+5. Candidates that share too few prefix shingles, or whose counts of shingles by hash cell rule the
+   similarity out, are dropped; the rest
    is grouped around common neighbours, each group's sets are stored in a prefix tree once, and
    the tree gives the exact overlaps.
 6. Components of all links.
@@ -39,7 +40,7 @@ PERCENT = 75
 FREQUENT_DOCS = 50
 FREQUENT_SHARE = 1000
 #: Sets that share a shingle of their prefixes, beyond which it counts as crowded.
-CROWD = 128
+CROWD = 256
 #: Sets in a block of a crowded shingle.
 BLOCK_SETS = 256
 #: Rows of a crowded shingle that meet in one task.
@@ -214,7 +215,7 @@ class JaccardJoin:
         return self._map(run, "shard int, t binary, d binary, p binary, s binary, n binary").repartition(count, "shard")
 
     def _candidates(self, shards: DataFrame) -> DataFrame:
-        """(token, a, b, na, nb, pa, pb): candidate pairs a < b (token null), and the rows of crowded shingles (b null)."""
+        """(token, a, b, n, pos): candidate pairs and how many prefix shingles they share here (token null), and the rows of crowded shingles (b null)."""
         percent, crowd = self.percent, self.crowd
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,7 @@ class JaccardJoin:
                 t, s, n, p = (np.concatenate(x) for x in zip(*parts.pop(k), strict=True))
                 yield from _pairs_of(t, s, n, p, percent, crowd)
 
-        return shards.mapInArrow(run, "token long, a long, b long, na long, nb long, pa long")
+        return shards.mapInArrow(run, "token long, a long, b long, n long, pos long")
 
     # -- sets
 
@@ -345,26 +346,38 @@ class JaccardJoin:
         found = stored(self._candidates(self._shards(self._frequent())), "jaccard-candidates")
         names = self.classes.select("sid", "rep")
         pairs = (
-            found.where("token IS NULL").select("a", "b").distinct()
+            found.where("token IS NULL").groupBy("a", "b").agg(F.sum("n").alias("c"))
             .join(names.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
             .join(names.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "c")
         )
-        crowded = found.where("token IS NOT NULL").select("token", F.col("a").alias("sid"), F.col("na").alias("n"), F.col("pa").alias("pos"))
+        crowded = found.where("token IS NOT NULL").select("token", F.col("a").alias("sid"), "n", "pos")
         crowded = stored(crowded.join(names, "sid").select("token", "rep", "n", "pos"), "jaccard-crowded")
         early = stored(self._crowd_links(crowded), "jaccard-crowd-links")
         labels = components(early)
-        pairs = pairs.union(self._crowd_pairs(crowded, labels))
+        pairs = pairs.unionByName(self._crowd_pairs(crowded, labels).withColumn("c", F.lit(0).cast("long")))
         # no need to look at what is connected already
         of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca IS NULL OR cb IS NULL OR ca != cb").select("a", "b").distinct()
-        pairs = stored(self._sifted(pairs), "jaccard-pairs")
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca IS NULL OR cb IS NULL OR ca != cb")
+        pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
+        pairs = stored(self._sifted(pairs, crowded.groupBy("rep").agg(F.count("*").alias("k"))), "jaccard-pairs")
         return early.union(self._verified(pairs))
 
-    def _sifted(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose counts by hash cell allow enough overlap."""
+    def _sifted(self, pairs: DataFrame, crowded: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose shared prefix shingles, and whose counts by hash cell, allow enough overlap.
+
+        Up to where the first of both prefixes ends, the sets share the c shingles that were
+        counted and at most as many crowded ones as either prefix has; what lies beyond in the
+        set of that prefix is all that can be added.
+        """
         percent = self.percent
-        of = lambda side: self.classes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("cells").alias(f"v{side}"))
+        of = lambda side: (
+            self.classes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("cells").alias(f"v{side}"))
+            .join(crowded.select(F.col("rep").alias(side), F.col("k").alias(f"k{side}")), side, "left")
+        )
+        beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+        most = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(beyond("na"), beyond("nb"))
+        rich = pairs.join(of("a"), "a").join(of("b"), "b").where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -374,7 +387,7 @@ class JaccardJoin:
                 keep = ((100 + percent) * bound >= percent * (na + nb)) | (np.maximum(na, nb) > 65535)
                 yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+        return rich.mapInArrow(run, "a long, b long")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs that are similar, by groups that share neighbours; a group has about GROUP_PAIRS pairs, or is cut."""
@@ -404,7 +417,7 @@ def _possible(na, nb, pa_, pb, percent: int) -> np.ndarray:
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * overlap >= percent * (na + nb))
 
 
-_ROW = ["token", "a", "b", "na", "nb", "pa"]
+_ROW = ["token", "a", "b", "n", "pos"]
 
 
 def _pairs_of(t, s, n, p, percent: int, crowd: int) -> Iterator[pa.RecordBatch]:
@@ -420,8 +433,10 @@ def _pairs_of(t, s, n, p, percent: int, crowd: int) -> Iterator[pa.RecordBatch]:
     for g in big.tolist():
         a, z = starts[g], starts[g] + sizes[g]
         null = pa.nulls(z - a, pa.int64())
-        yield pa.record_batch([pa.array(t[a:z].view(np.int64)), pa.array(s[a:z]), null, pa.array(n[a:z]), null, pa.array(p[a:z])], _ROW)
-    found: list[np.ndarray] = []
+        yield pa.record_batch([pa.array(t[a:z].view(np.int64)), pa.array(s[a:z]), null, pa.array(n[a:z]), pa.array(p[a:z])], _ROW)
+    names, local = np.unique(s, return_inverse=True)
+    local = local.astype(np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
     for size in np.unique(sizes[(sizes > 1) & (sizes <= crowd)]).tolist():
         some = starts[sizes == size]
@@ -431,17 +446,25 @@ def _pairs_of(t, s, n, p, percent: int, crowd: int) -> Iterator[pa.RecordBatch]:
             a = (some[i : i + step, None] + left[None, :]).ravel()
             b = (some[i : i + step, None] + right[None, :]).ravel()
             ok = _possible(n[a], n[b], p[a], p[b], percent)
-            found.append(np.stack([s[a[ok]], s[b[ok]]], 1))
-            count += len(found[-1])
+            key = local[a[ok]] << np.uint64(32) | local[b[ok]]  # a's sid is the smaller: rows of a shingle are in their order
+            found.append((key, np.ones(len(key), np.int64)))
+            count += len(key)
             if count > 4_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
+                found = [_summed(found)]
                 count = 0
     if found:
-        pairs = np.unique(np.concatenate(found), axis=0)
-        for i in range(0, len(pairs), 100_000):
-            part = pairs[i : i + 100_000]
+        key, times = _summed(found)
+        for i in range(0, len(key), 100_000):
+            part = key[i : i + 100_000]
             null = pa.nulls(len(part), pa.int64())
-            yield pa.record_batch([null, pa.array(part[:, 0]), pa.array(part[:, 1]), null, null, null], _ROW)
+            left, right = names[(part >> np.uint64(32)).astype(np.int64)], names[(part & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            yield pa.record_batch([null, pa.array(left), pa.array(right), pa.array(times[i : i + 100_000]), null], _ROW)
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    keys, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(which, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
