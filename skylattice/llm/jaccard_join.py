@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.jaccard_trie import Trie, all_links
 from skylattice.llm.shared import components, small_batches, stored
-from skylattice.llm.textkernel import Block, blocks, byte_class, grams
+from skylattice.llm.textkernel import Block, blocks, byte_class, grams, mix
 
 WORDS = 5
 PERCENT = 75
 #: A shingle is frequent if this many documents hold it, and one in FREQUENT_SHARE.
-FREQUENT_DOCS = 50
-FREQUENT_SHARE = 1000
+FREQUENT_DOCS = 32
+FREQUENT_SHARE = 16_000
 #: Sets that share a shingle of their prefixes, beyond which it counts as crowded.
-CROWD = 256
+CROWD = 32
 #: Sets in a block of a crowded shingle.
 BLOCK_SETS = 256
 #: Rows of a crowded shingle that meet in one task.
@@ -51,6 +51,8 @@ SHARD_TOKENS = 1_000_000
 GROUP_PAIRS = 4096
 #: Set ids that are broadcast to fetch sets, at most; beyond them the sets are fetched by joins.
 FETCH_ROWS = 1_000_000
+#: Hash functions whose least values bring sets with crowded shingles together.
+MINS = 4
 #: Hash cells of the counts that rule out candidates.
 CELLS = 64
 
@@ -79,6 +81,11 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _mins(x: np.ndarray) -> list[int]:
+    """The least of a set's shingles by each of MINS hash functions."""
+    return [int(mix(x ^ np.uint64(0x9E37 * (i + 1))).min().view(np.int64)) if len(x) else 0 for i in range(MINS)]
+
+
 def _cells(x: np.ndarray) -> bytes:
     return np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
 
@@ -94,7 +101,7 @@ class JaccardJoin:
         self.rows = stored(self._rows(), "jaccard-rows")
         known = self.rows.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = stored(
-            known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), "jaccard-classes"
+            known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("mins").alias("mins")), "jaccard-classes"
         )
         total = self.rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
         self.n_docs, self.n_tokens = total["docs"], total["tokens"]
@@ -109,11 +116,11 @@ class JaccardJoin:
             for batch in batches:
                 sets = [x for block in blocks(batch.column(1)) for x in _sets(block, words)]
                 yield pa.record_batch(
-                    [batch.column(0), pa.array([_sid(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_cells(x) for x in sets], pa.binary())],
-                    ["doc_id", "sid", "n", "cells"],
+                    [batch.column(0), pa.array([_sid(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_cells(x) for x in sets], pa.binary()), pa.array([_mins(x) for x in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "sid", "n", "cells", "mins"],
                 )
 
-        return self._map(run, "doc_id long, sid long, n long, cells binary")
+        return self._map(run, "doc_id long, sid long, n long, cells binary, mins array<long>")
 
     # -- order
 
@@ -272,14 +279,21 @@ class JaccardJoin:
     # -- crowded shingles
 
     def _crowd_links(self, rows: DataFrame) -> DataFrame:
-        """(a, b): links within blocks of the sets that meet at crowded shingles. rows: token, rep, n, pos."""
-        first = rows.groupBy("rep").agg(F.min_by("token", "pos").alias("token"))
-        counts = first.groupBy("token").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+        """(a, b): links of sets that meet at crowded shingles. rows: token, rep, n, pos.
+
+        Sets whose least hash is the same by one of MINS functions are dealt to blocks of bounded
+        size, each with two members in common with the other blocks of that hash. Similar sets
+        share most of these, so what belongs together is connected here, and the exact steps
+        that follow have little left to do.
+        """
+        mins = self.classes.select("rep", F.posexplode("mins").alias("r", "m")).join(rows.select("rep").distinct(), "rep", "left_semi")
+        cell = mins.select("rep", F.xxhash64("r", "m").alias("cell"))
+        counts = cell.groupBy("cell").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1")
         parts = counts.withColumn("parts", F.ceil(F.col("c") / BLOCK_SETS).cast("int"))
-        name = lambda part: F.xxhash64("token", part).alias("block")
-        dealt = first.join(parts.select("token", "parts"), "token").select(name(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "rep")
-        anchors = parts.select("token", F.array("lo", "hi").alias("reps"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        anchors = anchors.select("token", F.explode("reps").alias("rep"), "part").select(name(F.col("part")), "rep")
+        name = lambda part: F.xxhash64("cell", part).alias("block")
+        dealt = cell.join(parts.select("cell", "parts"), "cell").select(name(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "rep")
+        anchors = parts.select("cell", F.array("lo", "hi").alias("reps"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        anchors = anchors.select("cell", F.explode("reps").alias("rep"), "part").select(name(F.col("part")), "rep")
         wanted = stored(dealt.union(anchors).distinct(), "jaccard-blocks")
         return self._joined(self._blocks_of_sets(wanted), None)
 
@@ -315,6 +329,7 @@ class JaccardJoin:
         """(a, b): candidates at crowded shingles whose sets no chain of links connects. Rows of a shingle meet CROWD_ROWS at a time."""
         percent = self.percent
         rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rows = rows.join(rows.groupBy("rep").agg(F.collect_list("token").alias("all")), "rep").join(self.classes.select("rep", "cells"), "rep")
         # a shingle whose sets are all connected has no candidates
         spread = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
         spread = spread.select("token", F.ceil(F.col("c") / CROWD_ROWS).cast("int").alias("parts"))
@@ -322,17 +337,23 @@ class JaccardJoin:
         # part i meets part j in task (i, j), i <= j
         rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.select(
-            "token", "rep", "n", "pos", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j")
-        ).repartition("token", "i", "j")
+            "token", "rep", "n", "pos", "component", "all", "cells", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j")
+        )
 
         def run(key, table):
             rep, n, pos, label, part = (table.column(c).to_numpy() for c in ("rep", "n", "pos", "component", "part"))
+            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2").reshape(-1, CELLS)
+            token = table.column("token")[0].as_py()
+            before = [frozenset(t for t in some if t < token) for some in table.column("all").to_pylist()]
             left = np.flatnonzero(part == table.column("i")[0].as_py())
             right = np.flatnonzero(part == table.column("j")[0].as_py())
             out = []
             for a in left.tolist():
                 b = right[label[right] != label[a]]
                 b = b[_possible(n[a], n[b], pos[a], pos[b], percent)]
+                b = b[_cells_allow(cells[a], cells[b], n[a], n[b], percent)]
+                # a pair comes from the first of the crowded shingles that it shares
+                b = np.array([k for k in b.tolist() if before[a].isdisjoint(before[k])], np.int64)
                 out.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], 1))
             found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
             return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
@@ -383,8 +404,7 @@ class JaccardJoin:
             for batch in batches:
                 na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
                 va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS) for c in ("va", "vb"))
-                bound = np.minimum(va, vb).sum(axis=1, dtype=np.int64)
-                keep = ((100 + percent) * bound >= percent * (na + nb)) | (np.maximum(na, nb) > 65535)
+                keep = _cells_allow(va, vb, na, nb, percent)
                 yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
         return rich.mapInArrow(run, "a long, b long")
@@ -417,6 +437,12 @@ def _possible(na, nb, pa_, pb, percent: int) -> np.ndarray:
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * overlap >= percent * (na + nb))
 
 
+def _cells_allow(va, vb, na, nb, percent: int) -> np.ndarray:
+    """Whether the counts of two sets' shingles by hash cell leave enough overlap possible; counts stop at 65535."""
+    bound = np.minimum(va, vb).sum(axis=1, dtype=np.int64)
+    return ((100 + percent) * bound >= percent * (na + nb)) | (np.maximum(na, nb) > 65535)
+
+
 _ROW = ["token", "a", "b", "n", "pos"]
 
 
