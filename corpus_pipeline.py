@@ -20,8 +20,13 @@ BROADCAST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter are rejected, all others stay."""
+    """Documents whose language can be told: those without a letter are rejected, all others stay.
+
+    Where no document has a language to learn from, none can be told and all stay.
+    """
     model = language.fit(docs)
+    if not model.languages:
+        return docs.select(COLUMNS)
     return language.predict(docs, model).where("lang_pred != 'und'").select(COLUMNS)
 
 

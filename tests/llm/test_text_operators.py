@@ -200,6 +200,16 @@ def test_lines_go_and_come_back(spark, options):
     check(store, texts)
 
 
+def test_lines_of_an_empty_table(spark):
+    from skylattice.llm.line_dedup import LineStore
+
+    none = docs_of(spark, [])
+    store = LineStore(spark).add(none)
+    assert store.dedup(none).count() == 0
+    assert store.dedup(docs_of(spark, [None, "a\nb"])).count() == 2
+    assert store.add(docs_of(spark, ["a line that is long enough to count"] * 3)).remove(none).refs().count() == 1
+
+
 def test_cuckoo_filter_keeps_what_it_holds():
     from skylattice.llm.cuckoo import CuckooFilter, build
 
