@@ -186,6 +186,14 @@ def wcs_of(header: fits.Header) -> Wcs:
     return (*(float(header.number(k)) for k in ("CRPIX1", "CRPIX2", "CRVAL1", "CRVAL2")), *map(float, cd))
 
 
+def cutout_wcs(width: int, height: int, lon: float = 0.0, lat: float = 0.0, fov: float = 1.0, rotation: float = 0.0) -> Wcs:
+    """The transform of an image around a centre: ``fov`` degrees along the longer side, turned by ``rotation``."""
+    if fov <= 0 or min(width, height) < 1:
+        raise HipsError("a cutout needs a field and a size")
+    step, a = fov / max(width, height), math.radians(rotation)
+    return (width / 2 + 0.5, height / 2 + 0.5, lon, lat, -step * math.cos(a), -step * math.sin(a), -step * math.sin(a), step * math.cos(a))
+
+
 def world_to_pixel(w: Wcs, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     dlon, dlat = np.fmod(lon - w[2] + 540, 360) - 180, lat - w[3]
     det = w[4] * w[7] - w[5] * w[6]

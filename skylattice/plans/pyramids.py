@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.errors import HipsError
-from skylattice.formats import fits, hips
+from skylattice.formats import convert, fits, hips, tiles as compressed, xisf
 from skylattice.functions import sky, text
 from skylattice.operators.images import finite_mean
 
@@ -156,16 +156,17 @@ def lint(files: DataFrame, properties: str | None) -> DataFrame:
     return own.union(each).union(whole)
 
 
-def write_tree(tiles: DataFrame, root: str, title: str, order: int, tile_width: int, formats: tuple[str, ...] = ("fits",), frame: str = "equatorial") -> dict[str, str]:
+def write_tree(tiles: DataFrame, root: str, title: str, order: int, tile_width: int, formats: tuple[str, ...] = ("fits",), frame: str = "equatorial", properties: dict[str, str] | None = None) -> dict[str, str]:
     """Write tile files, properties, Allsky, MOC and an index page under a local or mounted folder; returns the properties.
 
     Tiles are written by the tasks that made them. The MOC needs the top order's tile numbers and
-    the Allsky the order-3 (or top) tiles, at most 768 of them.
+    the Allsky the order-3 (or top) tiles, at most 768 of them. ``properties`` add to the usual ones.
     """
     import os
 
     values = hips.default_properties(
         creator_did=f"ivo://local/{title.replace(' ', '-')}", obs_title=title, hips_frame=frame, hips_order=str(order), hips_tile_width=str(tile_width), hips_tile_format=" ".join(formats))
+    values |= properties or {}
     for kind in formats:
 
         def save(rows, root=root):
@@ -178,17 +179,20 @@ def write_tree(tiles: DataFrame, root: str, title: str, order: int, tile_width:
 
         encode_tiles(tiles, kind, frame).foreachPartition(save)
     low = min(order, 3)
-    some = [(r["ipix"], np.array(r["data"][: tile_width * tile_width], np.float32).reshape(tile_width, tile_width)) for r in tiles.where(F.col("order") == low).select("ipix", "data").toLocalIterator()]
-    small = []
+    planes: list[list[tuple[int, np.ndarray]]] = [[]]
     width = tile_width
-    for i, x in some:
-        while x.shape[0] > 64:
-            x = hips.downsample(x).astype(np.float32)
-        width = x.shape[0]
-        small.append((i, x))
+    for r in tiles.where(F.col("order") == low).select("ipix", "depth", "data").toLocalIterator():
+        for z, x in enumerate(np.array(r["data"], np.float32).reshape(r["depth"], tile_width, tile_width)):
+            while x.shape[0] > 64:
+                x = hips.downsample(x).astype(np.float32)
+            width = x.shape[0]
+            if z == len(planes):
+                planes.append([])
+            planes[z].append((r["ipix"], x))
+    mosaic = np.stack([hips.allsky(p, low, width) for p in planes])
     os.makedirs(os.path.join(root, f"Norder{low}"), exist_ok=True)
     files = {
-        f"Norder{low}/Allsky.fits": fits.write([fits.image_hdu(hips.allsky(small, low, width), -32)]),
+        f"Norder{low}/Allsky.fits": fits.write([fits.image_hdu(mosaic[0] if len(mosaic) == 1 else mosaic, -32)]),
         "Moc.fits": hips.moc(order, [r["ipix"] for r in tiles.where(F.col("order") == order).select("ipix").toLocalIterator()]),
         "properties": hips.format_properties(hips.compatible_properties(values)).encode(),
         "index.html": hips.index_page(title).encode(),
@@ -197,3 +201,107 @@ def write_tree(tiles: DataFrame, root: str, title: str, order: int, tile_width:
         with open(os.path.join(root, name), "wb") as f:
             f.write(data)
     return values
+
+
+# -- conversions from and to trees
+
+
+def _image_of(data: bytes) -> tuple[np.ndarray, hips.Wcs]:
+    """All planes and the world coordinates of a file's first image unit, plain or tile-compressed."""
+    for h in fits.hdus(data):
+        if h.header.kind == "compressed_image":
+            return compressed.decode_image(fits.data_of(data, h), h.header)[None], hips.wcs_of(h.header)
+        if h.header.kind == "image" and fits.frame_count(h.header):
+            body = fits.data_of(data, h)
+            return np.stack([fits.frame(body, h.header, i) for i in range(fits.frame_count(h.header))]), hips.wcs_of(h.header)
+    raise HipsError("no image")
+
+
+def fits_to_hips(spark: SparkSession, data: bytes, root: str, title: str, order: int = 0, min_order: int = 0, tile_width: int = 512, interpolation: str = "bilinear", blank: float = float("nan"), formats: tuple[str, ...] = ("fits",), frame: str = "equatorial", max_tiles: int = MAX_TILES, properties: dict[str, str] | None = None) -> dict[str, str]:
+    """Write the tree of a file's first image, with all its planes; returns the properties. Order 0 means the image's own."""
+    planes, wcs = _image_of(data)
+    top = order or hips.estimate_order(max(planes.shape[1:]), tile_width)
+    low = max(0, min(min_order, top))
+    tiles = build_tiles(spark, planes, wcs, top, low, tile_width, interpolation, blank, max_tiles)  # order 0 is its own estimate
+    more = {"hips_order_min": str(low)}
+    if len(planes) > 1:
+        more |= {"dataproduct_type": "cube", "hips_cube_depth": str(len(planes)), "hips_cube_firstframe": "0"}
+    tiles = tiles.persist()
+    try:
+        return write_tree(tiles, root, title, top, tile_width, formats, frame, more | (properties or {}))
+    finally:
+        tiles.unpersist()
+
+
+def xisf_to_hips(spark: SparkSession, data: bytes, root: str, title: str, image_index: int = 0, **options) -> dict[str, str]:
+    """Write the tree of one image of a unit; complex images are refused."""
+    unit = xisf.read(data)
+    if not 0 <= image_index < len(unit.images):
+        raise HipsError(f"no image {image_index}")
+    image = unit.images[image_index]
+    if image.sample_format.startswith("Complex"):
+        raise HipsError("complex images have no tiles")
+    return fits_to_hips(spark, convert.xisf_to_fits(xisf.write(xisf.Unit(images=[image])), meta_extension=False), root, title, **options)
+
+
+def read_tree(spark: SparkSession, root: str, order: int | None = None) -> tuple[dict[str, str], DataFrame]:
+    """A tree's properties and its tiles of one order, by default the highest."""
+    text_of = spark.read.format("binaryFile").load(f"{root}/properties").first()
+    values = hips.parse_properties(bytes(text_of["content"]).decode())
+    at = int(values.get("hips_order", 0)) if order is None else order
+    files = spark.read.format("binaryFile").load(f"{root}/Norder{at}/Dir*/Npix*.*").select("path", "content")
+    return values, decode_tiles(files)
+
+
+def cutout_fits(spark: SparkSession, root: str, width: int = 512, height: int = 512, wcs: hips.Wcs | None = None, projection: str = "TAN", lon: float = 0.0, lat: float = 0.0, fov: float = 1.0, rotation: float = 0.0, order: int | None = None, interpolation: str = "bilinear") -> bytes:
+    """A FITS image cut out of a tree's first plane; places without a tile are NaN. ``wcs`` counts before the centre, field and rotation."""
+    if width * height > SOURCE_SAMPLES:
+        raise HipsError(f"a cutout of {width * height} samples; at most {SOURCE_SAMPLES}")
+    values, tiles = read_tree(spark, root, order)
+    order = int(values.get("hips_order", 0)) if order is None else order
+    w = wcs or hips.cutout_wcs(width, height, lon, lat, fov, rotation)
+    image = np.full((height, width), np.nan, np.float32)
+    for r in cutout(tiles, w, width, height, order, interpolation).where("value IS NOT NULL").toLocalIterator():
+        image[r["y"], r["x"]] = r["value"]
+    a, b, _ = hips.FRAMES[values.get("hips_frame", "equatorial")]
+    keys = ("CRPIX1", "CRPIX2", "CRVAL1", "CRVAL2", "CD1_1", "CD1_2", "CD2_1", "CD2_2")
+    extra = [("CTYPE1", (a + projection.upper())[:8]), ("CTYPE2", (b + projection.upper())[:8]), *zip(keys, map(float, w), strict=True), ("HIPSORD", order), ("HIPSFWID", int(values.get("hips_tile_width", 512)))]
+    return fits.write([fits.image_hdu(image, -32, extra=extra)])
+
+
+def map_fits(spark: SparkSession, root: str, order: int | None = None, ordering: str = "NESTED", column: str = "SIGNAL") -> bytes:
+    """A FITS table of a whole order's values, one row per pixel in ``ordering``; pixels without a tile are NaN."""
+    values, tiles = read_tree(spark, root, order)
+    order = int(values.get("hips_order", 0)) if order is None else order
+    if (count := 12 << 2 * order) > SOURCE_SAMPLES:
+        raise HipsError(f"a map of {count} pixels; at most {SOURCE_SAMPLES}")
+    out = np.full(count, np.nan, np.float32)
+    for r in map_values(tiles, order, ordering).where("value IS NOT NULL").toLocalIterator():
+        out[r["ipix"]] = r["value"]
+    extra = [("PIXTYPE", "HEALPIX"), ("ORDERING", ordering), ("INDXSCHM", "IMPLICIT"), ("NSIDE", 1 << order), ("FIRSTPIX", 0), ("LASTPIX", count - 1), ("COORDSYS", hips.FRAMES[values.get("hips_frame", "equatorial")][2])]
+    return fits.write([fits.empty_primary(), fits.table_hdu([column], ["1E"], [out], extra)])
+
+
+def tile_fits(spark: SparkSession, root: str, order: int, ipix: int) -> bytes:
+    """One tile with all its planes as a FITS image."""
+    values, tiles = read_tree(spark, root, order)
+    r = tiles.where(F.col("ipix") == ipix).first()
+    if r is None:
+        raise HipsError(f"no tile {ipix} of order {order}")
+    x = np.array(r["data"], np.float32).reshape(r["depth"], r["width"], r["width"])
+    return hips.encode_tile(x, order, ipix, "fits", values.get("hips_frame", "equatorial"))
+
+
+_EXPORTS = {"cutout": cutout_fits, "map": map_fits, "tile": tile_fits}
+
+
+def hips_to_fits(spark: SparkSession, root: str, kind: str = "cutout", **options) -> bytes:
+    """A tree as one FITS file: a cutout, a map of an order, or a tile."""
+    if kind not in _EXPORTS:
+        raise HipsError(f"no export {kind!r}")
+    return _EXPORTS[kind](spark, root, **options)
+
+
+def hips_to_xisf(spark: SparkSession, root: str, kind: str = "cutout", **options) -> bytes:
+    """The FITS file of ``hips_to_fits`` as an XISF unit."""
+    return convert.fits_to_xisf(hips_to_fits(spark, root, kind, **options))

@@ -67,6 +67,62 @@ def test_pyramid_tree(spark, tmp_path):
         assert np.isnan(v) if not np.isfinite(d).any() else abs(v - d[np.isfinite(d)].mean()) < 1e-4
 
 
+def test_conversions_with_trees(spark, tmp_path):
+    from skylattice.formats import convert, xisf
+
+    y, x = np.mgrid[0:16, 0:32]
+    wcs = (16.5, 8.5, 0.1, 0.1, -0.5, 0.0, 0.0, 0.5)
+    cards = list(zip(("CRPIX1", "CRPIX2", "CRVAL1", "CRVAL2", "CD1_1", "CD1_2", "CD2_1", "CD2_2"), wcs, strict=True))
+    cube = np.stack([x + 0.1 * y, 100.0 - x]).astype(np.float32)
+    data = fits.write([fits.image_hdu(cube, -32, extra=cards)])
+    root = str(tmp_path / "cube")
+    values = pyramids.fits_to_hips(spark, data, root, "a cube", order=3, tile_width=8)
+    assert (values["dataproduct_type"], values["hips_cube_depth"], values["hips_order"], values["hips_order_min"]) == ("cube", "2", "3", "0")
+    mosaic = fits.hdus((tmp_path / "cube/Norder3/Allsky.fits").read_bytes())[0].header
+    assert mosaic.axes[2] == 2
+    want = {r["ipix"]: np.array(r["data"], np.float32) for r in pyramids.build_tiles(spark, cube, wcs, 3, 3, 8).collect()}
+
+    def image(raw):
+        h = fits.hdus(raw)[0]
+        return h.header, np.stack([fits.frame(fits.data_of(raw, h), h.header, i) for i in range(fits.frame_count(h.header))])
+
+    for ipix in sorted(want)[:3]:
+        _, tile = image(pyramids.hips_to_fits(spark, root, "tile", order=3, ipix=ipix))
+        assert np.array_equal(tile.ravel(), want[ipix], equal_nan=True)
+    for ordering in ("NESTED", "RING"):
+        raw = pyramids.hips_to_fits(spark, root, "map", ordering=ordering)
+        h = fits.hdus(raw)[1]
+        got = np.array(fits.decode_table(fits.data_of(raw, h), h.header)["SIGNAL"])
+        assert (h.header.get("NSIDE"), h.header.get("ORDERING"), len(got)) == (8, ordering, 768)
+        means = [np.nanmean(v.astype(np.float64)) for v in want.values() if np.isfinite(v).any()]
+        assert np.allclose(np.sort(got[np.isfinite(got)]), np.sort(means), rtol=1e-5)
+        if ordering == "NESTED":
+            assert np.array_equal(np.flatnonzero(np.isfinite(got)), sorted(i for i, v in want.items() if np.isfinite(v).any()))
+    header, cut = image(pyramids.hips_to_fits(spark, root, width=12, height=8, lon=0.1, lat=0.1, fov=4.0, rotation=30.0, interpolation="nearest"))
+    w = hips.wcs_of(header)
+    assert np.allclose(w, hips.cutout_wcs(12, 8, 0.1, 0.1, 4.0, 30.0)) and header.get("HIPSORD") == 3
+    py, px = np.mgrid[0:8, 0:12].astype(float)
+    ipix, fx, fy = hips.lonlat_to_pixel(3, *hips.pixel_to_world(w, px, py))
+    for j in range(8):
+        for i in range(12):
+            plane = want[ipix[j, i]][:64].reshape(8, 8)
+            v = hips.sample(plane, np.array([fx[j, i] * 8]), np.array([fy[j, i] * 8]), "nearest")[0]
+            assert np.array_equal(cut[0, j, i], v, equal_nan=True)
+    assert np.isfinite(cut).sum() > 60
+    # through XISF, both ways, the tiles and the cutout are those of FITS
+    again = str(tmp_path / "again")
+    flat = fits.write([fits.image_hdu(cube[0], -32, extra=cards)])
+    pyramids.xisf_to_hips(spark, convert.fits_to_xisf(flat), again, "an image", order=3, tile_width=8)
+    _, tiles = pyramids.read_tree(spark, again)
+    assert {r["ipix"]: r["data"] for r in tiles.collect()}.keys() == want.keys()
+    assert all(np.array_equal(r["data"], want[r["ipix"]][:64], equal_nan=True) for r in tiles.collect())
+    unit = xisf.read(pyramids.hips_to_xisf(spark, again, width=12, height=8, lon=0.1, lat=0.1, fov=4.0, rotation=30.0, interpolation="nearest"))
+    assert np.array_equal(unit.images[0].samples()[0], cut[0], equal_nan=True)
+    complex_unit = xisf.write(xisf.Unit(images=[xisf.Image([2, 2, 1], "Complex32", data=bytes(32))]))
+    with pytest.raises(pyramids.HipsError):
+        pyramids.xisf_to_hips(spark, complex_unit, str(tmp_path / "none"), "none")
+
+
 def test_stream_of_videos(spark, tmp_path):
     from skylattice.streaming.ingest import frames, rates
 
