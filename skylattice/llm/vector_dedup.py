@@ -20,8 +20,13 @@ LEAF = 256
 SPILL = 0.1
 #: Vectors in a task's subtree, about: the upper levels deal vectors out to tasks, tasks grow the rest.
 SUBTREE = 8_192
-#: Vectors that the upper levels' splits are fitted on, at most, in all labels together.
+#: Vectors that the upper levels' splits are fitted on, about, in all labels together; more where the levels are
+#: many, so that every end keeps about END_SAMPLE of them, up to MOST_SAMPLE.
 SAMPLE = 20_000
+END_SAMPLE = 64
+MOST_SAMPLE = 100_000
+#: Vectors on each side of a task that compares two blocks of a dense group, about.
+BLOCK = 2_048
 
 _SPLIT = 1e-9  # cosines this close to the threshold are recomputed with exact sums
 
@@ -57,13 +62,17 @@ def _dense(x: np.ndarray, random: np.random.Generator, least: float) -> bool:
     return bool(np.mean(some @ some.T >= least) > 0.4)
 
 
-def _grow(x: np.ndarray, depth: int, random: np.random.Generator, spill: float, numbers: Iterator[int]) -> _Node | int:
+def _grow(x: np.ndarray, depth: int, random: np.random.Generator, spill: float, numbers: Iterator[int], least: float, dense: dict[int, int]) -> _Node | int:
+    """A tree's upper levels. A node whose pairs are mostly links is an end at once, noted in ``dense`` with its vectors."""
     if depth == 0 or len(x) < 16:
         return next(numbers)
+    if _dense(x, random, least):
+        dense[end := next(numbers)] = len(x)
+        return end
     direction, low, high = _split(x, random, spill)
     a = x @ direction
-    left = _grow(x[a <= high], depth - 1, random, spill, numbers)
-    return _Node(direction, low, high, left, _grow(x[a >= low], depth - 1, random, spill, numbers))
+    left = _grow(x[a <= high], depth - 1, random, spill, numbers, least, dense)
+    return _Node(direction, low, high, left, _grow(x[a >= low], depth - 1, random, spill, numbers, least, dense))
 
 
 def _drop(node: _Node | int, x: np.ndarray, rows: np.ndarray, out: list[tuple[int, np.ndarray]]) -> None:
@@ -114,8 +123,9 @@ class VectorLinks:
 
     Equal vectors of a label are one point (named by the smallest id), so groups of exact copies
     cost nothing. Every tree sees every point; a point lies in several leaves where it is near a
-    split. Two points that share a leaf of some tree are compared in double precision, and pairs
-    of at least the least cosine are links. Vectors that are null, zero, or hold null or
+    split. Groups whose pairs are mostly links are not split, at no level: large ones are compared
+    by all pairs of blocks. Two points that share a leaf of some tree are compared in double
+    precision, and pairs of at least the least cosine are links. Vectors that are null, zero, or hold null or
     non-finite components, and those without a label, link with nothing. Vectors of different
     lengths never link.
     """
@@ -143,47 +153,77 @@ class VectorLinks:
             "points",
         )
 
-    def _forest(self) -> dict[tuple[str, int], _Node | int]:
-        """The upper levels of all trees, per label, fitted on a bounded sample; deep enough for SUBTREE points below each end."""
+    def _forest(self) -> tuple[dict[tuple[str, int], _Node | int], dict[tuple[str, int, int], int]]:
+        """The upper levels of all trees, per label, fitted on a bounded sample; deep enough for SUBTREE points below each end.
+
+        Also the number of blocks of each dense end (label, tree, end). A label that is dense as a
+        whole has one tree, since all would be the same.
+        """
         counts = {r["label"]: r["n"] for r in self.points.groupBy("label").agg(F.count("*").alias("n")).collect()}
         total = sum(counts.values())
-        share = min(1.0, self.sample / max(total, 1))
-        some = self.points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("label", "v").limit(2 * self.sample).toPandas()
+        sample = max(self.sample, min(MOST_SAMPLE, END_SAMPLE * -(-total // self.subtree)))
+        share = min(1.0, sample / max(total, 1))
+        some = self.points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("label", "v").limit(2 * sample).toPandas()
         out: dict[tuple[str, int], _Node | int] = {}
+        blocks: dict[tuple[str, int, int], int] = {}
         for name, n in sorted(counts.items()):
             depth = max(0, int(np.ceil(np.log2(n / self.subtree))))
             mine = some["v"][some["label"] == name].tolist()
             x = _unit(np.array(mine, np.float64)) if mine and depth else np.zeros((0, 1))
             for tree in range(self.trees):
                 random = np.random.default_rng([self.seed, tree, len(out)])
-                out[name, tree] = _grow(x, depth, random, self.spill, iter(range(1 << 30)))
-        return out
+                dense: dict[int, int] = {}
+                out[name, tree] = _grow(x, depth, random, self.spill, iter(range(1 << 30)), self.cosine, dense)
+                for end, size in dense.items():
+                    blocks[name, tree, end] = max(1, int(np.ceil(n * size / len(x) / min(BLOCK, self.subtree))))
+                if dense and isinstance(out[name, tree], int):
+                    for other in range(tree):  # whole label in blocks: the trees before it have nothing to add
+                        del out[name, other]
+                        blocks = {k: v for k, v in blocks.items() if k[:2] != (name, other)}
+                    break
+        return out, blocks
 
     def found(self) -> DataFrame:
         """(a, b): every link that some leaf of some tree holds, once, a < b."""
         forest, trees = self.spark.sparkContext.broadcast(self._forest()), self.trees
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tops = forest.value
+            tops, blocks = forest.value
             for batch in batches:
                 labels = np.array(batch.column("label").to_pylist(), object)
                 flat = batch.column("v")
-                rows_of: dict[int, list[tuple[int, int]]] = {}
+                # blocks of dense ends are dealt by id
+                mixed = batch.column("id").to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                take: list[int] = []
+                places: list[tuple[int, int, int, int]] = []
                 for name in sorted(set(labels.tolist())):
                     mine = np.flatnonzero(labels == name)
                     x = _unit(np.array([flat[i].as_py() for i in mine.tolist()], np.float64))
                     for tree in range(trees):
+                        if (name, tree) not in tops:
+                            continue
                         ends: list[tuple[int, np.ndarray]] = []
                         _drop(tops[name, tree], x, np.arange(len(mine)), ends)
                         for end, rows in ends:
+                            count = blocks.get((name, tree, end), 1)
                             for i in mine[rows].tolist():
-                                rows_of.setdefault(i, []).append((tree, end))
-                take = np.repeat(np.arange(len(labels)), [len(rows_of[i]) for i in range(len(labels))])
-                tree_end = [x for i in range(len(labels)) for x in rows_of[i]]
-                part = batch.select(["id", "label", "v"]).take(pa.array(take))
+                                b = int(mixed[i]) % count
+                                for other in range(count):
+                                    take.append(i)
+                                    places.append((tree, end, min(b, other) * count + max(b, other), int(b > other)))
+                            # a batch's rows meet every block of a dense end, so they leave in slices
+                            if len(take) > 16_384:
+                                yield from dealt_rows(batch, take, places)
+                                take, places = [], []
+                yield from dealt_rows(batch, take, places)
+
+        def dealt_rows(batch: pa.RecordBatch, take: list[int], places: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(take), 16_384):
+                part = batch.select(["id", "label", "v"]).take(pa.array(take[i : i + 16_384], pa.int64()))
+                tree, end, pair, side = zip(*places[i : i + 16_384], strict=True)
                 yield pa.record_batch(
-                    [*part.columns, pa.array([t for t, _ in tree_end], pa.int32()), pa.array([e for _, e in tree_end], pa.int64())],
-                    ["id", "label", "v", "tree", "end"],
+                    [*part.columns, pa.array(tree, pa.int32()), pa.array(end, pa.int64()), pa.array(pair, pa.int64()), pa.array(side, pa.int32())],
+                    ["id", "label", "v", "tree", "end", "pair", "side"],
                 )
 
         seed, spill, leaf, least = self.seed, self.spill, self.leaf, self.cosine
@@ -196,8 +236,20 @@ class VectorLinks:
             ids, raw = ids[order], raw[order]
             x = _unit(raw)
             pairs: list[np.ndarray] = []
+            if table.column("side").to_numpy().any():  # two blocks of a dense end: pairs across them
+                side = table.column("side").to_numpy()[order]
+                here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                for i in range(0, len(here), 1024):
+                    product = x[here[i : i + 1024]] @ x[there].T
+                    a, b = np.nonzero(product >= least - _SPLIT)
+                    p, q = here[i + a], there[b]
+                    ok = _cosine_at_least(raw, p, q, product[a, b], least)
+                    pairs.append(np.stack([np.minimum(p[ok], q[ok]), np.maximum(p[ok], q[ok])], 1))
+                found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+                return pa.table({"a": pa.array(ids[found[:, 0]]), "b": pa.array(ids[found[:, 1]])})
+            whole = (key[0].as_py(), key[1].as_py(), key[2].as_py()) in forest.value[1]
             random = np.random.default_rng([seed, 77, *[abs(hash_of(k)) for k in key]])
-            for rows in _leaves(x, random, spill, leaf, least):
+            for rows in [np.arange(len(x))] if whole else _leaves(x, random, spill, leaf, least):
                 rows = np.sort(rows)
                 for i in range(0, len(rows), 1024):
                     product = x[rows[i : i + 1024]] @ x[rows[i:]].T
@@ -207,8 +259,8 @@ class VectorLinks:
             found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
             return pa.table({"a": pa.array(ids[found[:, 0]]), "b": pa.array(ids[found[:, 1]])})
 
-        dealt = self.points.mapInArrow(deal, "id long, label string, v array<double>, tree int, end long")
-        pairs = dealt.groupBy("label", "tree", "end").applyInArrow(compare, "a long, b long")
+        dealt = self.points.mapInArrow(deal, "id long, label string, v array<double>, tree int, end long, pair long, side int")
+        pairs = dealt.groupBy("label", "tree", "end", "pair").applyInArrow(compare, "a long, b long")
         # a pair may be found by several trees
         return stored(pairs.distinct(), "vector-links")
 

@@ -131,3 +131,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept) == set(range(12))
     assert kept[11].startswith(line) and not kept[3].startswith(line)
     assert {x["doc_id"] for x in c.run(spark, str(tmp_path)).collect()} == set(range(12))
+
+
+def test_vector_dedup_keeps_dense_groups_whole_above_the_subtrees(spark):
+    from skylattice.llm.vector_dedup import VectorLinks
+
+    g = np.random.default_rng(8)
+    base = g.standard_normal(32)
+    base /= np.linalg.norm(base)
+    x = base + 0.12 / 32**0.5 * g.standard_normal((900, 32))
+    rows = [(i, v.tolist(), "one group") for i, v in enumerate(x)] + [(1000 + i, g.standard_normal(32).tolist(), "apart") for i in range(300)]
+    links = VectorLinks(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), trees=2, leaf=32, subtree=64)
+    got = {(r["a"], r["b"]) for r in links.found().collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.98, 1))
+    assert len(a) > 200_000 and got == set(zip(a.tolist(), b.tolist(), strict=True))
