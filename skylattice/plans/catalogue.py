@@ -661,8 +661,14 @@ def hips_reproject_nearest(spark, d):
 def hips_cutout_nearest(spark, d):
     from skylattice.plans import pyramids
 
-    tiles = table(spark, d, "embeddings").where("vec_id < 48").select(F.lit(1).alias("order"), F.col("vec_id").alias("ipix"), F.lit(8).alias("width"), F.lit(1).alias("depth"), F.col("embedding").alias("data"))
-    return pyramids.cutout(tiles, (16.5, 16.5, 40.0, 10.0, -0.7, 0.0, 0.0, 0.7), 32, 32, 1, "nearest")
+    vectors = table(spark, d, "embeddings")
+    order = 0  # the lowest that holds all ids
+    while 12 << 2 * order <= (vectors.agg(F.max("vec_id")).first()[0] or 0):
+        order += 1
+    tiles = vectors.select(F.lit(order).alias("order"), F.col("vec_id").alias("ipix"), F.lit(8).alias("width"), F.lit(1).alias("depth"), F.col("embedding").alias("data"))
+    # the whole sky, in pixels of a quarter of a tile's width, so that no tile is missed
+    width, height, step = 16 << order, 8 << order, 22.5 / (1 << order)
+    return pyramids.cutout(tiles, (width / 2 + 0.5, height / 2 + 0.5, 180.0, 0.0, -step, 0.0, 0.0, step), width, height, order, "nearest")
 
 
 @query("""SELECT 'error' AS level, 'TILE_FORMAT_UNDECLARED' AS code, 'Norder5/Dir' || (i // 10000) * 10000 || '/Npix' || i || '.png' AS subject FROM (SELECT DISTINCT l_partkey AS i FROM lineitem) WHERE i % 10 = 0

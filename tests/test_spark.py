@@ -123,6 +123,26 @@ def test_conversions_with_trees(spark, tmp_path):
         pyramids.xisf_to_hips(spark, complex_unit, str(tmp_path / "none"), "none")
 
 
+def test_cutout_reaches_every_tile(spark, tmp_path):
+    g = np.random.default_rng(2)
+    vectors = g.standard_normal((150, 64)).round(3)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r["y"], r["x"]): r["value"] for r in catalogue.QUERIES["hips_cutout_nearest"](spark, str(tmp_path)).collect()}
+    py, px = np.mgrid[0:32, 0:64]
+    assert len(got) == py.size
+    ipix, fx, fy = hips.lonlat_to_pixel(2, *hips.pixel_to_world((32.5, 16.5, 180.0, 0.0, -5.625, 0.0, 0.0, 5.625), px.astype(float), py.astype(float)))
+    assert set(ipix.ravel().tolist()) == set(range(192))
+    for y, x, i, a, b in zip(py.ravel().tolist(), px.ravel().tolist(), ipix.ravel().tolist(), fx.ravel(), fy.ravel(), strict=True):
+        if i >= len(vectors):
+            assert got[y, x] is None
+            continue
+        c, r = int(np.floor(a * 8 + 0.5)), int(np.floor(b * 8 + 0.5))
+        if c < 8 and r < 8:
+            assert got[y, x] == vectors[i].reshape(8, 8)[r, c]
+        else:
+            assert np.isnan(got[y, x])
+
+
 def test_stream_of_videos(spark, tmp_path):
     from skylattice.streaming.ingest import frames, rates
 
