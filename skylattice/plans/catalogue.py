@@ -588,7 +588,9 @@ def xisf_table_cells(spark, d):
 def xisf_uid_join(spark, d):
     refs = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("uid"))
     elements = table(spark, d, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("value"))
-    return refs.join(elements, "uid").select("o_orderkey", "value")
+    cells = arrow.read_xisf(arrow.write_xisf_references(refs, elements, "o_orderkey"), "cells")
+    # a row without a value is no String
+    return cells.select(F.col("table_id").cast("long").alias("o_orderkey"), F.when(F.col("type") == "String", F.col("value_str")).alias("value"))
 
 
 @query("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, sha256(coalesce(text, '')) AS digest FROM documents")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -302,3 +303,44 @@ def write_xisf_tables(df: DataFrame, table_id: str, kinds: Sequence[str]) -> Dat
             yield pa.record_batch([[f"part-{part}-{i}.xisf"], pa.array([xisf.write(unit)], pa.binary())], ["path", "content"])
 
     return df.mapInArrow(run, "path string, content binary")
+
+
+def write_xisf_references(refs: DataFrame, elements: DataFrame, key: str, per_unit: int = 4096) -> DataFrame:
+    """(path, content): units with the elements (uid, value) that references (key, uid) name, and a table per reference.
+
+    A table is called by its reference's key and holds the element's row and the unit's structure
+    through Reference elements. Elements and references meet by uid; a unit holds at most
+    ``per_unit`` references and the elements that they name. References to no element are left out.
+    """
+    import xml.etree.ElementTree as ET
+
+    from skylattice.formats import xisf
+
+    spark = refs.sparkSession
+    parts = max(1, refs.count() // (4 * per_unit), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64("uid"), F.lit(parts)).alias("part")
+
+    def run(group: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        values = dict(zip(right.column("uid").to_pylist(), right.column("value").to_pylist(), strict=True))
+        named = sorted((u, k) for k, u in zip(left.column(key).to_pylist(), left.column("uid").to_pylist(), strict=True) if u in values)
+        files = []
+        for i in range(0, len(named), per_unit):
+            some = named[i : i + per_unit]
+            root = ET.Element("xisf", {"version": "1.0", "xmlns": xisf.NAMESPACE})
+            home = ET.SubElement(root, "Elements")
+            fields = ET.SubElement(home, "Structure", {"uid": "structure"})
+            ET.SubElement(fields, "Field", {"id": "value", "type": "String"})
+            for u in dict.fromkeys(u for u, _ in some):
+                row = ET.SubElement(home, "Row", {"uid": f"row{u}"})
+                cell = ET.SubElement(row, "Cell", {} if values[u] is not None else {"type": "Boolean", "value": "false"})
+                cell.text = values[u]
+            for u, k in some:
+                t = ET.SubElement(root, "Table", {"id": str(k), "rows": "1", "columns": "1"})
+                ET.SubElement(t, "Reference", {"ref": "structure"})
+                ET.SubElement(t, "Reference", {"ref": f"row{u}"})
+            files.append((f"part-{group[0].as_py()}-{i}.xisf", b'<?xml version="1.0" encoding="UTF-8"?>\n' + ET.tostring(root)))
+        return pa.table({"path": pa.array([p for p, _ in files], pa.string()), "content": pa.array([c for _, c in files], pa.binary())})
+
+    known = elements.where("uid IS NOT NULL").select(part, "uid", "value").groupBy("part")
+    wanted = refs.where("uid IS NOT NULL").select(part, key, "uid").groupBy("part")
+    return wanted.cogroup(known).applyInArrow(run, "path string, content binary")

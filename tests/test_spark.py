@@ -143,6 +143,25 @@ def test_cutout_reaches_every_tile(spark, tmp_path):
             assert np.isnan(got[y, x])
 
 
+def test_uid_join_reads_references(spark, tmp_path, monkeypatch):
+    from skylattice.sources import arrow
+
+    orders = [(k, k % 7 or None) for k in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    customers = {1: "A & <b>", 2: "", 3: None, 4: "d", 6: "é"}
+    spark.createDataFrame(list(customers.items()), "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    seen, real = [], arrow.read_xisf
+    monkeypatch.setattr(arrow, "read_xisf", lambda files, *a: seen.append([bytes(r["content"]) for r in files.collect()]) or real(files, *a))
+    got = sorted((r["o_orderkey"], r["value"]) for r in catalogue.QUERIES["xisf_uid_join"](spark, str(tmp_path)).collect())
+    assert got == [(k, customers[c]) for k, c in orders if c in customers]
+    assert seen and all(b"<Reference ref=" in x and b"uid=" in x for x in seen[0])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_uid_join_equals_sql(spark):
+    test_query_equals_sql(spark, "xisf_uid_join")
+
+
 def test_stream_of_videos(spark, tmp_path):
     from skylattice.streaming.ingest import frames, rates
 
