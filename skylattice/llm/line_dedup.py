@@ -29,7 +29,7 @@ _SPACE = byte_class(b" \t\n\v\f\r")
 
 
 def _lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first line of each row; of the lines that count: number, row, two hashes of the key)."""
+    """(starts, ends, first line of each row; of the lines that count: number, row, both halves of the key's digest)."""
     breaks = np.flatnonzero(block.data == 10)
     starts = np.sort(np.concatenate([block.offsets[:-1], breaks + 1]), kind="stable")
     # a row's last line ends where the row does, all others at a line end
@@ -47,11 +47,11 @@ def _lines(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     long = points[z] - points[a] >= MIN_POINTS
     number, a, z = some[long], a[long], z[long]
     row = np.searchsorted(first, number, "right") - 1
-    return starts, ends, first, number, row, block.hashes(a, z, 0), block.hashes(a, z, 1)
+    return starts, ends, first, number, row, *block.digests(a, z)
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, doc_id): the keys of each document's lines that count, as 128-bit hashes; once a row."""
+    """(k1, k2, doc_id): the keys of each document's lines that count, as 128-bit BLAKE2b digests; once a row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,14 @@
 """Vectorised text kernels over Arrow string columns.
 
-Words and lines are found and hashed on the UTF-8 bytes of a whole block of texts with NumPy
-prefix sums, so no Python string is built per word. A span's hash is
-``sum(table[byte] * BASE**i)`` taken from a running sum and shifted back by ``BASE**-start``
-(all modulo 2**64), then scrambled. The 64-bit result depends on the span's bytes alone; A-Z
-count as a-z.
+Words and lines are found on the UTF-8 bytes of a whole block of texts with NumPy, so no Python
+string is built per word. A short span's hash takes its bytes eight at a time, one scrambling
+round each, for all spans of the block at once; a span of more than ``LONG`` bytes is hashed by
+BLAKE2b. Hashes depend on the span's bytes alone; A-Z count as a-z.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +19,9 @@ BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
-_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
+_BASE = 0xD6E8FEB86659FD93
+#: Bytes of a span beyond which it is hashed by BLAKE2b.
+LONG = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,30 +33,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _byte_table(seed: int) -> np.ndarray:
-    table = mix((np.arange(256, dtype=np.uint64) + _U(seed)) * _U(_GOLDEN))
+def _lower_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
     table[65:91] = table[97:123]
     return table
 
 
-class _Powers:
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n >= len(self.up):
-            size = max(n + 1, 2 * len(self.up), BLOCK_BYTES + 65536)
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("up", _BASE), ("down", inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-_TABLES = (_byte_table(11), _byte_table(4242))
+_LOWER = _lower_table()
+#: Masks that keep the first 0 to 8 bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def byte_class(separators: bytes) -> np.ndarray:
@@ -95,12 +82,37 @@ class Block:
         ends = np.flatnonzero(finishes) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        """64-bit hashes of byte spans; ``which`` picks one of two independent functions."""
-        up, down = _POWERS.get(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_TABLES[which][self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans. Spans of up to seven bytes never collide with each other, nor do those of eight."""
+        lower = np.zeros(len(self.data) + 8, np.uint8)
+        lower[: len(self.data)] = _LOWER[self.data]
+        eight = np.ndarray(len(self.data) + 1, "<u8", lower, strides=(1,))
+        size = ends - starts
+        out = eight[starts] & _FIRST[np.minimum(size, 8)]
+        # a short span's length fills its free top byte, so that zero bytes at its end count
+        out = mix(np.where(size < 8, out | (size.astype(np.uint64) << _U(56)), out ^ _U(_GOLDEN)))
+        more = np.flatnonzero(size > 8)
+        at = 8
+        while len(more):
+            long = size[more]
+            if at >= LONG:
+                for i in more[long > LONG].tolist():
+                    digest = hashlib.blake2b(lower[starts[i] : ends[i]].tobytes(), digest_size=8, person=b"span").digest()
+                    out[i] = int.from_bytes(digest, "little")
+                break
+            part = eight[starts[more] + at] & _FIRST[np.minimum(long - at, 8)]
+            # a round for each eight bytes; the length tells spans apart that end in zero bytes
+            out[more] = mix((out[more] ^ (out[more] << _U(23))) + (part ^ _U(at * _GOLDEN % (1 << 64))) + long.astype(np.uint64))
+            at += 8
+            more = more[long > at]
+        return out
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the spans' 128-bit BLAKE2b digests."""
+        lower = _LOWER[self.data].tobytes()
+        raw = b"".join([hashlib.blake2b(lower[a:z], digest_size=16).digest() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+        both = np.frombuffer(raw, "<u8").reshape(-1, 2) if raw else np.zeros((0, 2), np.uint64)
+        return both[:, 0].copy(), both[:, 1].copy()
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:

@@ -54,6 +54,39 @@ def test_spans_match_regular_expression(limit):
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(levels):
+    """Two strings that every polynomial modulo a power of two takes for equal, once they are long enough."""
+    x, y = "a", "b"
+    for _ in range(levels):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hashes_of_adversarial_and_zero_padded_spans_differ():
+    from skylattice.llm.textkernel import blocks
+
+    pairs = [thue_morse(n) for n in range(1, 14)] + [("a", "a\0"), ("a" * 7, "a" * 7 + "\0"), ("a" * 8, "a" * 8 + "\0"), ("x" * 32, "x" * 33)]
+    block = next(blocks(pa.array([x for pair in pairs for x in pair]), 1 << 24))
+    for hashes in (block.hashes(block.offsets[:-1], block.offsets[1:]), *block.digests(block.offsets[:-1], block.offsets[1:])):
+        assert len(set(hashes.tolist())) == len({x for pair in pairs for x in pair})
+    upper = next(blocks(pa.array([x.upper() for pair in pairs for x in pair]), 1 << 24))
+    assert (upper.hashes(upper.offsets[:-1], upper.offsets[1:]) == block.hashes(block.offsets[:-1], block.offsets[1:])).all()
+
+
+def test_adversarial_lines_and_words_stay_apart(spark):
+    from skylattice.llm.decontaminate import digest, find
+    from skylattice.llm.jaccard_join import JaccardJoin
+    from skylattice.llm.line_dedup import LineStore
+
+    a, b = thue_morse(12)
+    docs = docs_of(spark, [b, a, a, a]).cache()
+    kept = {r["doc_id"]: r["text"] for r in LineStore(spark).add(docs).dedup(docs).collect()}
+    assert kept == {0: b, 1: "", 2: "", 3: a}
+    assert {r["doc_id"]: r["component_id"] for r in JaccardJoin(docs).components().collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
+    items = spark.createDataFrame([(7, a)], "item_id long, text string")
+    assert [r["n_hit"] for r in digest(find(docs, items)).orderBy("doc_id").collect()] == [0, 1, 1, 1]
+
+
 # -- token counts and packing
 
 
