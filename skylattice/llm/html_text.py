@@ -24,14 +24,23 @@ from pyspark.sql import types as T
 
 from skylattice.llm.shared import small_batches
 
+# A value is quoted only right after its equals sign; a quote elsewhere in a tag is a plain character.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>|<![^>]*>|<\?[^>]*>", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)))*+)>|<![^>]*>|<\?[^>]*>",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 
-#: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template title iframe textarea select object svg math head".split())
+#: Elements whose content is no markup and never text of the page, up to their end tag.
+RAW = frozenset("script style title iframe textarea".split())
+#: Elements whose content is markup, but never text of the page, from their start tag to their end tag or their parent's.
+HIDDEN = frozenset("noscript template select object svg math".split())
+#: Of these, elements that a slash closes, and that start tags of ``_BREAKOUT`` end.
+FOREIGN = frozenset("svg math".split())
+_BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li main article section ol p pre ruby s small span strong strike sub sup table u ul var".split()
+)
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are part of the text around them.
@@ -65,13 +74,19 @@ class Page:
 
 
 def parse(source: str | None) -> Page:
-    """Read markup leniently: unclosed and misnested elements end where HTML says or with their parent."""
+    """Read markup leniently: unclosed and misnested elements end where HTML says or with their parent.
+
+    Linear in the markup: an end tag looks for its start tag only if one is open.
+    """
     nodes = [Node("#root", -1)]
     pieces: list[tuple[int, str]] = []
     open_: list[tuple[str, int]] = [("#root", 0)]  # names of open elements and the block node they are in
+    count: Counter = Counter()  # of open elements by name
     text: list[str] = []
-    links = 0
+    hidden = 0  # open elements that hide text
     source = source or ""
+    lower = source.lower()
+    ends = {x: lower.rfind(f"</{x}") for x in HIDDEN}
 
     def flush() -> None:
         if text:
@@ -83,22 +98,46 @@ def parse(source: str | None) -> Page:
             text.clear()
 
     def add(raw: str) -> None:
-        nonlocal links
-        if raw:
+        if raw and not hidden:
             plain = entities.unescape(raw) if "&" in raw else raw
             text.append(plain)
-            if any(name == "a" for name, _ in open_):
-                n = len(plain.strip())
-                nodes[open_[-1][1]].links += n
+            if count["a"]:
+                nodes[open_[-1][1]].links += len(plain.strip())
+
+    def push(name: str, node: int) -> None:
+        nonlocal hidden
+        open_.append((name, node))
+        count[name] += 1
+        hidden += name in HIDDEN
+
+    def cut(k: int) -> None:
+        nonlocal hidden
+        for name, _ in open_[k:]:
+            count[name] -= 1
+            hidden -= name in HIDDEN
+        del open_[k:]
 
     def close(names: set[str], stop: set[str]) -> None:
+        if any(count[x] for x in names):
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k][0] in names:
+                    flush()
+                    cut(k)
+                    return
+                if open_[k][0] in stop:
+                    return
+
+    def end(name: str) -> None:
+        if not count[name]:
+            return
         for k in range(len(open_) - 1, 0, -1):
-            if open_[k][0] in names:
-                flush()
-                del open_[k:]
-                return
-            if open_[k][0] in stop:
+            if open_[k][0] == name:
+                if name not in HIDDEN and (name not in INLINE or any(x not in INLINE for x, _ in open_[k:])):
+                    flush()
+                cut(k)
                 return
+            if name in INLINE and open_[k][0] not in INLINE:
+                return  # an inline end tag does not end the block around it
 
     at = 0
     while True:
@@ -112,48 +151,54 @@ def parse(source: str | None) -> Page:
         if name is None:
             continue
         if m[1]:
-            if name in VOID:
-                if name == "br":
-                    text.append(" ")
-                continue
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == name:
-                    if name not in INLINE or any(x not in INLINE for x, _ in open_[k:]):
-                        flush()
-                    del open_[k:]
-                    break
-                if name in INLINE and open_[k][0] not in INLINE:
-                    break  # an inline end tag does not end the block around it
+            if name == "br":
+                text.append(" ")
+            elif name not in VOID:
+                end(name)
             continue
         if name in RAW:
-            if name != "head":
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-            continue
+            found = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if found:
+                at = found.end()
+            elif name in ("script", "style"):
+                at = len(source)
+            continue  # any other without an end tag hides nothing
+        if name in _BREAKOUT and (count["svg"] or count["math"]):
+            cut(next(k for k, (x, _) in enumerate(open_) if x in FOREIGN))
         if name in VOID:
             if name in ("br", "hr"):
                 text.append(" ")
             continue
+        if name in HIDDEN:
+            # one that is never closed hides nothing, but for svg and math, whose content shows where they end
+            if not m[3].endswith("/") if name in FOREIGN else ends[name] >= at:
+                push(name, open_[-1][1])
+            continue
         if name in INLINE:
-            if not m[3].endswith("/"):
-                open_.append((name, open_[-1][1]))
+            if name == "a":
+                end("a")  # links don't nest
+            push(name, open_[-1][1])
+            continue
+        if name in ("html", "body", "head"):
             continue
-        if name in ("html", "body"):
+        if hidden:
+            push(name, open_[-1][1])
             continue
         flush()
         if name in _CLOSES:
             close(*_CLOSES[name])
         close({"p"}, {"td", "th", "li", "div", "article", "section"} - ({"li"} if name == "li" else set()))
-        while open_[-1][0] in INLINE:  # left open by what has ended
-            open_.pop()
+        k = len(open_)
+        while open_[k - 1][0] in INLINE:  # left open by what has ended
+            k -= 1
+        cut(k)
         parent = open_[-1][1]
         names: list[str] = []
         for x in _ATTRIBUTE.finditer(m[3]):
             names.extend(_NAME_PART.findall((x[2] or x[3] or x[4] or "").lower()))
         nodes.append(Node(name, parent, tuple(names)))
         nodes[parent].children.append(len(nodes) - 1)
-        if not m[3].endswith("/"):
-            open_.append((name, len(nodes) - 1))
+        push(name, len(nodes) - 1)
     flush()
     for i in range(len(nodes) - 1, 0, -1):
         nodes[nodes[i].parent].chars += nodes[i].chars
@@ -166,6 +211,8 @@ def _looks(node: Node, own: bool) -> Iterator[str]:
     yield f"tag:{node.tag} links:{int(3.99 * min(1.0, node.links / node.chars)) if node.chars else -1}"
     for x in set(node.names):
         yield f"name:{x}"
+    if not node.names:
+        yield f"bare:{node.tag}"
     yield f"chars:{min(8, int(math.log2(node.chars + 1)) // 2)} own:{own}"
 
 
@@ -366,6 +413,12 @@ def sample_pages(count: int = 400, seed: int = 3) -> Iterator[tuple[str, str]]:
                 main.append(text)
             else:
                 body.append(part(r.choice(["ad", "share", "notice", "aside"])))
+        for _ in range(r.choice([0, 0, 1, 2])):  # layout boxes around runs of the text
+            a, z = sorted(r.choices(range(len(body) + 1), k=2))
+            if a < z:
+                box = r.choice(["div", "div", "section"])
+                name = r.choice(["", "", ' class="inner"', ' class="row"', ' class="text"', ' class="section"'])
+                body[a:z] = [f"<{box}{name}>{''.join(body[a:z])}</{box}>"]
         tag = r.choice(_MAIN[0])
         attribute = attributes(_MAIN[1])
         while tag in ("div", "section") and not attribute:
@@ -382,7 +435,9 @@ def sample_pages(count: int = 400, seed: int = 3) -> Iterator[tuple[str, str]]:
 def extract(pages: DataFrame, model: Model, html: str = "html", text: str = "text", length: str = "n_chars") -> DataFrame:
     """Every row with its main text and that text's code points; columns of these names are replaced.
 
-    Null and empty pages, and pages without main text, have an empty text. Whole pages are read.
+    Null and empty pages, and pages without main text, have an empty text. Whole pages are read,
+    in time linear in their length. Each row counts by itself, repeated rows too; a piece of text
+    of marginal 0.5 is content. All other columns stay, whatever their names.
     """
     small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
