@@ -1,21 +1,30 @@
-"""N-gram Jaccard join: documents whose sets of word shingles are similar, found through prefix trees.
-
-The steps, each linear in its input but for what is said of it:
-
-1. Sets. A document's set is its distinct 5-word shingles as 64-bit hashes. Documents with equal
-   sets form a class (named by the smallest document id); all later steps see a class once.
-2. Order. One order for all sets: shingles that very many documents hold come last, others by
-   hash. Any order gives the same links, so the frequent ones may be found approximately.
-3. Prefixes. Similar sets share a shingle among the first n - ceil(0.75 n) + 1 of each. Prefixes
-   go to shards by shingle, packed in binary; in a shard, sets that share a shingle are candidates
-   if their sizes and the shingle's places in both leave enough overlap possible.
-4. Crowded shingles, which over CROWD sets share, are not paired outright: their sets are dealt
-   to blocks of bounded size with some members in common, and each block is joined by a prefix
-   tree. Then only pairs are candidates that no chain of links connects yet.
-5. Candidates that share too few prefix shingles, or whose counts of shingles by hash cell rule the
-   similarity out, are dropped; the rest
-   is grouped around common neighbours, each group's sets are stored in a prefix tree once, and
-   the tree gives the exact overlaps.
+"""N-gram Jaccard join: documents whose sets of word shingles are similar, joined in prefix trees.
+
+A document's set is its distinct 5-word shingles as 63-bit hashes. One global order holds for all
+sets: shingles that very many documents hold come last, others by hash. (Any order gives the same
+links, so the frequent ones may be found approximately.) A trie of the sets in that order is dealt
+to tasks, so that each task holds the paths which can meet:
+
+1. Sets. Documents with equal sets form a class, named by a digest of the set; all later steps see
+   a class once.
+2. Near copies first. Sets that agree in two least hashes (BANDS chances) meet in blocks of bounded
+   size. Each block is a trie that is traversed for every set with partial overlaps shared along
+   paths and subtrees pruned by the lengths that remain; a subtree whose sets are all connected to
+   the set already is skipped. This connects most of what belongs together.
+3. What is left. Similar sets share a shingle among the first n - ceil(0.75 n) + 1 of each in the
+   global order. These prefixes go to shards by shingle, with the component of step 2. A shingle
+   whose sets all lie in one component has nothing left to give. Of the others, two sets of
+   different components are a candidate if their sizes and the shingle's places in both leave
+   enough overlap possible; no pair within a component is ever written.
+   Pairs are written at once only for shingles of up to CROWD sets, so a row makes CROWD / 2 at most.
+4. The sets of more crowded shingles, and of frequent ones, are bundled by the shingles' smallest
+   set, so that all shingles of a passage meet in a task, which sifts its pairs before it writes
+   them. Shingles of over CROWD_ROWS sets are compared in parts of that size, dealt by component;
+   parts of one component never meet each other.
+5. Candidates that share too few prefix shingles, or whose counts of shingles by hash cell rule
+   the similarity out, are dropped; the rest is grouped around common neighbours, a bounded number
+   of pairs a group. Each group's sets form a trie, which is traversed from its root towards the
+   candidates with the same bounds and gives exact overlaps.
 6. Components of all links.
 """
 
@@ -31,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm.jaccard_trie import Trie, all_links
-from skylattice.llm.shared import components, small_batches, stored
+from skylattice.llm.shared import components, discard, small_batches, stored
 from skylattice.llm.textkernel import Block, blocks, byte_class, grams, mix
 
 WORDS = 5
@@ -39,41 +48,72 @@ PERCENT = 75
 #: A shingle is frequent if this many documents hold it, and one in FREQUENT_SHARE.
 FREQUENT_DOCS = 32
 FREQUENT_SHARE = 16_000
-#: Sets that share a shingle of their prefixes, beyond which it counts as crowded.
-CROWD = 32
-#: Sets in a block of a crowded shingle.
+#: Sets that share a shingle of their prefixes, beyond which it counts as crowded: pairs would be many times the sets.
+CROWD = 8
+#: Sets in a block of near copies.
 BLOCK_SETS = 256
-#: Rows of a crowded shingle that meet in one task.
-CROWD_ROWS = 4096
+#: Rows of a crowded shingle in a part; two parts meet in a task.
+CROWD_ROWS = 1024
+#: Rows of crowded shingles in a bundle, about.
+BUNDLE_ROWS = 20_000
 #: Prefix shingles in a shard, about.
 SHARD_TOKENS = 1_000_000
 #: Candidate pairs in a group, about.
-GROUP_PAIRS = 4096
+GROUP_PAIRS = 1024
 #: Set ids that are broadcast to fetch sets, at most; beyond them the sets are fetched by joins.
 FETCH_ROWS = 1_000_000
-#: Hash functions whose least values bring sets with crowded shingles together.
-MINS = 4
+#: Pairs of hash functions whose least values bring near copies together.
+BANDS = 4
 #: Hash cells of the counts that rule out candidates.
 CELLS = 64
 
 _WORD = byte_class(b" \t\n\v\f\r")
+_LATE = np.uint64(1 << 63)
+_SEEDS = [np.uint64(0x9E37 * (i + 1)) for i in range(2 * BANDS)]
 
 
-def _sets(block: Block, words: int) -> list[np.ndarray]:
-    """Each row's distinct shingles, sorted; a row of fewer words has all of them as one, a row of none nothing."""
+class _Last:
+    """The frequent shingles; ``mark`` sets the highest bit of those in an array, which puts them last in the order."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[(values >> np.uint64(47)).astype(np.int64)] = True
+
+    def mark(self, x: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.seen[(x >> np.uint64(47)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.values, x[maybe]), len(self.values) - 1)
+            late = maybe[self.values[at] == x[maybe]]
+            x = x.copy()
+            x[late] |= _LATE
+        return x
+
+
+def _sets(block: Block, words: int, last: _Last | None = None) -> list[np.ndarray]:
+    """Each row's distinct shingles in order; a row of fewer words has all of them as one, a row of none nothing."""
     starts, ends, first = block.spans(_WORD)
     hashes = block.hashes(starts, ends)
-    full = grams(hashes, words)
+    full = grams(hashes, words) >> np.uint64(1)
+    if last is not None:
+        full = last.mark(full)
     out = []
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if z - a >= words:
-            out.append(np.unique(full[a : z - words + 1]))
+            x = np.sort(full[a : z - words + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+        elif z > a:
+            x = grams(hashes[a:z], z - a, seed=z - a) >> np.uint64(1)
+            out.append(last.mark(x) if last is not None else x)
         else:
-            out.append(grams(hashes[a:z], z - a, seed=z - a) if z > a else hashes[:0])
+            out.append(hashes[:0])
     return out
 
 
 def _sid(x: np.ndarray) -> int:
+    """The name of a set, whether or not its frequent shingles are marked."""
+    if len(x) and x[-1] >= _LATE:
+        x = np.sort(x & ~_LATE)
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -81,238 +121,147 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _mins(x: np.ndarray) -> list[int]:
-    """The least of a set's shingles by each of MINS hash functions."""
-    return [int(mix(x ^ np.uint64(0x9E37 * (i + 1))).min().view(np.int64)) if len(x) else 0 for i in range(MINS)]
+def _bands(sets: list[np.ndarray]) -> list[list[int] | None]:
+    """For each set BANDS numbers, each from its least values by two hash functions; None for empty sets."""
+    some = [i for i, x in enumerate(sets) if len(x)]
+    out: list[list[int] | None] = [None] * len(sets)
+    if some:
+        flat = np.concatenate([sets[i] for i in some])
+        starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in some])[:-1]])
+        least = [np.minimum.reduceat(mix(flat ^ seed), starts) for seed in _SEEDS]
+        bands = np.stack([mix(least[2 * k] ^ mix(least[2 * k + 1])) for k in range(BANDS)], 1).view(np.int64).tolist()
+        for i, x in zip(some, bands, strict=True):
+            out[i] = x
+    return out
 
 
 def _cells(x: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
 
 
 class JaccardJoin:
-    """The join's state for one table of documents: ``classes``, ``links`` and ``components``."""
+    """The join's state for one table of documents: ``classes``, ``links`` and ``components``.
+
+    Rows whose text is null or has no words have an empty set and link with nothing. Rows without
+    an id, too, link with nothing. Repeated ids are allowed: each row counts by its own text. Equal
+    similarity needs no tie rule, as a component's name is its smallest id. All other columns of
+    ``docs`` are ignored, whatever their names.
+    """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, fetch_rows: int = FETCH_ROWS) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, crowd: int = CROWD, fetch_rows: int = FETCH_ROWS, frequent_docs: int = FREQUENT_DOCS, crowd_rows: int = CROWD_ROWS) -> None:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        self.words, self.percent, self.crowd, self.fetch_rows = words, percent, crowd, fetch_rows
+        self.words, self.percent, self.crowd, self.fetch_rows, self.frequent_docs, self.crowd_rows = words, percent, crowd, fetch_rows, frequent_docs, crowd_rows
         small_batches(self.spark)
-        self.rows = stored(self._rows(), "jaccard-rows")
-        known = self.rows.where("n > 0 AND doc_id IS NOT NULL")
-        self.classes = stored(
-            known.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("mins").alias("mins")), "jaccard-classes"
-        )
+        scanned = stored(self._scanned(), "jaccard-rows")
+        self.rows = scanned.where("t IS NULL").select("doc_id", "sid", "n", "cells", "bands")
         total = self.rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
         self.n_docs, self.n_tokens = total["docs"], total["tokens"]
+        least = max(frequent_docs, self.n_docs // FREQUENT_SHARE)
+        often = scanned.where("t IS NOT NULL").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("t")
+        self.last = self.spark.sparkContext.broadcast(_Last(np.sort(often.toPandas()["t"].to_numpy(np.int64).view(np.uint64))))
+        self.classes = stored(
+            self.rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid")
+            .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("bands").alias("bands")),
+            "jaccard-classes",
+        )
 
-    def _map(self, function, schema: str) -> DataFrame:
-        return self.docs.mapInArrow(function, schema)
-
-    def _rows(self) -> DataFrame:
-        words = self.words
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [x for block in blocks(batch.column(1)) for x in _sets(block, words)]
-                yield pa.record_batch(
-                    [batch.column(0), pa.array([_sid(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_cells(x) for x in sets], pa.binary()), pa.array([_mins(x) for x in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "sid", "n", "cells", "mins"],
-                )
-
-        return self._map(run, "doc_id long, sid long, n long, cells binary, mins array<long>")
-
-    # -- order
-
-    def _frequent(self) -> np.ndarray:
-        """Sorted hashes of shingles that at least FREQUENT_DOCS documents and one in FREQUENT_SHARE hold.
+    def _scanned(self) -> DataFrame:
+        """One row for each document, and rows (t, c) of shingles that are frequent within blocks of a task's rows.
 
-        Tasks return what is frequent within blocks of their own rows: a shingle that is frequent
-        in all is so in some block. There are FREQUENT_SHARE times a set's mean size at most.
+        A shingle that one in FREQUENT_SHARE of all documents holds is so in some block. All tasks
+        together can name FREQUENT_SHARE times a set's mean size of these at most.
         """
         words, share = self.words, FREQUENT_SHARE
+        names = ["doc_id", "sid", "n", "cells", "bands", "t", "c"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+
+        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            some = counts >= max(2, len(held) // share)
+            null = [pa.nulls(int(some.sum()), k) for k in kinds[:5]]
+            return pa.record_batch([*null, pa.array(values[some].view(np.int64)), pa.array(counts[some])], names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
             size = 0
-
-            def flush() -> pa.RecordBatch:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                some = counts >= max(2, len(held) // share)
-                return pa.record_batch([pa.array(values[some].view(np.int64)), pa.array(counts[some])], ["t", "c"])
-
             for batch in batches:
                 for block in blocks(batch.column(1)):
-                    for x in _sets(block, words):
-                        held.append(x)
-                        size += len(x)
+                    sets = _sets(block, words)
+                    rows = [[_sid(x) for x in sets], [len(x) for x in sets], [_cells(x) for x in sets], _bands(sets)]
+                    null = [pa.nulls(len(sets), pa.int64())] * 2
+                    yield pa.record_batch([batch.column(0).slice(block.first, len(block)), *map(pa.array, rows, kinds[1:5]), *null], names)
+                    held += sets
+                    size += sum(rows[1])
                     if size >= 2_000_000:
-                        yield flush()
+                        yield flush(held)
                         held, size = [], 0
             if held:
-                yield flush()
-
-        least = max(FREQUENT_DOCS, self.n_docs // share)
-        found = self._map(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("t")
-        return np.sort(found.toPandas()["t"].to_numpy(np.int64).view(np.uint64))
-
-    # -- candidates
-
-    def _shards(self, frequent: np.ndarray) -> DataFrame:
-        """Prefix shingles packed by shard: (shard, tokens, places of the sets, places in the sets, sids, sizes)."""
-        words, percent = self.words, self.percent
-        count = max(8, -(-self.n_tokens // (4 * SHARD_TOKENS)))
-        shared = self.spark.sparkContext.broadcast(frequent)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = shared.value
-            seen = np.zeros(1 << 16, bool)
-            seen[(last >> np.uint64(48)).astype(np.int64)] = True
-            tokens: list[np.ndarray] = []
-            sids: list[int] = []
-            sizes: list[int] = []
-            held = 0
-
-            def flush() -> pa.RecordBatch:
-                lengths = np.array([len(x) for x in tokens])
-                flat = np.concatenate(tokens)
-                owner = np.repeat(np.arange(len(tokens)), lengths)
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                shard = ((flat >> np.uint64(20)) % np.uint64(count)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(count + 1))
-                out = []
-                for k in range(count):
-                    mine = order[cuts[k] : cuts[k + 1]]
-                    if len(mine):
-                        some, local = np.unique(owner[mine], return_inverse=True)
-                        out.append(
-                            (
-                                k, flat[mine].tobytes(), local.astype("<u4").tobytes(), place[mine].astype("<u4").tobytes(),
-                                np.array(sids)[some].astype("<i8").tobytes(), np.array(sizes)[some].astype("<i8").tobytes(),
-                            )
-                        )
-                kinds = [pa.int32()] + [pa.binary()] * 5
-                return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "t", "d", "p", "s", "n"])
-
-            for batch in batches:
-                have = np.array([x is not None for x in batch.column(0).to_pylist()], bool)
-                for block in blocks(batch.column(1)):
-                    for i, x in enumerate(_sets(block, words)):
-                        if not len(x) or not have[block.first + i]:
-                            continue
-                        late = np.zeros(len(x), bool)
-                        maybe = np.flatnonzero(seen[(x >> np.uint64(48)).astype(np.int64)])
-                        if len(maybe):
-                            at = np.minimum(np.searchsorted(last, x[maybe]), len(last) - 1)
-                            late[maybe] = last[at] == x[maybe]
-                        size = _prefix_size(len(x), percent)
-                        early = x[~late]
-                        tokens.append(early[:size] if len(early) >= size else np.concatenate([early, x[late]])[:size])
-                        sids.append(_sid(x))
-                        sizes.append(len(x))
-                        held += size
-                    if held >= 500_000:
-                        yield flush()
-                        tokens, sids, sizes, held = [], [], [], 0
-            if tokens:
-                yield flush()
-
-        self.shard_count = count
-        return self._map(run, "shard int, t binary, d binary, p binary, s binary, n binary").repartition(count, "shard")
-
-    def _candidates(self, shards: DataFrame) -> DataFrame:
-        """(token, a, b, n, pos): candidate pairs and how many prefix shingles they share here (token null), and the rows of crowded shingles (b null)."""
-        percent, crowd = self.percent, self.crowd
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts: dict[int, list[list[np.ndarray]]] = defaultdict(list)
-            for batch in batches:
-                for k, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    t, d, p, s, n = (np.frombuffer(x, f) for x, f in zip(raw, ("<u8", "<u4", "<u4", "<i8", "<i8"), strict=True))
-                    parts[k].append([t, s[d], n[d], p.astype(np.int64)])
-            for k in sorted(parts):
-                t, s, n, p = (np.concatenate(x) for x in zip(*parts.pop(k), strict=True))
-                yield from _pairs_of(t, s, n, p, percent, crowd)
+                yield flush(held)
 
-        return shards.mapInArrow(run, "token long, a long, b long, n long, pos long")
+        return self.docs.mapInArrow(run, "doc_id long, sid long, n long, cells binary, bands array<long>, t long, c long")
 
     # -- sets
 
     def _blocks_of_sets(self, wanted: DataFrame) -> DataFrame:
-        """(block, rep, set) for (block, rep) rows: texts are read again, and only sets that some block wants are kept.
+        """(block, sid, set) for (block, sid, rep) rows: texts are read again, and only sets that some block wants are kept.
 
         Up to ``fetch_rows`` wanted rows are broadcast, so that each set goes straight to its
-        blocks; beyond, the texts of wanted documents are fetched by a join and sets by another.
+        blocks; beyond, all sets are shuffled once to meet them. Texts never are.
         """
-        words = self.words
+        words, last = self.words, self.last
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reps, cuts, block_ids = shared.value if shared else (None, None, None)
+            reps, cuts, sids, places = shared.value if shared else (None, None, None, None)
             for batch in batches:
                 ids = batch.column(0)
+                keep = np.asarray(ids.is_valid())
+                mine = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+                at = mine
                 if shared:
-                    mine = ids.fill_null(-1).to_numpy(zero_copy_only=False)
                     at = np.minimum(np.searchsorted(reps, mine), max(len(reps) - 1, 0))
-                    keep = (reps[at] == mine) & np.asarray(ids.is_valid()) if len(reps) else np.zeros(len(mine), bool)
-                    batch, at = batch.filter(pa.array(keep)), at[keep]
-                names, where, data = [], [], []
-                sets = [x for block in blocks(batch.column(1)) for x in _sets(block, words)]
-                for i, x in enumerate(sets):
-                    name, raw = batch.column(0)[i].as_py(), x.tobytes()
-                    for block in block_ids[cuts[at[i]] : cuts[at[i] + 1]].tolist() if shared else [0]:
-                        names.append(name)
-                        where.append(block)
-                        data.append(raw)
-                yield pa.record_batch([pa.array(where, pa.int64()), pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["block", "rep", "set"])
-
-        schema = "block long, rep long, set binary"
+                    keep = keep & (reps[at] == mine) if len(reps) else np.zeros(len(mine), bool)
+                batch, at, mine = batch.filter(pa.array(keep)), at[keep], mine[keep]
+                for block in blocks(batch.column(1)):
+                    names, owners, where, data = [], [], [], []
+                    for i, x in enumerate(_sets(block, words, last.value), block.first):
+                        name, raw = _sid(x), x.tobytes()
+                        rows = range(cuts[at[i]], cuts[at[i] + 1]) if shared else [None]
+                        for k in rows:
+                            if k is None or sids[k] == name:
+                                names.append(name)
+                                owners.append(int(mine[i]))
+                                where.append(0 if k is None else int(places[k]))
+                                data.append(raw)
+                    yield pa.record_batch(
+                        [pa.array(where, pa.int64()), pa.array(owners, pa.int64()), pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["block", "rep", "sid", "set"]
+                    )
+
+        schema = "block long, rep long, sid long, set binary"
         if wanted.count() <= self.fetch_rows:
-            rows = wanted.select("rep", "block").toPandas().sort_values(["rep", "block"])
+            rows = wanted.select("rep", "sid", "block").toPandas().sort_values(["rep", "sid", "block"])
             reps, start = np.unique(rows["rep"].to_numpy(np.int64), return_index=True)
-            shared = self.spark.sparkContext.broadcast((reps, np.append(start, len(rows)), rows["block"].to_numpy(np.int64)))
-            return self.docs.mapInArrow(run, schema)
+            shared = self.spark.sparkContext.broadcast((reps, np.append(start, len(rows)), rows["sid"].to_numpy(np.int64), rows["block"].to_numpy(np.int64)))
+            return self.docs.mapInArrow(run, schema).drop("rep")
         shared = None
-        some = self.docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return some.mapInArrow(run, schema).drop("block").join(wanted, "rep").select("block", "rep", "set")
-
-    # -- crowded shingles
-
-    def _crowd_links(self, rows: DataFrame) -> DataFrame:
-        """(a, b): links of sets that meet at crowded shingles. rows: token, rep, n, pos.
-
-        Sets whose least hash is the same by one of MINS functions are dealt to blocks of bounded
-        size, each with two members in common with the other blocks of that hash. Similar sets
-        share most of these, so what belongs together is connected here, and the exact steps
-        that follow have little left to do.
-        """
-        mins = self.classes.select("rep", F.posexplode("mins").alias("r", "m")).join(rows.select("rep").distinct(), "rep", "left_semi")
-        cell = mins.select("rep", F.xxhash64("r", "m").alias("cell"))
-        counts = cell.groupBy("cell").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1")
-        parts = counts.withColumn("parts", F.ceil(F.col("c") / BLOCK_SETS).cast("int"))
-        name = lambda part: F.xxhash64("cell", part).alias("block")
-        dealt = cell.join(parts.select("cell", "parts"), "cell").select(name(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "rep")
-        anchors = parts.select("cell", F.array("lo", "hi").alias("reps"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        anchors = anchors.select("cell", F.explode("reps").alias("rep"), "part").select(name(F.col("part")), "rep")
-        wanted = stored(dealt.union(anchors).distinct(), "jaccard-blocks")
-        return self._joined(self._blocks_of_sets(wanted), None)
+        return self.docs.mapInArrow(run, schema).drop("block").join(wanted, ["rep", "sid"]).select("block", "sid", "set")
 
     def _joined(self, sets: DataFrame, pairs: DataFrame | None) -> DataFrame:
         """(a, b): links of each block's sets; all that chains need, or the given (block, a, b) pairs that are similar."""
         percent = self.percent
         packed = sets.withColumn("other", F.lit(None).cast("long"))
         if pairs is not None:
-            packed = packed.unionByName(pairs.select("block", F.col("a").alias("rep"), F.lit(None).cast("binary").alias("set"), F.col("b").alias("other")))
+            packed = packed.unionByName(pairs.select("block", F.col("a").alias("sid"), F.lit(None).cast("binary").alias("set"), F.col("b").alias("other")))
         full = pairs is None
 
         def run(key, table):
             own: dict[int, np.ndarray] = {}
             targets: dict[int, list[int]] = defaultdict(list)
-            for rep, x, other in zip(*(table.column(c).to_pylist() for c in ("rep", "set", "other")), strict=True):
+            for sid, x, other in zip(*(table.column(c).to_pylist() for c in ("sid", "set", "other")), strict=True):
                 if x is not None:
-                    own[rep] = np.frombuffer(x, np.uint64)
+                    own[sid] = np.frombuffer(x, np.uint64)
                 else:
-                    targets[rep].append(other)
+                    targets[sid].append(other)
             names = sorted(own)
             sets = [own[x] for x in names]
             if full:
@@ -325,23 +274,206 @@ class JaccardJoin:
 
         return packed.groupBy("block").applyInArrow(run, "a long, b long")
 
-    def _crowd_pairs(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """(a, b): candidates at crowded shingles whose sets no chain of links connects. Rows of a shingle meet CROWD_ROWS at a time."""
+    # -- near copies first
+
+    def _near_copies(self) -> DataFrame:
+        """(a, b): links of sets that agree in a band, enough of them to connect what they connect.
+
+        A band's sets are dealt to blocks of bounded size, each with two members in common with
+        the other blocks of that band; bands with the same members count once.
+        """
+        band = self.classes.select("sid", "rep", F.posexplode("bands").alias("r", "m")).select("sid", "rep", F.xxhash64("r", "m").alias("band"))
+        mark = F.xxhash64("sid")
+        counts = band.groupBy("band").agg(
+            F.count("*").alias("c"), F.min(F.struct("sid", "rep")).alias("lo"), F.max(F.struct("sid", "rep")).alias("hi"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("y")
+        ).where("c > 1")
+        counts = counts.groupBy("c", "x", "y").agg(F.min("band").alias("band"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        parts = stored(counts.select("band", "lo", "hi", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("parts")), "jaccard-bands")
+        name = lambda part: F.xxhash64("band", part).alias("block")
+        dealt = band.join(parts.select("band", "parts"), "band").select(name(F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")), "sid", "rep")
+        anchors = parts.select("band", F.explode(F.array("lo", "hi")).alias("e"), "parts").select("band", "e.*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        wanted = stored(dealt.union(anchors.select(name(F.col("part")), "sid", "rep")).distinct(), "jaccard-blocks")
+        out = stored(self._joined(self._blocks_of_sets(wanted), None), "jaccard-near")
+        discard(parts, wanted)
+        return out
+
+    # -- candidates
+
+    def _prefixes(self, labels: DataFrame) -> DataFrame:
+        """(sid, n, label, prefix): the first shingles in order of each class, which any similar set shares one of."""
+        words, percent, last = self.words, self.percent, self.last
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in blocks(batch.column(1)):
+                    sets = _sets(block, words, last.value)
+                    some = [i for i, x in enumerate(sets) if len(x)]
+                    sets = [sets[i] for i in some]
+                    rows = [pa.array([_sid(x) for x in sets], pa.int64()), pa.array([x[: _prefix_size(len(x), percent)].tobytes() for x in sets], pa.binary())]
+                    ids = batch.column(0).slice(block.first, len(block)).take(pa.array(some, pa.int64()))
+                    yield pa.record_batch([ids, *rows], ["rep", "sid", "prefix"])
+
+        known = self.classes.select("sid", "rep", "n").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        return self.docs.mapInArrow(run, "rep long, sid long, prefix binary").join(known, ["rep", "sid"]).select("sid", "n", "label", "prefix")
+
+    def _mixed(self, prefixes: DataFrame) -> np.ndarray:
+        """Sorted: the frequent shingles that sets of different components hold in their prefixes (at most all frequent ones)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat, owner, _ = _flat(batch.column("prefix"))
+                late = flat >= _LATE
+                t, label = flat[late], batch.column("label").to_numpy()[owner[late]]
+                order = np.argsort(t, kind="stable")
+                t, label = t[order], label[order]
+                starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+                if len(starts):
+                    least, most = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
+                    yield pa.record_batch([pa.array(t[starts].view(np.int64)), pa.array(least), pa.array(most)], ["t", "lo", "hi"])
+
+        found = prefixes.select("label", "prefix").mapInArrow(run, "t long, lo long, hi long").groupBy("t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi")
+        return np.sort(found.select("t").toPandas()["t"].to_numpy(np.int64).view(np.uint64))
+
+    def _frequent_rows(self, prefixes: DataFrame, mixed: np.ndarray) -> DataFrame:
+        """(token, sid, n, pos, label) of the frequent shingles in prefixes that are not all of one component."""
+        shared = self.spark.sparkContext.broadcast(mixed)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = shared.value
+            for batch in batches:
+                flat, owner, place = _flat(batch.column("prefix"))
+                late = np.flatnonzero(flat >= _LATE)
+                if len(some) and len(late):
+                    at = np.minimum(np.searchsorted(some, flat[late]), len(some) - 1)
+                    late = late[some[at] == flat[late]]
+                    mine = [batch.column(c).to_numpy()[owner[late]] for c in ("sid", "n", "label")]
+                    sid, n, label = (pa.array(x) for x in mine)
+                    yield pa.record_batch([pa.array(flat[late].view(np.int64)), sid, n, pa.array(place[late]), label], ["token", "sid", "n", "pos", "label"])
+
+        return prefixes.mapInArrow(run, "token long, sid long, n long, pos long, label long")
+
+    def _shards(self, prefixes: DataFrame) -> DataFrame:
+        """Prefix shingles that aren't frequent, packed by shard: shingles, their places, and for each set how many, name, size, component.
+
+        A component is written only where it differs from the set's name.
+        """
+        count = max(8, -(-self.n_tokens // (4 * SHARD_TOKENS)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, ...]] = []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                flat, sid, n, label, place = (np.concatenate(x) for x in zip(*held, strict=True))
+                shard = ((flat >> np.uint64(20)) % np.uint64(count)).astype(np.int64)
+                order = np.lexsort([sid, shard])
+                shard = shard[order]
+                numbers, cuts = np.unique(shard, return_index=True)
+                out = []
+                for k, a, z in zip(numbers.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
+                    mine = order[a:z]
+                    names, first, many = np.unique(sid[mine], return_index=True, return_counts=True)
+                    lead = mine[first]
+                    other = label[lead] != names
+                    raw = (flat[mine], place[mine].astype("<u4"), many.astype("<u4"), names, n[lead].astype("<u4"), np.packbits(other), label[lead][other])
+                    out.append((k, *(x.tobytes() for x in raw)))
+                kinds = [pa.int32()] + [pa.binary()] * 7
+                return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _PACKED)
+
+            for batch in batches:
+                flat, owner, place = _flat(batch.column("prefix"))
+                some = np.flatnonzero(flat < _LATE)
+                if len(some):
+                    held.append((flat[some], *(batch.column(c).to_numpy()[owner[some]] for c in ("sid", "n", "label")), place[some]))
+                    size += len(some)
+                if size >= 500_000:
+                    yield flush()
+                    held, size = [], 0
+            if held:
+                yield flush()
+
+        return prefixes.mapInArrow(run, "shard int, " + ", ".join(f"{c} binary" for c in _PACKED[1:])).repartition(count, "shard")
+
+    def _candidates(self, shards: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b) and how many prefix shingles they share here (n), with token null; and rows of crowded shingles.
+
+        Such a row has a token, a set (a) of size n with the token at pos, its component (label) and
+        the token's smallest set (b), or null for more than ``crowd_rows`` sets.
+        """
+        percent, crowd, most = self.percent, self.crowd, self.crowd_rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, list[list[np.ndarray]]] = defaultdict(list)
+            for batch in batches:
+                for k, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    t, p, c, s, n, f, own = (np.frombuffer(x, kind) for x, kind in zip(raw, ("<u8", "<u4", "<u4", "<i8", "<u4", "u1", "<i8"), strict=True))
+                    label = s.copy()
+                    label[np.flatnonzero(np.unpackbits(f, count=len(s)))] = own
+                    d = np.repeat(np.arange(len(s)), c)
+                    parts[k].append([t, s[d], n[d].astype(np.int64), p.astype(np.int64), label[d]])
+            for k in sorted(parts):
+                rows = _grouped(*(np.concatenate(x) for x in zip(*parts.pop(k), strict=True)))
+                yield from _crowded(*rows, crowd, most)
+                for a, b, times in _pairs_of(*rows, percent, crowd):
+                    null = pa.nulls(len(a), pa.int64())
+                    yield pa.record_batch([null, pa.array(a), pa.array(b), pa.array(times), null, null], _ROW)
+
+        return shards.mapInArrow(run, "token long, a long, b long, n long, pos long, label long")
+
+    # -- crowded shingles
+
+    def _bundled(self, rows: DataFrame) -> DataFrame:
+        """(a, b, c): candidates of different components at shingles of up to ``crowd_rows`` sets, and how many of these they share.
+
+        rows: token, sid, n, pos, label, first. Bundles are dealt by the shingles' smallest set.
+        Shingles of one passage mostly have the same one, so a pair is written once for most of
+        what it shares, and only if its counts by hash cell allow it.
+        """
         percent = self.percent
-        rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        rows = rows.join(rows.groupBy("rep").agg(F.collect_list("token").alias("all")), "rep").join(self.classes.select("rep", "cells"), "rep")
-        # a shingle whose sets are all connected has no candidates
-        spread = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-        spread = spread.select("token", F.ceil(F.col("c") / CROWD_ROWS).cast("int").alias("parts"))
-        rows = rows.join(spread, "token").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        # part i meets part j in task (i, j), i <= j
-        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.select(
-            "token", "rep", "n", "pos", "component", "all", "cells", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j")
-        )
+        rows = stored(rows.join(self.classes.select("sid", "cells"), "sid"), "jaccard-crowd-rows")
+        sizes = rows.groupBy("first").agg(F.ceil(F.count("*") / BUNDLE_ROWS).cast("int").alias("parts"))
+        count = max(8, -(-rows.count() // BUNDLE_ROWS))
+        dealt = rows.join(sizes, "first").withColumn("bundle", F.pmod(F.xxhash64("first", F.pmod(F.xxhash64("token"), F.col("parts"))), F.lit(count)))
 
         def run(key, table):
-            rep, n, pos, label, part = (table.column(c).to_numpy() for c in ("rep", "n", "pos", "component", "part"))
+            t, sid, n, pos, label = (table.column(c).to_numpy() for c in ("token", "sid", "n", "pos", "label"))
+            names, at = np.unique(sid, return_index=True)
+            cells = np.frombuffer(b"".join(table.column("cells").take(pa.array(at)).to_pylist()), "<u2").reshape(-1, CELLS)
+            size = n[at]
+            out = []
+            for a, b, times in _pairs_of(*_grouped(t.view(np.uint64), sid, n, pos, label), percent, 1 << 30):
+                i, j = np.searchsorted(names, a), np.searchsorted(names, b)
+                ok = _cells_allow(cells[i], cells[j], size[i], size[j], percent)
+                out.append(pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok]), "c": pa.array(times[ok])}))
+            return pa.concat_tables(out) if out else pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())]).empty_table()
+
+        columns = ["bundle", "token", "sid", "n", "pos", "label", "cells"]
+        return dealt.select(columns).groupBy("bundle").applyInArrow(run, "a long, b long, c long")
+
+    def _crowd_pairs(self, rows: DataFrame) -> DataFrame:
+        """(a, b): candidates of different components at shingles of more sets. rows: token, sid, n, pos, label.
+
+        A shingle's rows are cut into parts: a component of many rows has parts of its own, the
+        others are dealt by component. Parts of one component don't meet; all other pairs of parts
+        meet in a task each.
+        """
+        percent = self.percent
+        rows = rows.join(rows.groupBy("sid").agg(F.collect_list("token").alias("all")), "sid").join(self.classes.select("sid", "cells"), "sid")
+        groups = rows.groupBy("token", "label").agg(F.count("*").alias("c")).withColumn("own", F.col("c") > self.crowd_rows // 4)
+        pool = groups.where("NOT own").groupBy("token").agg(F.ceil(F.sum("c") / self.crowd_rows).cast("int").alias("parts"))
+        alone = F.ceil(F.col("c") / self.crowd_rows).cast("int")
+        groups = groups.join(pool, "token", "left").select("token", "label", "own", F.when(F.col("own"), alone).otherwise(F.col("parts")).alias("parts"))
+        groups = stored(groups.withColumn("head", F.when(F.col("own"), F.col("label"))), "jaccard-crowd")
+        part = lambda x: F.pmod(F.xxhash64(x), F.col("parts")).cast("int")
+        rows = rows.join(groups, ["token", "label"]).withColumn("part", F.when(F.col("own"), part("sid")).otherwise(part("label")))
+        ends = groups.select("token", "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct().withColumn("p", F.xxhash64("head", "part"))
+        meet = ends.alias("x").join(ends.alias("y"), "token").where("x.p <= y.p AND (x.head IS NULL OR y.head IS NULL OR x.head != y.head)")
+        meet = meet.select("token", F.col("x.p").alias("i"), F.col("y.p").alias("j"))
+        sides = meet.select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("p"))
+        rows = rows.withColumn("p", F.xxhash64("head", "part")).join(sides, ["token", "p"]).select("token", "sid", "n", "pos", "label", "all", "cells", "p", "i", "j")
+
+        def run(key, table):
+            sid, n, pos, label, part = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "label", "p"))
             cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2").reshape(-1, CELLS)
             token = table.column("token")[0].as_py()
             before = [frozenset(t for t in some if t < token) for some in table.column("all").to_pylist()]
@@ -354,7 +486,7 @@ class JaccardJoin:
                 b = b[_cells_allow(cells[a], cells[b], n[a], n[b], percent)]
                 # a pair comes from the first of the crowded shingles that it shares
                 b = np.array([k for k in b.tolist() if before[a].isdisjoint(before[k])], np.int64)
-                out.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])], 1))
+                out.append(np.stack([np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])], 1))
             found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
             return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
@@ -362,27 +494,27 @@ class JaccardJoin:
 
     # -- all
 
-    def links(self) -> DataFrame:
-        """(a, b): links between class representatives that connect whatever chains of links connect."""
-        found = stored(self._candidates(self._shards(self._frequent())), "jaccard-candidates")
-        names = self.classes.select("sid", "rep")
-        pairs = (
-            found.where("token IS NULL").groupBy("a", "b").agg(F.sum("n").alias("c"))
-            .join(names.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
-            .join(names.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "c")
-        )
-        crowded = found.where("token IS NOT NULL").select("token", F.col("a").alias("sid"), "n", "pos")
-        crowded = stored(crowded.join(names, "sid").select("token", "rep", "n", "pos"), "jaccard-crowded")
-        early = stored(self._crowd_links(crowded), "jaccard-crowd-links")
-        labels = components(early)
-        pairs = pairs.unionByName(self._crowd_pairs(crowded, labels).withColumn("c", F.lit(0).cast("long")))
-        # no need to look at what is connected already
-        of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
-        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca IS NULL OR cb IS NULL OR ca != cb")
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Labels (sid, label) of the components of near copies, and links (a, b) between sets of different labels that are left."""
+        labels = components(self._near_copies()).select(F.col("id").alias("sid"), F.col("component").alias("label"))
+        prefixes = stored(self._prefixes(labels), "jaccard-prefixes")
+        found = stored(self._candidates(self._shards(prefixes)), "jaccard-candidates")
+        crowded = found.where("token IS NOT NULL").select("token", F.col("a").alias("sid"), "n", "pos", "label", F.col("b").alias("first"))
+        mixed = self._mixed(prefixes)
+        if len(mixed):
+            often = stored(self._frequent_rows(prefixes, mixed), "jaccard-frequent-rows")
+            stats = often.groupBy("token").agg(F.count("*").alias("k"), F.min("sid").alias("m"))
+            stats = stats.select("token", F.when(F.col("k") <= self.crowd_rows, F.col("m")).alias("first"))
+            crowded = crowded.unionByName(often.join(stats, "token"))
+        crowded = stored(crowded, "jaccard-crowded")
+        pairs = found.where("token IS NULL").select("a", "b", F.col("n").alias("c"))
+        pairs = pairs.unionByName(self._bundled(crowded.where("first IS NOT NULL")))
+        hot = crowded.where("first IS NULL").drop("first")
+        pairs = pairs.unionByName(self._crowd_pairs(hot).withColumn("c", F.lit(0).cast("long")))
         pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
-        pairs = stored(self._sifted(pairs, crowded.groupBy("rep").agg(F.count("*").alias("k"))), "jaccard-pairs")
-        return early.union(self._verified(pairs))
+        pairs = stored(self._sifted(pairs, hot.groupBy("sid").agg(F.count("*").alias("k"))), "jaccard-pairs")
+        discard(prefixes, found, crowded)
+        return labels, self._verified(pairs)
 
     def _sifted(self, pairs: DataFrame, crowded: DataFrame) -> DataFrame:
         """Pairs (a, b) whose shared prefix shingles, and whose counts by hash cell, allow enough overlap.
@@ -393,8 +525,8 @@ class JaccardJoin:
         """
         percent = self.percent
         of = lambda side: (
-            self.classes.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("cells").alias(f"v{side}"))
-            .join(crowded.select(F.col("rep").alias(side), F.col("k").alias(f"k{side}")), side, "left")
+            self.classes.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("cells").alias(f"v{side}"))
+            .join(crowded.select(F.col("sid").alias(side), F.col("k").alias(f"k{side}")), side, "left")
         )
         beyond = lambda n: F.ceil(F.col(n) * percent / 100) - 1
         most = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(beyond("na"), beyond("nb"))
@@ -410,27 +542,45 @@ class JaccardJoin:
         return rich.mapInArrow(run, "a long, b long")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that are similar, by groups that share neighbours; a group has about GROUP_PAIRS pairs, or is cut."""
+        """Pairs that are similar, by groups that share neighbours; a hub with more than GROUP_PAIRS pairs has several groups."""
         ends = pairs.select("a", "b").union(pairs.select("b", "a"))
         hub = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("hub"))
         of = lambda side: hub.select(F.col("a").alias(side), F.col("hub").alias(f"h{side}"))
         grouped = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("hub", F.least("ha", "hb"))
         sizes = grouped.groupBy("hub").agg(F.ceil(F.count("*") / GROUP_PAIRS).cast("int").alias("parts"))
-        grouped = grouped.join(sizes, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).alias("block"), "a", "b")
+        # a pair's group depends on both of its sets, so a set with very many candidates is in several groups
+        grouped = grouped.join(sizes, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).alias("block"), "a", "b")
         grouped = stored(grouped, "jaccard-groups")
-        wanted = stored(grouped.select("block", F.explode(F.array("a", "b")).alias("rep")).distinct(), "jaccard-wanted")
-        return self._joined(self._blocks_of_sets(wanted), grouped)
+        reps = self.classes.select("sid", "rep")
+        wanted = stored(grouped.select("block", F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid"), "jaccard-wanted")
+        out = stored(self._joined(self._blocks_of_sets(wanted), grouped), "jaccard-links")
+        discard(grouped, wanted)
+        return out
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row; an id that is null has a null component."""
-        of = components(self.links()).select(F.col("id").alias("rep"), "component")
-        names = self.classes.select("sid", "rep").join(of, "rep", "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
+        labels, rest = self.links()
+        of = lambda side: labels.select(F.col("sid").alias(side), F.col("label").alias(f"l{side}"))
+        edges = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        merged = components(edges).withColumnRenamed("id", "label")
+        group = self.classes.select("sid", "rep").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        group = group.join(merged, "label", "left").select("sid", "rep", F.coalesce("component", "label").alias("group"))
+        least = group.groupBy("group").agg(F.min("rep").alias("component_id"))
+        names = group.join(least, "group").select("sid", "component_id")
         rows = self.rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
         return rows.join(names, "sid", "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
         )
 
 
+def _flat(prefix: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All shingles of some packed prefixes, the row of each and its place there."""
+    raw = prefix.to_pylist()
+    lengths = np.array([len(x) // 8 for x in raw], np.int64)
+    flat = np.frombuffer(b"".join(raw), np.uint64)
+    return flat, np.repeat(np.arange(len(raw)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def _possible(na, nb, pa_, pb, percent: int) -> np.ndarray:
     """Whether sets of sizes na and nb that first meet at places pa and pb can be similar."""
     overlap = 1 + np.minimum(na - pa_ - 1, nb - pb - 1) + np.minimum(pa_, pb)
@@ -443,34 +593,51 @@ def _cells_allow(va, vb, na, nb, percent: int) -> np.ndarray:
     return ((100 + percent) * bound >= percent * (na + nb)) | (np.maximum(na, nb) > 65535)
 
 
-_ROW = ["token", "a", "b", "n", "pos"]
+_PACKED = ["shard", "t", "p", "c", "s", "n", "f", "l"]
+_ROW = ["token", "a", "b", "n", "pos", "label"]
 
 
-def _pairs_of(t, s, n, p, percent: int, crowd: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a shard's prefix shingles, each once, and the rows of its crowded shingles."""
+def _grouped(t, s, n, p, label) -> tuple[np.ndarray, ...]:
+    """Rows of shingles in order, each once, without shingles whose sets are all of one component; then their groups' starts and sizes."""
     order = np.lexsort([s, t])
-    t, s, n, p = t[order], s[order], n[order], p[order]
+    t, s = t[order], s[order]
     once = np.ones(len(t), bool)
     once[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-    t, s, n, p = t[once], s[once], n[once], p[once]
+    order = order[once]
+    t, s, n, p, label = t[once], s[once], n[order], p[order], label[order]
     starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(t)))
+    if len(t):
+        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        starts, sizes = starts[mixed], sizes[mixed]
+    return t, s, n, p, label, starts, sizes
+
+
+def _crowded(t, s, n, p, label, starts, sizes, crowd: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of shingles of more than ``crowd`` sets, with the smallest set of those of up to ``most``."""
     big = np.flatnonzero(sizes > crowd)
-    for g in big.tolist():
-        a, z = starts[g], starts[g] + sizes[g]
-        null = pa.nulls(z - a, pa.int64())
-        yield pa.record_batch([pa.array(t[a:z].view(np.int64)), pa.array(s[a:z]), null, pa.array(n[a:z]), pa.array(p[a:z])], _ROW)
+    if len(big):
+        rows = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in big.tolist()])
+        first = np.repeat(s[starts[big]], sizes[big])
+        first = pa.array(first, pa.int64(), mask=np.repeat(sizes[big] > most, sizes[big]))
+        yield pa.record_batch([pa.array(t[rows].view(np.int64)), pa.array(s[rows]), first, pa.array(n[rows]), pa.array(p[rows]), pa.array(label[rows])], _ROW)
+
+
+def _pairs_of(t, s, n, p, label, starts, sizes, percent: int, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidate pairs across components at shingles of up to ``crowd`` sets, each once, and how many shingles they share."""
     names, local = np.unique(s, return_inverse=True)
     local = local.astype(np.uint64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= crowd)]).tolist():
+    for size in np.unique(sizes[sizes <= crowd]).tolist():
         some = starts[sizes == size]
         left, right = np.triu_indices(size, 1)
         step = max(1, 1_000_000 // len(left))
         for i in range(0, len(some), step):
             a = (some[i : i + step, None] + left[None, :]).ravel()
             b = (some[i : i + step, None] + right[None, :]).ravel()
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
             ok = _possible(n[a], n[b], p[a], p[b], percent)
             key = local[a[ok]] << np.uint64(32) | local[b[ok]]  # a's sid is the smaller: rows of a shingle are in their order
             found.append((key, np.ones(len(key), np.int64)))
@@ -482,9 +649,7 @@ def _pairs_of(t, s, n, p, percent: int, crowd: int) -> Iterator[pa.RecordBatch]:
         key, times = _summed(found)
         for i in range(0, len(key), 100_000):
             part = key[i : i + 100_000]
-            null = pa.nulls(len(part), pa.int64())
-            left, right = names[(part >> np.uint64(32)).astype(np.int64)], names[(part & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            yield pa.record_batch([null, pa.array(left), pa.array(right), pa.array(times[i : i + 100_000]), null], _ROW)
+            yield names[(part >> np.uint64(32)).astype(np.int64)], names[(part & np.uint64(0xFFFFFFFF)).astype(np.int64)], times[i : i + 100_000]
 
 
 def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

@@ -13,21 +13,16 @@ def needed(n: int, m: int, percent: int) -> int:
 class Trie:
     """Sets as paths from the root; sets that begin alike share nodes.
 
-    ``sets`` are arrays of distinct elements. They are stored in one order for all: elements that
-    more of the sets hold come first, so that paths stay together long; ties are by value. Each
-    node covers a run of elements (``lo:hi`` of one member set). ``least`` and ``most`` are the
-    sizes of the smallest and largest set below it.
+    ``sets`` are sorted arrays of distinct numbers: their order by value is the global order that
+    all tries have in common. Each node covers a run of elements (``lo:hi`` of one member set).
+    ``least`` and ``most`` are the sizes of the smallest and largest set below it.
     """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = [len(x) for x in sets]
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        values, ids, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), np.int64)
-        rank[np.lexsort([values, -counts])] = np.arange(len(values))
-        ranks = rank[ids]
-        cuts = np.cumsum(self.sizes)[:-1]
-        self.sets = [np.sort(x) for x in np.split(ranks, cuts)] if sets else []
+        values, ranks = np.unique(flat, return_inverse=True)
+        self.sets = np.split(ranks, np.cumsum(self.sizes)[:-1]) if sets else []
         self._mark = np.zeros(len(values) + 1, np.int32)
         self.parent: list[int] = [-1]
         self.edge: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -107,18 +102,19 @@ class Trie:
         x, size = self.sets[i], self.sizes[i]
         if not size:
             return []
+        ways = self._ways(targets) if targets is not None else None
         # how many elements of x come up to each rank is what a run's last rank says of the rest of x
         self._mark[x] = 1
         try:
-            if targets is not None:
-                return self._by_targets(x, size, i, percent, targets)
             found, stack = [], [(0, 0)]
             while stack:
                 node, overlap = stack.pop()
                 for m in self.members[node]:
-                    if m != i and overlap >= needed(size, self.sizes[m], percent):
+                    if m != i and (ways is None or m in ways[1]) and overlap >= needed(size, self.sizes[m], percent):
                         found.append(m)
                 for child in self.children[node]:
+                    if ways is not None and child not in ways[0]:
+                        continue
                     if find and self._joined(child, find) and find(self._any[child]) == find(i):
                         continue
                     o, alive = self._down(child, overlap, x, size, percent)
@@ -128,32 +124,22 @@ class Trie:
         finally:
             self._mark[x] = 0
 
+    def _ways(self, targets: list[int]) -> tuple[set[int], set[int]]:
+        """The nodes that have a target below, and the targets."""
+        nodes: set[int] = set()
+        for m in targets:
+            node = self.leaf[m]
+            while node > 0 and node not in nodes:
+                nodes.add(node)
+                node = self.parent[node]
+        return nodes, set(targets)
+
     def _down(self, node: int, overlap: int, x: np.ndarray, size: int, percent: int) -> tuple[int, bool]:
         edge = self.edge[node]
         overlap += int(self._mark[edge].sum())
         left = size - int(np.searchsorted(x, edge[-1], "right"))
         return overlap, self._alive(node, overlap, size, left, percent)
 
-    def _by_targets(self, x: np.ndarray, size: int, i: int, percent: int, targets: list[int]) -> list[int]:
-        known: dict[int, int] = {0: 0}  # overlap at nodes; -1 where nothing below can be similar
-        found = []
-        for m in targets:
-            if m == i or not self.sizes[m]:
-                continue
-            node, way = self.leaf[m], []
-            while node not in known:
-                way.append(node)
-                node = self.parent[node]
-            overlap = known[node]
-            for node in reversed(way):
-                if overlap >= 0:
-                    overlap, alive = self._down(node, overlap, x, size, percent)
-                    overlap = overlap if alive else -1
-                known[node] = overlap
-            if overlap >= needed(size, self.sizes[m], percent):
-                found.append(m)
-        return found
-
 
 def all_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of similar sets that connect all sets which chains of similar sets connect; not every pair."""

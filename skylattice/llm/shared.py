@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch on its way to Python: texts can be long, so batches hold few rows.
+#: Rows, and bytes, in an Arrow batch on its way to Python: texts can be long, so batches are small.
 ARROW_ROWS = 512
+ARROW_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path in the storage that all executors share.
 
-    The cluster names that storage in ``spark.checkpoint.dir``. Only where it is unset, as in
-    local tests, a temporary folder of this machine is used and set.
+    The cluster names that storage in ``spark.checkpoint.dir``. Only a local session, as in tests,
+    may leave it unset; a temporary folder of this machine is then used and set.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"skylattice-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,11 +36,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of Arrow batches in this session, alike for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -53,7 +69,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     )
     before = None
     for _ in range(rounds):
-        now = stored(_small_star(_large_star(now)), "cc")
+        last, now = now, stored(_small_star(_large_star(now)), "cc")
+        discard(last)
         digest = now.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))
         ).first()
