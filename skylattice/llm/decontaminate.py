@@ -1,10 +1,14 @@
-"""Benchmark decontamination: winnowed fingerprints of documents meet those of test items, and hits are extended."""
+"""Benchmark decontamination: winnowed fingerprints of documents are joined with those of test items, and hits are extended.
+
+Both sides keep the least 5-gram hash of every window, so a shared run of 10 words shares a
+fingerprint. A fingerprint carries the hashes of the words around it, as many as decide which runs
+of a whole window it lies in; so a joined pair is extended by itself, without the texts.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skylattice.llm.shared import small_batches
+from skylattice.llm.shared import discard, small_batches, stored
 from skylattice.llm.textkernel import Block, blocks, byte_class, grams
 
 #: Consecutive words that make a hit.
 WINDOW = 10
 #: Words in a fingerprinted gram; with windows of WINDOW - GRAM + 1 grams every shared WINDOW words share a fingerprint.
 GRAM = 5
-#: Bytes of test items' texts that are held (and broadcast) at once; more items are taken in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Bits, as a power of two, of the filter of items' fingerprints that is broadcast: 16 MB, whatever the items' number.
+FILTER_BITS = 27
+#: Bytes of what hit documents share with items that are broadcast back to the documents, at most; beyond, a join does it.
+HIT_BYTES = 64 << 20
 
 WORD = byte_class(bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -55,97 +61,167 @@ def winnow(words: np.ndarray, first: np.ndarray, gram: int, window: int) -> tupl
     return at, hashes[at]
 
 
-@dataclass
-class Index:
-    """Test items' words and, for each length of shared run that counts, their fingerprints."""
-
-    ids: np.ndarray
-    words: np.ndarray
-    first: np.ndarray
-    tables: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    # each: run length, gram, window, sorted hashes, their first entries, entries' item numbers and word positions
-
-    @classmethod
-    def build(cls, ids: list[int], texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> Index:
-        parts, counts = [], [0]
-        for block in blocks(pa.array(texts, pa.string())):
-            starts, ends, first = block.spans(WORD)
-            parts.append(block.hashes(starts, ends))
-            counts.extend(np.diff(first).tolist())
-        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        first = np.cumsum(counts)
-        sizes = np.diff(first)
-        tables = []
-        for n in sorted({min(int(x), window) for x in sizes if x}):
-            g = min(gram, n) if n == window else n
-            w = n - g + 1
-            at, hashes = winnow(words, first, g, w)
-            item = np.searchsorted(first, at, "right") - 1
-            mine = sizes[item] >= window if n == window else sizes[item] == n
-            at, hashes, item = at[mine], hashes[mine], item[mine]
-            order = np.argsort(hashes, kind="stable")
-            keys, start = np.unique(hashes[order], return_index=True)
-            tables.append((n, g, w, keys, np.append(start, len(order)), item[order], at[order]))
-        return cls(np.asarray(ids, np.int64), words, first, tables)
-
-    def hits(self, block: Block) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[int]]]:
-        """For each row: its number of words, the runs of its words that hit (may overlap), the items that hit."""
-        starts, ends, first = block.spans(WORD)
-        words = block.hashes(starts, ends)
-        runs: list[list[tuple[int, int]]] = [[] for _ in range(len(block))]
-        items: list[set[int]] = [set() for _ in range(len(block))]
-        for n, g, w, keys, entry, item, position in self.tables:
-            at, hashes = winnow(words, first, g, w)
-            number = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            found = np.flatnonzero(keys[number] == hashes)
-            rows = np.searchsorted(first, at[found], "right") - 1
-            reached: dict[tuple[int, int, int], int] = {}
-            for p, k, row in zip(at[found].tolist(), number[found].tolist(), rows.tolist(), strict=True):
-                low, high = int(first[row]), int(first[row + 1])
-                for e in range(entry[k], entry[k + 1]):
-                    i, q = int(item[e]), int(position[e])
-                    if reached.get((row, i, p - q), -1) > p:
-                        continue  # lies in a run that is known
-                    left, right = self._extend(words, p, low, high, q, int(self.first[i]), int(self.first[i + 1]))
-                    reached[row, i, p - q] = right
-                    if right - left >= n:
-                        runs[row].append((left - low, right - low))
-                        items[row].add(int(self.ids[i]))
-        return np.diff(first), runs, items
-
-    def _extend(self, words: np.ndarray, p: int, low: int, high: int, q: int, first: int, last: int) -> tuple[int, int]:
-        """The longest run of equal words around position p of the texts and q of the items."""
-        n = min(high - p, last - q)
-        other = np.flatnonzero(words[p : p + n] != self.words[q : q + n])
-        right = p + (int(other[0]) if len(other) else n)
-        n = min(p - low, q - first)
-        other = np.flatnonzero(words[p - n : p] != self.words[q - n : q])
-        return (p - n + int(other[-1]) + 1 if len(other) else p - n), right
-
-
-def _covered(runs: list[tuple[int, int]]) -> int:
-    total, end = 0, 0
-    for left, right in sorted(runs):
-        total += max(0, right - max(left, end))
-        end = max(end, right)
-    return total
-
-
-def _item_blocks(items: DataFrame, id_col: str, text: str, limit: int) -> Iterator[Index]:
-    """Indexes of the items, each of about ``limit`` bytes of text at most (a longer item is one of its own)."""
-    ids: list[int] = []
-    texts: list[str] = []
-    held = 0
+def _lengths(window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int]]:
+    """Each length of shared run that counts, and the length of its grams: items of fewer words than a window count whole."""
+    return [(n, gram if n == window else n) for n in range(1, window + 1)]
+
+
+def _prints(block: Block, n: int, gram: int, out_of_row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of a block's texts for runs of n words: row, word position, hash, words around (one row of hashes each); and the rows' numbers of words.
+
+    Of the words around, those beyond the text's ends are ``out_of_row``, which differs between the sides.
+    """
+    starts, ends, first = block.spans(WORD)
+    words = block.hashes(starts, ends)
+    at, hashes = winnow(words, first, gram, n - gram + 1)
+    row = np.searchsorted(first, at, "right") - 1
+    return row, at - first[row], hashes, _around(words, first, row, at, n, gram, out_of_row), np.diff(first)
+
+
+def _around(words: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarray, n: int, gram: int, out_of_row: int) -> np.ndarray:
+    index = at[:, None] + np.arange(gram - n, n)[None, :]
+    inside = (index >= first[row][:, None]) & (index < first[row + 1][:, None])
+    return np.where(inside, words[np.clip(index, 0, max(len(words) - 1, 0))], np.uint64(out_of_row)) if len(at) else np.zeros(index.shape, np.uint64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of numbers as one binary value."""
+    width = rows.shape[1] * 8
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def item_prints(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
+    """(n, h, words, item): the items' fingerprints, each once. Null ids and texts have none."""
+    small_batches(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column(1)):
+                for n, gram in _lengths():
+                    row, _, h, words, sizes = _prints(block, n, gram, 2)
+                    mine = sizes[row] >= n if n == WINDOW else sizes[row] == n
+                    if mine.any():
+                        row, h, words = row[mine], h[mine], words[mine]
+                        _, once = np.unique(np.column_stack([row.astype(np.uint64), words]), axis=0, return_index=True)
+                        yield pa.record_batch(
+                            [pa.array(np.full(len(once), n, np.int32)), pa.array(h[once].view(np.int64)), _binary(words[once]), pa.array(ids[block.first + row[once]].astype(np.int64))],
+                            ["n", "h", "words", "item"],
+                        )
+
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    for row in rows.toLocalIterator():
-        if ids and held + len(row["t"]) > limit:
-            yield Index.build(ids, texts)
-            ids, texts, held = [], [], 0
-        ids.append(row["i"])
-        texts.append(row["t"])
-        held += len(row["t"]) * 2
-    if ids:
-        yield Index.build(ids, texts)
+    return rows.mapInArrow(run, "n int, h long, words binary, item long").distinct()
+
+
+def _filter_of(prints: DataFrame) -> np.ndarray:
+    """A bit for every value of the first FILTER_BITS bits of a fingerprint that occurs, packed; each 32,768 bits are gathered by a task."""
+    low = 64 - FILTER_BITS
+
+    def run(key, table):
+        cell = table.column("cell").to_numpy()
+        bits = np.zeros(1 << 15, bool)
+        bits[cell & 0x7FFF] = True
+        return pa.table({"part": pa.array([int(cell[0] >> 15)], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    cells = prints.select(F.shiftrightunsigned("h", low).alias("cell")).distinct().withColumn("part", F.shiftright("cell", 15))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in cells.groupBy("part").applyInArrow(run, "part long, bits binary").toLocalIterator():
+        out[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _digest(text: bytes) -> tuple[int, int]:
+    raw = hashlib.blake2b(text, digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def text_prints(docs: DataFrame, lengths: list[int], bits: np.ndarray, text: str = "text") -> DataFrame:
+    """(d1, d2, n, h, words, at): fingerprints of texts that pass the filter, by the text's digest; ``at`` packs all positions where these words stand."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    low = np.uint64(64 - FILTER_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                starts, ends, first = block.spans(WORD)
+                hashed = block.hashes(starts, ends)
+                for n, gram in _lengths():
+                    if n not in lengths:
+                        continue
+                    at, h = winnow(hashed, first, gram, n - gram + 1)
+                    cell = (h >> low).astype(np.int64)
+                    some = np.flatnonzero(table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+                    if not len(some):
+                        continue
+                    at, h = at[some], h[some]
+                    row = np.searchsorted(first, at, "right") - 1
+                    words = _around(hashed, first, row, at, n, gram, 1)
+                    _, once, which = np.unique(np.column_stack([row.astype(np.uint64), words]), axis=0, return_index=True, return_inverse=True)
+                    which = which.ravel()
+                    order = np.argsort(which, kind="stable")
+                    places = np.split((at - first[row])[order].astype("<u4"), np.cumsum(np.bincount(which))[:-1])
+                    names = {int(i): _digest(block.text(int(i))) for i in np.unique(row)}
+                    keys = np.array([names[i] for i in row[once].tolist()], np.int64)
+                    yield pa.record_batch(
+                        [
+                            pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(len(once), n, np.int32)), pa.array(h[once].view(np.int64)),
+                            _binary(words[once]), pa.array([x.tobytes() for x in places], pa.binary()),
+                        ],
+                        ["d1", "d2", "n", "h", "words", "at"],
+                    )
+
+    return docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, "d1 long, d2 long, n int, h long, words binary, at binary")
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined pairs whose words around are alike for a whole run: how far it reaches left and right of the gram's first word."""
+    gram_of = dict(_lengths())
+    for batch in batches:
+        sizes = batch.column("n").to_numpy()
+        for n in np.unique(sizes).tolist():
+            some = np.flatnonzero(sizes == n)
+            part = batch.take(pa.array(some))
+            sides = [np.frombuffer(b"".join(part.column(c).to_pylist()), "<u8").reshape(len(some), -1) for c in ("words", "theirs")]
+            same = sides[0] == sides[1]
+            centre = n - gram_of[n]
+            right = np.cumprod(same[:, centre:], axis=1).sum(axis=1)
+            left = np.cumprod(same[:, :centre][:, ::-1], axis=1).sum(axis=1)
+            ok = (left + right >= n) & (right >= gram_of[n])
+            kept = part.filter(pa.array(ok))
+            columns = [kept.column(c) for c in ("d1", "d2", "n", "h", "words", "at", "item")]
+            yield pa.record_batch([*columns, pa.array(-left[ok].astype(np.int32)), pa.array(right[ok].astype(np.int32))], ["d1", "d2", "n", "h", "words", "at", "item", "l", "r"])
+
+
+def _hits(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(d1, d2, spans, items): for each text with hits, by its digest, where they stand and the items that occur."""
+    theirs = stored(item_prints(items, item_id, item_text), "item-prints")
+    lengths = [r["n"] for r in theirs.select("n").distinct().collect()]  # WINDOW values at most
+    # copies of a text count once
+    ours = stored(text_prints(docs, lengths, _filter_of(theirs), text).dropDuplicates(["d1", "d2", "n", "h", "words"]), "text-prints")
+    joined = ours.join(theirs.withColumnRenamed("words", "theirs"), ["n", "h"])
+    runs = joined.mapInArrow(_extended, "d1 long, d2 long, n int, h long, words binary, at binary, item long, l int, r int")
+    # a gram's runs all hold the gram, so together they are one span
+    spans = runs.groupBy("d1", "d2", "n", "h", "words").agg(
+        F.first("at").alias("at"), F.min("l").alias("l"), F.max("r").alias("r"), F.collect_set("item").alias("items")
+    )
+    out = stored(
+        spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "l", "r")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")),
+        "text-hits",
+    )
+    discard(theirs, ours)
+    return out
+
+
+def _covered(spans: list) -> list[tuple[int, int]]:
+    """The union of all spans around all their positions, as separate runs (left, right) in order."""
+    edges = np.concatenate([np.frombuffer(at, "<u4").astype(np.int64)[:, None] + np.array([[l, r]]) for at, l, r in spans])
+    edges = edges[np.lexsort([edges[:, 1], edges[:, 0]])]
+    reach = np.maximum.accumulate(edges[:, 1])
+    cut = np.flatnonzero(np.concatenate([[True], edges[1:, 0] > reach[:-1]]))
+    return list(zip(edges[cut, 0].tolist(), reach[np.append(cut[1:] - 1, len(reach) - 1)].tolist(), strict=True))
 
 
 _RUN = T.StructType([T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType())])
@@ -154,67 +230,69 @@ HITS = T.StructType(
 )
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", hit_bytes: int = HIT_BYTES) -> DataFrame:
     """Every document with what it shares with test items; adds n_words, runs and items.
 
     A window is WINDOW consecutive words of an item, or all words of a shorter one; words are
-    lower-cased A-Z runs of letters, digits and what is beyond ASCII. ``runs`` are the (left,
-    right) word spans inside which every word lies in an occurrence of some window; they may
-    overlap. ``items`` are the ids of items with occurring windows, sorted. Null or empty texts
-    and items have no words. Columns of these names are replaced; all others stay.
-
-    Words are compared by 64-bit hashes, runs of at least a whole window at a time. Items are
-    taken in blocks of ``block_bytes``, each broadcast to one narrow pass over the documents, so
-    texts are never shuffled; later passes add to what earlier ones found.
+    lower-cased A-Z runs of letters, digits and what is beyond ASCII. ``runs`` are the separate
+    (left, right) word spans, in order, in which every word lies in an occurrence of some window.
+    ``items`` are the ids of items with occurring windows, sorted. Null or empty texts and items
+    have no words. An item id that is repeated stands for all its texts; repeated documents each
+    have the same result. Columns of the added names are replaced; all others stay.
+
+    Words are compared by 64-bit hashes, runs of at least a whole window at a time. Only
+    fingerprints that pass a broadcast filter of bounded size are shuffled. Texts are found again
+    by their 128-bit digest: hits of up to ``hit_bytes`` are broadcast to one narrow pass over the
+    documents; beyond, the documents are joined with them.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop(*HITS.names)
+    hits = _hits(docs, items, text, item_id, item_text)
     at = docs.columns.index(text)
+    width = len(docs.columns)
     schema = T.StructType([*docs.schema.fields, *HITS.fields])
-    out = None
-    for index in _item_blocks(items, item_id, item_text, block_bytes) or ():
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        out = (out if out is not None else docs).mapInArrow(_pass(shared, at, out is not None), schema)
-    if out is None:
-        shared = docs.sparkSession.sparkContext.broadcast(Index.build([], []))
-        out = docs.mapInArrow(_pass(shared, at, False), schema)
-    return out
+    weight = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + F.length(x["at"]) + 100) + 8 * F.size("items") + 200
+    if hits.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"] <= hit_bytes:
+        known = {(r["d1"], r["d2"]): ([tuple(x) for x in r["spans"]], r["items"]) for r in hits.toLocalIterator()}
+        return docs.mapInArrow(_told(docs.sparkSession.sparkContext.broadcast(known), at, width), schema)
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_digest(x.encode()) if x is not None else (None, None) for x in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names)
+
+    # columns go by place here, so that no name of docs can clash
+    names = [f"c{i}" for i in range(width)] + ["d1", "d2"]
+    placed = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] + [T.StructField(k, T.LongType()) for k in ("d1", "d2")])
+    joined = docs.toDF(*names[:width]).mapInArrow(named, placed).join(hits, ["d1", "d2"], "left").select(*names[:width], "spans", "items")
+    return joined.mapInArrow(_told(None, at, width), schema)
 
-def _pass(shared, at: int, more: bool):
+
+def _told(shared, at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         for batch in batches:
             n_words: list[int] = []
-            runs: list[list[tuple[int, int]]] = []
-            items: list[list[int]] = []
-            for block in blocks(batch.column(at)):
-                n, r, i = index.hits(block)
-                n_words.extend(n.tolist())
-                runs.extend(r)
-                items.extend(sorted(x) for x in i)
-            columns = batch.columns
-            if more:
-                *columns, _, old_runs, old_items = columns
-                runs = [[*((x["l"], x["r"]) for x in a), *b] for a, b in zip(old_runs.to_pylist(), runs, strict=True)]
-                items = [sorted({*a, *b}) for a, b in zip(old_items.to_pylist(), items, strict=True)]
-            spans = pa.array([[{"l": a, "r": b} for a, b in sorted(set(x))] for x in runs], pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))
-            names = batch.schema.names[: len(columns)] + HITS.names
-            yield pa.record_batch([*columns, pa.array(n_words, pa.int64()), spans, pa.array(items, pa.list_(pa.int64()))], names)
+            texts = batch.column(at)
+            for block in blocks(texts):
+                n_words.extend(np.diff(block.spans(WORD)[2]).tolist())
+            if shared:
+                found = [shared.value.get(_digest(x.encode())) if x is not None else None for x in texts.to_pylist()]
+            else:
+                found = [
+                    ([(x["at"], x["l"], x["r"]) for x in spans], items) if spans is not None else None
+                    for spans, items in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)
+                ]
+            runs = [[{"l": a, "r": b} for a, b in _covered(x[0])] if x else [] for x in found]
+            spans = pa.array(runs, pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))
+            items = pa.array([x[1] if x else [] for x in found], pa.list_(pa.int64()))
+            yield pa.record_batch([*batch.columns[:width], pa.array(n_words, pa.int64()), spans, items], [*(f"c{i}" for i in range(width)), *HITS.names])
 
     return run
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) from ``find``'s columns."""
-    covered = F.aggregate(
-        F.array_sort("runs"),
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda a, x: F.struct(
-            (a["n"] + F.greatest(F.lit(0), x["r"] - F.greatest(x["l"], a["end"]))).alias("n"), F.greatest(a["end"], x["r"]).alias("end")
-        ),
-        lambda a: a["n"].cast("long"),
-    )
+    covered = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["r"] - x["l"])
     return found.select(
         id_col,
         "n_words",

@@ -125,7 +125,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     """Sum the profiles of every document of each non-null language; a document's profile has length 1.
 
     Tasks return a vector per language, which are summed by dimension in a shuffle. Documents
-    without letters add nothing. Without documents the model predicts ``und`` throughout.
+    without letters add nothing, repeated rows count each time, whole texts count, however long.
+    Without documents the model predicts ``und`` throughout.
     """
     small_batches(docs.sparkSession)
 
@@ -158,7 +159,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
 def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", value: str = "score") -> DataFrame:
     """Every row with the language of its whole text and the cosine; columns of these names are replaced.
 
-    ``und`` and 0 where the text is null or has no letter. The model's size is bounded.
+    ``und`` and 0 where the text is null or has no letter. Of equal cosines the first language by
+    name wins. Each row counts by itself, repeated rows too. The model's size is bounded.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

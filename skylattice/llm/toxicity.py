@@ -95,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     z-score of their log odds; their number is bounded too. A document is toxic if any of its
     sentences is: P = 1 - (1 - leak) * prod(1 - sigmoid(bias + sum of the sentence's weights)),
     over sentences with a feature; weights maximise the penalised likelihood of the labels.
-    Without labels of both kinds the model scores 0 throughout. Null ids, texts and labels are left out.
+    Without labels of both kinds the model scores the leak throughout, about 0. Null ids, texts and
+    labels are left out. A document or a label that is repeated counts each time. Features of equal
+    z-score are taken by hash. Other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where("i IS NOT NULL AND y IN (0, 1)")
@@ -189,7 +191,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     """(id, score, predicted, sentences): every row's toxicity, 0 to 1, from its whole text.
 
     ``sentences`` lists the sentences that score 0.5 or more as (number within the text, score).
-    Null and empty texts score the leak, about 0. The model is small and bounded (``FEATURES``).
+    Null and empty texts score the leak, about 0. Each row counts by itself, repeated rows too, and
+    whole texts count, however long. Other columns are left out. The model is small and bounded
+    (``FEATURES``).
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -165,16 +165,16 @@ def brute_hits(text, items, window=10):
     return len(doc), len(hit), names
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 40])
-def test_decontamination_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("hit_bytes", [64 << 20, 0])
+def test_decontamination_matches_brute_force(spark, hit_bytes):
     from skylattice.llm.decontaminate import digest, find
 
     r = random.Random(5)
     words = ["a", "b", "c", "D", "e1", "ß"]
     text = lambda lo, hi: " ".join(r.choices(words, k=r.randint(lo, hi)))
-    items = [(i, text(0, 14)) for i in range(12)] + [(12, None), (13, ""), (14, "!!")]
-    texts = [None, "", *(text(0, 40) for _ in range(40)), *(f"{text(0, 5)}, {t.upper()}! {text(0, 5)}" for _, t in items if t)]
-    got = digest(find(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)).collect()
+    items = [(i, text(0, 14)) for i in range(12)] + [(12, None), (13, ""), (14, "!!"), (3, text(9, 14)), (15, "a " * 25), (16, text(30, 30))]
+    texts = [None, "", "a " * 31, "a " * 9, f"b {'a ' * 12}b {'a ' * 12}", *(text(0, 40) for _ in range(40)), *(f"{text(0, 5)}, {t.upper()}! {text(0, 5)}" for _, t in items if t)]
+    got = digest(find(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), hit_bytes=hit_bytes)).collect()
     assert len(got) == len(texts)
     for row in got:
         n, hit, names = brute_hits(texts[row["doc_id"]], items)
@@ -188,6 +188,21 @@ def test_decontamination_without_items_keeps_clashing_columns_right(spark):
     docs = docs_of(spark, ["a b"]).selectExpr("doc_id", "text", "7 AS runs", "'x' AS extra")
     row = find(docs, spark.createDataFrame([], "item_id long, text string")).first()
     assert row["runs"] == [] and row["extra"] == "x" and row["n_words"] == 2
+    clash = docs_of(spark, ["a b", "a b", "c"]).selectExpr("text", "doc_id AS d1", "doc_id AS spans", "'y' AS c0")
+    items = spark.createDataFrame([(4, "A B")], "item_id long, text string")
+    for hit_bytes in (64 << 20, 0):
+        got = find(clash, items, hit_bytes=hit_bytes)
+        assert got.columns == ["text", "d1", "spans", "c0", "n_words", "runs", "items"]
+        assert sorted((r["d1"], r["spans"], r["c0"], r["items"]) for r in got.collect()) == [(0, 0, "y", [4]), (1, 1, "y", [4]), (2, 2, "y", [])]
+
+
+def test_decontamination_is_linear_in_repeated_words(spark):
+    from skylattice.llm.decontaminate import digest, find, item_prints
+
+    items = spark.createDataFrame([(1, "same " * 20_000)], "item_id long, text string")
+    assert item_prints(items).count() < 20
+    got = digest(find(docs_of(spark, ["same " * 40_000, "same " * 9, None]), items)).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in got] == [(40_000, 40_000, 1), (9, 0, 0), (0, 0, 0)]
 
 
 # -- line dedup
@@ -281,16 +296,12 @@ def brute_components(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("options", [{}, {"crowd": 2, "fetch_rows": 0}])
-def test_jaccard_components_match_brute_force(spark, options, monkeypatch):
-    import skylattice.llm.jaccard_join as j
-
-    if options:
-        for name, value in (("BLOCK_SETS", 3), ("CROWD_ROWS", 4), ("FREQUENT_DOCS", 3), ("GROUP_PAIRS", 5)):
-            monkeypatch.setattr(j, name, value)
+def family_texts():
+    """Families of near copies, boilerplate that many texts share, a hub that is like many, and a very long text with a near copy."""
     r = random.Random(7)
     words = [f"w{i}" for i in range(40)]
     texts = [None, "", " \n", "one", "ONE", "a b c", "a b c d"]
+    boilerplate = " ".join(r.choices(words, k=30))
     while len(texts) < 90:
         base = r.choices(words, k=r.randint(3, 60))
         for _ in range(r.randint(1, 5)):
@@ -298,9 +309,39 @@ def test_jaccard_components_match_brute_force(spark, options, monkeypatch):
             for _ in range(r.randint(0, 4)):
                 x[r.randrange(len(x))] = r.choice(words)
             texts.append(" ".join(x))
-    some = list(enumerate(texts))
+    texts += [f"{boilerplate} {' '.join(r.choices(words, k=r.randint(2, 14)))}" for _ in range(25)]
+    long = r.choices([f"v{i}" for i in range(3000)], k=30_000)
+    return [*texts, " ".join(long), " ".join(long[:28_000])]
+
+
+#: Small bounds, so that every way through the join is taken.
+SMALL = {"crowd": 2, "fetch_rows": 0, "frequent_docs": 3, "crowd_rows": 4}
+
+
+@pytest.mark.parametrize(("options", "near"), [({}, True), (SMALL, True), (SMALL, False), ({"crowd": 3}, False)])
+def test_jaccard_components_match_brute_force(spark, options, near, monkeypatch):
+    import skylattice.llm.jaccard_join as j
+
+    if options:
+        for name, value in (("BLOCK_SETS", 3), ("GROUP_PAIRS", 5), ("BUNDLE_ROWS", 20)):
+            monkeypatch.setattr(j, name, value)
+    if not near:  # the exact steps alone have to find everything
+        monkeypatch.setattr(j.JaccardJoin, "_near_copies", lambda self: spark.createDataFrame([], "a long, b long"))
+    texts = family_texts()
     rows = j.JaccardJoin(docs_of(spark, texts), **options).components().collect()
-    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == brute_components(some)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == brute_components(list(enumerate(texts)))
+
+
+def test_jaccard_rows_with_repeated_and_null_ids(spark):
+    from skylattice.llm.jaccard_join import JaccardJoin
+
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = " ".join(f"b{i}" for i in range(38))
+    rows = [(5, one), (5, two), (5, two), (3, near), (9, one), (None, one), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, sid string, n int")
+    got = JaccardJoin(docs).components().collect()
+    want = [(5, 36, 5), (5, 36, 3), (5, 36, 3), (3, 34, 3), (9, 36, 5), (None, 36, None), (None, 0, None)]
+    assert sorted(map(str, (tuple(x) for x in got))) == sorted(map(str, want))
 
 
 def test_jaccard_of_an_empty_table(spark):
@@ -365,3 +406,128 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert [x["sentence"] for x in got[0]["sentences"]] == [2]
     assert got[1000]["predicted"] == got[1001]["predicted"] == got[1002]["predicted"] == 0
     assert {x["predicted"] for x in score(docs, fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))).collect()} == {0}
+
+
+def test_language_matches_naive_bundling(spark):
+    """Letter vectors, rotated and multiplied; trigrams summed; unit documents summed by language: all by plain loops."""
+    from skylattice.llm.language import fit, predict
+
+    r = random.Random(21)
+    make = lambda letters: " ".join("".join(r.choices(letters, k=r.randint(1, 7))) for _ in range(r.randint(1, 30)))
+    rows = [(i, make("abcdeé" if i % 2 else "deßfGh"), "x" if i % 2 else "y") for i in range(40)]
+    rows += [(40, None, "x"), (41, "", "y"), (42, "12 34!", "x"), (43, "a", None), (43, "a", None), (44, "De ", None), (45, "abc " * 30_000, None), (46, "Ω日本", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n, seed = 256, 9
+
+    def letter(c):
+        return 2 * np.random.Generator(np.random.PCG64([seed, ord(c)])).integers(0, 2, n) - 1.0
+
+    def profile(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+        line = f" {' '.join(low.split())} "
+        total = np.zeros(n)
+        for a, b, c in zip(line, line[1:], line[2:], strict=False):
+            if b != " ":
+                total += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return total / np.linalg.norm(total) if total.any() else None
+
+    profiles = [profile(t if len(t or "") < 1000 else t[:4] * 3000) for _, t, _ in rows]
+    want = {y: sum(np.rint(p * (1 << 20)) for p, (_, _, z) in zip(profiles, rows, strict=True) if p is not None and z == y) for y in "xy"}
+    want = {y: v / np.linalg.norm(v) for y, v in want.items()}
+    model = fit(docs, dimensions=n, seed=seed)
+    assert model.languages == ["x", "y"] and np.allclose(model.prototypes, [want["x"], want["y"]], atol=1e-5)
+    got = predict(docs, model).orderBy("doc_id").collect()
+    assert len(got) == len(rows)
+    for p, row in zip(profiles, got, strict=True):
+        if p is None:
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+        else:
+            cosines = {y: float(v @ p) for y, v in want.items()}
+            assert row["lang_pred"] == max(cosines, key=cosines.get) and abs(row["score"] - max(0.0, max(cosines.values()))) < 1e-2
+    assert predict(docs.limit(0), model).count() == 0 and fit(docs.limit(0)).languages == []
+    clash = predict(docs.selectExpr("doc_id", "text", "1 AS score", "2 AS points"), model)
+    assert clash.columns == ["doc_id", "text", "points", "lang_pred", "score"]
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    from skylattice.llm.language import fit, predict
+
+    docs = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in predict(docs, fit(docs)).collect()} == {"a"}
+
+
+def test_toxicity_matches_naive_noisy_or(spark):
+    """Scores from sentences split by a regular expression, and a likelihood that no small step improves."""
+    from skylattice.llm import toxicity as t
+    from skylattice.llm.textkernel import blocks, mix
+
+    r = random.Random(31)
+    plain, bad = [f"word{i}" for i in range(60)], ["vileness", "Vilest", "scumbag"]
+    sentence = lambda some: " ".join(r.choices(some, k=r.randint(2, 9))) + r.choice([". ", "! ", "?\n", "\n"])
+    texts, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        texts.append("".join(sentence(plain + (bad * 4 if toxic and r.random() < 0.6 else [])) for _ in range(r.randint(1, 6))) + (f"You {r.choice(bad)}!" if toxic else ""))
+        labels.append((i, int(toxic)))
+    texts += [None, "", "...", "é ß", texts[0], "calm words. " * 50_000 + "you scumbag"]
+    docs = docs_of(spark, texts)
+    model = t.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 0 < len(model.hashes) <= t.FEATURES
+
+    def hashed(raw):
+        block = next(blocks(pa.array([raw], pa.binary()).cast(pa.string(), safe=False) if isinstance(raw, str) else pa.array([raw])))
+        return int(block.hashes(np.array([0]), np.array([len(block.data)]))[0])
+
+    weights = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    seen = {}
+
+    def features(word):
+        if word not in seen:
+            raw = word.encode()
+            found = [hashed(raw)] + [int(mix(np.array([hashed(raw[:k])], np.uint64) ^ np.uint64(k))[0]) for k in (4, 5, 6) if len(raw) > k]
+            seen[word] = {x for x in found if x in weights}
+        return seen[word]
+
+    def score(text):
+        clean = 1 - model.leak
+        for part in re.split(r"[.!?\n]", (text or "").translate(LOW)):
+            some = set().union(*(features(w) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part)))
+            if some:
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(weights[x] for x in some))))
+        return 1 - clean
+
+    got = {x["doc_id"]: x for x in t.score(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert abs(got[i]["score"] - score(text)) < 1e-9 and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+    assert got[len(texts) - 1]["sentences"][0]["sentence"] == 50_000
+    assert sum(got[i]["predicted"] == y for i, y in labels) >= 295
+    repeated = t.score(docs.union(docs).selectExpr("doc_id", "text", "1 AS score", "2 AS y"), model)
+    assert repeated.count() == 2 * len(texts) and repeated.columns == ["doc_id", "score", "predicted", "sentences"]
+    assert t.score(docs.limit(0), model).count() == 0
+    assert t.fit(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).weights.size == 0
+
+
+def test_noisy_or_training_comes_close_to_the_optimum():
+    from skylattice.llm.toxicity import _train
+
+    g = np.random.default_rng(2)
+    hashes = np.arange(5, dtype=np.uint64)
+    f = [g.integers(0, 5, g.integers(0, 8)) for _ in range(200)]
+    s = [np.sort(g.integers(0, 3, len(x))) for x in f]
+    y = np.array([float(3 in x or g.random() < 0.1) for x in f])
+
+    def likelihood(w, b, leak):
+        total = -0.01 * (w @ w) - 0.25 * (b + 3) ** 2
+        for k in range(len(y)):
+            clean = 1 - leak
+            for part in set(s[k].tolist()):
+                clean /= 1 + np.exp(b + w[f[k][s[k] == part]].sum())
+            total += np.log(1 - clean) if y[k] else np.log(clean)
+        return total
+
+    model = _train(hashes, y, s, f)
+    best = likelihood(model.weights, model.bias, model.leak)
+    for _ in range(60):
+        step = 0.05 * g.standard_normal(6)
+        assert likelihood(model.weights + step[:5], model.bias + step[5], model.leak) < best + 0.1
