@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import fsum, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.shared import components, small_batches, stored
+from skylattice.llm.shared import components, discard, small_batches, stored
 
 COSINE = 0.98
-TREES = 8
-#: Vectors in a leaf, about; a group beyond it is split again.
+TREES = 6
+#: Vectors in a leaf of a small label, about.
 LEAF = 256
-#: Share of a node's vectors, around the split, that go to both sides.
-SPILL = 0.1
-#: Vectors in a task's subtree, about: the upper levels deal vectors out to tasks, tasks grow the rest.
+#: Width of the band around a split that goes to both sides, in standard deviations of the projected difference of
+#: two vectors at the least cosine: so the band is as narrow as the links are short, whatever the depth.
+SPREAD = 1.0
+#: Distinct vectors of a label that one task takes whole, with all trees; larger labels are dealt to tasks leaf by leaf.
 SUBTREE = 8_192
-#: Vectors that the upper levels' splits are fitted on, about, in all labels together; more where the levels are
-#: many, so that every end keeps about END_SAMPLE of them, up to MOST_SAMPLE.
+#: Vectors on each side of a task, about: a leaf of a large label, or two blocks of a larger leaf.
+BLOCK = 2_048
+#: Vectors that the splits of large labels are fitted on, in all labels together: END_SAMPLE for each leaf, within these.
+END_SAMPLE = 32
 SAMPLE = 20_000
-END_SAMPLE = 64
 MOST_SAMPLE = 100_000
-#: Vectors on each side of a task that compares two blocks of a dense group, about.
-BLOCK = 2_048
 
 _SPLIT = 1e-9  # cosines this close to the threshold are recomputed with exact sums
 
@@ -40,20 +43,29 @@ class _Node:
     right: _Node | int
 
 
-def _split(x: np.ndarray, random: np.random.Generator, spill: float) -> tuple[np.ndarray, float, float]:
-    """A random direction and two borders: up to ``high`` goes left, from ``low`` on goes right.
+def _margin(cosine: float, width: int, spread: float) -> float:
+    return 0.5 * spread * sqrt(max(0.0, 2 * (1 - cosine)) / width)
+
+
+def _split(x: np.ndarray, random: np.random.Generator, margin: float) -> tuple[np.ndarray, float, float, np.ndarray, np.ndarray] | None:
+    """A random direction, two borders (up to ``high`` goes left, from ``low`` on goes right) and both sides; None where no split helps.
 
     The split lies in the widest gap of the projections between their 0.3 and 0.7 quantiles, so
-    that it parts few near neighbours; a share ``spill`` of the vectors on each side goes to both.
+    that it parts few near neighbours.
     """
-    direction = random.standard_normal(x.shape[1])
-    a = np.sort(x @ direction)
-    n, near = len(a), max(1, len(a) // 50)
-    lo, hi = int(0.3 * n), max(int(0.7 * n), int(0.3 * n) + 1)
-    wide = a[np.minimum(np.arange(lo, hi) + near, n - 1)] - a[np.maximum(np.arange(lo, hi) - near, 0)]
-    at = lo + int(np.argmax(wide))
-    more = int(spill * n)
-    return direction, float(a[max(at - more, 0)]), float(a[min(at + more, n - 1)])
+    for _ in range(8):
+        direction = random.standard_normal(x.shape[1])
+        direction /= np.linalg.norm(direction)
+        projected = x @ direction
+        a = np.sort(projected)
+        n, near = len(a), max(1, len(a) // 50)
+        lo, hi = int(0.3 * n), max(int(0.7 * n), int(0.3 * n) + 1)
+        wide = a[np.minimum(np.arange(lo, hi) + near, n - 1)] - a[np.maximum(np.arange(lo, hi) - near, 0)]
+        middle = float(a[lo + int(np.argmax(wide))])
+        left, right = np.flatnonzero(projected <= middle + margin), np.flatnonzero(projected >= middle - margin)
+        if max(len(left), len(right)) <= 0.85 * n:
+            return direction, middle - margin, middle + margin, left, right
+    return None
 
 
 def _dense(x: np.ndarray, random: np.random.Generator, least: float) -> bool:
@@ -62,20 +74,25 @@ def _dense(x: np.ndarray, random: np.random.Generator, least: float) -> bool:
     return bool(np.mean(some @ some.T >= least) > 0.4)
 
 
-def _grow(x: np.ndarray, depth: int, random: np.random.Generator, spill: float, numbers: Iterator[int], least: float, dense: dict[int, int]) -> _Node | int:
-    """A tree's upper levels. A node whose pairs are mostly links is an end at once, noted in ``dense`` with its vectors."""
-    if depth == 0 or len(x) < 16:
-        return next(numbers)
-    if _dense(x, random, least):
-        dense[end := next(numbers)] = len(x)
-        return end
-    direction, low, high = _split(x, random, spill)
-    a = x @ direction
-    left = _grow(x[a <= high], depth - 1, random, spill, numbers, least, dense)
-    return _Node(direction, low, high, left, _grow(x[a >= low], depth - 1, random, spill, numbers, least, dense))
+def _grow(x: np.ndarray, weight: float, block: int, random: np.random.Generator, margin: float, least: float, sizes: list[float]) -> _Node | int:
+    """A tree over a sample, each vector of which stands for ``weight``. ``sizes`` gets the estimated size of each leaf.
+
+    A node is a leaf if it is small, or if no split helps: its pairs are mostly links, or the sample has no more to say.
+    """
+    parted = None
+    if len(x) * weight > block and len(x) >= 16 and not _dense(x, random, least):
+        parted = _split(x, random, margin)
+    if parted is None:
+        sizes.append(len(x) * weight)
+        return len(sizes) - 1
+    direction, low, high, left, right = parted
+    below = [_grow(x[side], weight, block, random, margin, least, sizes) for side in (left, right)]
+    return _Node(direction, low, high, *below)
 
 
 def _drop(node: _Node | int, x: np.ndarray, rows: np.ndarray, out: list[tuple[int, np.ndarray]]) -> None:
+    if not len(rows):
+        return
     if isinstance(node, int):
         out.append((node, rows))
         return
@@ -84,211 +101,267 @@ def _drop(node: _Node | int, x: np.ndarray, rows: np.ndarray, out: list[tuple[in
     _drop(node.right, x, rows[a >= node.low], out)
 
 
-def _leaves(x: np.ndarray, random: np.random.Generator, spill: float, leaf: int, least: float) -> Iterator[np.ndarray]:
+def _leaves(x: np.ndarray, random: np.random.Generator, margin: float, leaf: int, least: float) -> Iterator[np.ndarray]:
     """Row numbers of the leaves of a tree over ``x``. Where most pairs are links anyway, a node is a leaf whatever its size."""
     stack = [np.arange(len(x))]
     while stack:
         rows = stack.pop()
         if len(rows) <= leaf or _dense(x[rows], random, least):
-            yield rows
-            continue
-        for _ in range(8):
-            direction, low, high = _split(x[rows], random, spill)
-            a = x[rows] @ direction
-            left, right = rows[a <= high], rows[a >= low]
-            if max(len(left), len(right)) <= 0.85 * len(rows):
-                stack += [left, right]
-                break
-        else:  # ties: halve by rank, still with spill
-            order = rows[np.argsort(a, kind="stable")]
-            cut, more = len(rows) // 2, max(1, int(len(rows) * spill))
+            yield np.sort(rows)
+        elif parted := _split(x[rows], random, margin):
+            stack += [rows[parted[3]], rows[parted[4]]]
+        else:  # all are close to the split: halve by rank, a tenth of each side goes to both
+            a = x[rows] @ random.standard_normal(x.shape[1])
+            order, cut, more = rows[np.argsort(a, kind="stable")], len(rows) // 2, max(1, len(rows) // 10)
             stack += [order[: cut + more], order[cut - more :]]
 
 
-def _cosine_at_least(x: np.ndarray, a: np.ndarray, b: np.ndarray, value: np.ndarray, least: float) -> np.ndarray:
-    """Whether pairs' cosines reach ``least``; those too close to tell by matrix products are summed exactly."""
-    ok = value >= least
-    near = np.flatnonzero(np.abs(value - least) < _SPLIT)
-    if len(near):
-        from math import fsum, sqrt
-
-        for k in near.tolist():
-            p, q = x[a[k]], x[b[k]]
-            ok[k] = fsum(p * q) / (sqrt(fsum(p * p)) * sqrt(fsum(q * q))) >= least
-    return ok
+class _Tally:
+    """Links among a task's vectors: how many rows each vector is linked to, and a forest that connects what links connect."""
+
+    def __init__(self, raw: np.ndarray, copies: np.ndarray, least: float) -> None:
+        self.raw, self.x, self.copies, self.least = raw, _unit(raw), copies.astype(np.float64), least
+        self.linked = np.zeros(len(raw))
+        self.root = np.arange(len(raw))
+        self.edges: list[tuple[int, int]] = []
+
+    def leaf(self, left: np.ndarray, right: np.ndarray | None, before: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """Compare the rows ``left`` with each other, or with the rows ``right``; ``before`` tells pairs that an earlier leaf has had."""
+        for i in range(0, len(left), 1024):
+            part = left[i : i + 1024]
+            rest = left[i:] if right is None else right
+            product = self.x[part] @ self.x[rest].T
+            ok = product >= self.least
+            a, b = np.nonzero(np.abs(product - self.least) < _SPLIT)
+            for k, m in zip(a.tolist(), b.tolist(), strict=True):
+                ok[k, m] = _cosine(self.raw[part[k]], self.raw[rest[m]]) >= self.least
+            if right is None:
+                ok = np.triu(ok, 1)
+            a, b = np.nonzero(ok)
+            had = before(part[a], rest[b])
+            ok[a[had], b[had]] = False
+            if ok.any():
+                counts = ok.astype(np.float64)
+                self.linked[part] += counts @ self.copies[rest]
+                self.linked[rest] += self.copies[part] @ counts
+                self._connect(part, rest, ok)
+
+    def _connect(self, part: np.ndarray, rest: np.ndarray, ok: np.ndarray) -> None:
+        for k in np.flatnonzero(ok.any(axis=1)).tolist():
+            i, near = int(part[k]), rest[ok[k]]
+            roots = self.root[near]
+            apart = roots != self.root[i]
+            if apart.any():
+                others, at = np.unique(roots[apart], return_index=True)
+                self.edges += [(i, j) for j in near[apart][at].tolist()]
+                self.root[np.isin(self.root, others)] = self.root[i]
+
+
+def _cosine(p: np.ndarray, q: np.ndarray) -> float:
+    return fsum(p * q) / (sqrt(fsum(p * p)) * sqrt(fsum(q * q)))
+
+
+def _shares(codes: np.ndarray, here: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether pairs of rows have a leaf in common that comes before leaf ``here``; each row's leaves are padded with -1."""
+
+    def before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k in range(codes.shape[1]):
+            mine = codes[a, k]
+            early = (mine >= 0) & (mine < here)
+            for m in range(codes.shape[1]):
+                out |= early & (mine == codes[b, m])
+        return out
+
+    return before
+
+
+def _padded(lists: list[list[int] | np.ndarray]) -> np.ndarray:
+    out = np.full((len(lists), max((len(x) for x in lists), default=0)), -1, np.int64)
+    for i, x in enumerate(lists):
+        out[i, : len(x)] = x
+    return out
 
 
 class VectorLinks:
     """Links of near-equal vectors within labels.
 
-    Equal vectors of a label are one point (named by the smallest id), so groups of exact copies
-    cost nothing. Every tree sees every point; a point lies in several leaves where it is near a
-    split. Groups whose pairs are mostly links are not split, at no level: large ones are compared
-    by all pairs of blocks. Two points that share a leaf of some tree are compared in double
-    precision, and pairs of at least the least cosine are links. Vectors that are null, zero, or hold null or
-    non-finite components, and those without a label, link with nothing. Vectors of different
-    lengths never link.
+    Equal vectors of a label are one point, named by a digest, so groups of exact copies cost
+    nothing. Every tree sees every point; a point lies in several leaves where it is near a split.
+    Two points that share a leaf of some tree are compared in double precision, and count in the
+    first leaf that they share; pairs of at least the least cosine are links. A leaf gives each point's
+    number of links and the edges that connect its points, never all links, so results are linear
+    in the points however dense a group is.
+
+    A label of up to ``subtree`` points is a task with all its trees. Larger labels' trees are
+    fitted on a bounded sample, whose leaves hold ``block`` points, about; larger leaves (groups
+    whose pairs are mostly links, or more than the sample can part) are compared by all pairs of
+    blocks of that size. So no task holds more than its bound.
+
+    Vectors that are null, zero, or hold null or non-finite components, and those without a label
+    or id, link with nothing. Vectors of different lengths never link. Repeated ids are allowed:
+    each row counts by its own vector, and a component is named by its smallest id. Other columns
+    are ignored, whatever their names.
     """
 
-    def __init__(self, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, subtree: int = SUBTREE, sample: int = SAMPLE, seed: int = 5) -> None:
+    def __init__(self, rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spread: float = SPREAD, subtree: int = SUBTREE, block: int = BLOCK, sample: int = SAMPLE, seed: int = 5) -> None:
         self.spark = rows.sparkSession
-        small_batches(self.spark, 4096)
-        self.cosine, self.trees, self.leaf, self.spill, self.subtree, self.sample, self.seed = cosine, trees, leaf, spill, subtree, sample, seed
-        x = F.col(vector).cast("array<double>")
-        good = (
-            F.col(label).isNotNull() & F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-            & F.exists(x, lambda v: v != 0)
-        )
-        # -0.0 and 0.0 are equal, so the key adds 0
-        self.rows = stored(
-            rows.select(
-                F.col(id_col).cast("long").alias("id"),
-                F.when(F.coalesce(good, F.lit(False)), F.struct(F.col(label).cast("string").alias("label"), F.transform(x, lambda v: v + 0.0).alias("v"))).alias("p"),
-            ),
-            "vectors",
-        )
+        small_batches(self.spark)
+        self.cosine, self.trees, self.leaf, self.spread, self.subtree, self.block, self.sample, self.seed = cosine, trees, leaf, spread, subtree, block, sample, seed
+        plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+        known = stored(plain.mapInArrow(_digested, "id long, label string, k long, k2 long, v binary"), "vectors")
+        self.rows = known.select("id", "k", "k2")
         self.points = stored(
-            self.rows.where("p IS NOT NULL").groupBy("p").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-            .select("id", F.concat_ws("/", "p.label", F.size("p.v")).alias("label"), F.col("p.v").alias("v"), "copies"),
+            known.where("label IS NOT NULL").groupBy("k", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")),
             "points",
-        )
+        )
 
-    def _forest(self) -> tuple[dict[tuple[str, int], _Node | int], dict[tuple[str, int, int], int]]:
-        """The upper levels of all trees, per label, fitted on a bounded sample; deep enough for SUBTREE points below each end.
+    def _forest(self) -> dict[str, list[tuple[_Node | int, list[int]]]]:
+        """For each label of more than ``subtree`` points its trees, and each leaf's number of blocks.
 
-        Also the number of blocks of each dense end (label, tree, end). A label that is dense as a
-        whole has one tree, since all would be the same.
+        There are fewer such labels than points / subtree, and ``MOST_SAMPLE`` vectors at most are
+        brought here. A label that is one dense leaf has one tree, since all would be the same.
         """
-        counts = {r["label"]: r["n"] for r in self.points.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        total = sum(counts.values())
-        sample = max(self.sample, min(MOST_SAMPLE, END_SAMPLE * -(-total // self.subtree)))
-        share = min(1.0, sample / max(total, 1))
-        some = self.points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("label", "v").limit(2 * sample).toPandas()
-        out: dict[tuple[str, int], _Node | int] = {}
-        blocks: dict[tuple[str, int, int], int] = {}
-        for name, n in sorted(counts.items()):
-            depth = max(0, int(np.ceil(np.log2(n / self.subtree))))
-            mine = some["v"][some["label"] == name].tolist()
-            x = _unit(np.array(mine, np.float64)) if mine and depth else np.zeros((0, 1))
+        big = {r["label"]: r["n"] for r in self.points.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > self.subtree).collect()}
+        if not big:
+            return {}
+        total = sum(big.values())
+        size = max(self.sample, min(MOST_SAMPLE, END_SAMPLE * -(-total // self.block)))
+        names = F.broadcast(self.spark.createDataFrame([(x,) for x in big], "label string"))
+        share = int(min(1.0, size / total) * (1 << 20)) + 1
+        picked = self.points.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < share).join(names, "label").select("label", "v").orderBy("label", "v").toPandas()
+        out = {}
+        for name, n in sorted(big.items()):
+            mine = picked["v"][picked["label"] == name].tolist()
+            x = _unit(np.frombuffer(b"".join(mine), np.float64).reshape(len(mine), -1)) if mine else np.zeros((0, 1))
+            trees = []
             for tree in range(self.trees):
-                random = np.random.default_rng([self.seed, tree, len(out)])
-                dense: dict[int, int] = {}
-                out[name, tree] = _grow(x, depth, random, self.spill, iter(range(1 << 30)), self.cosine, dense)
-                for end, size in dense.items():
-                    blocks[name, tree, end] = max(1, int(np.ceil(n * size / len(x) / min(BLOCK, self.subtree))))
-                if dense and isinstance(out[name, tree], int):
-                    for other in range(tree):  # whole label in blocks: the trees before it have nothing to add
-                        del out[name, other]
-                        blocks = {k: v for k, v in blocks.items() if k[:2] != (name, other)}
+                random = np.random.default_rng([self.seed, tree, zlib.crc32(name.encode())])
+                sizes: list[float] = []
+                top = _grow(x, n / max(len(x), 1), self.block, random, _margin(self.cosine, x.shape[1], self.spread), self.cosine, sizes)
+                trees.append((top, [max(1, int(np.ceil(s / self.block / 1.5))) for s in sizes]))
+                if isinstance(top, int):
+                    trees[-1] = (top, [max(1, -(-n // self.block))])
+                    trees = trees[-1:]
                     break
-        return out, blocks
+            out[name] = trees
+        return out
 
     def found(self) -> DataFrame:
-        """(a, b): every link that some leaf of some tree holds, once, a < b."""
-        forest, trees = self.spark.sparkContext.broadcast(self._forest()), self.trees
+        """(a, b, n): a point's number of linked rows, from each task that has some (b null), and the edges that connect points (n null)."""
+        forest = self.spark.sparkContext.broadcast(self._forest())
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tops, blocks = forest.value
             for batch in batches:
                 labels = np.array(batch.column("label").to_pylist(), object)
-                flat = batch.column("v")
-                # blocks of dense ends are dealt by id
-                mixed = batch.column("id").to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                take: list[int] = []
-                places: list[tuple[int, int, int, int]] = []
-                for name in sorted(set(labels.tolist())):
+                vectors = batch.column("v")
+                # blocks of large leaves are dealt by name
+                mixed = batch.column("k").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                small = np.flatnonzero(~np.isin(labels, list(forest.value)))
+                yield from dealt(batch, [(i, -1, 0, 0, 0, b"") for i in small.tolist()])
+                for name in sorted(set(labels.tolist()) & set(forest.value)):
                     mine = np.flatnonzero(labels == name)
-                    x = _unit(np.array([flat[i].as_py() for i in mine.tolist()], np.float64))
-                    for tree in range(trees):
-                        if (name, tree) not in tops:
-                            continue
+                    x = _unit(np.frombuffer(b"".join(vectors.take(pa.array(mine)).to_pylist()), np.float64).reshape(len(mine), -1))
+                    codes: list[list[int]] = [[] for _ in range(len(mine))]
+                    places: list[tuple[int, int, int, int, int, bytes]] = []
+                    for tree, (top, counts) in enumerate(forest.value[name]):
                         ends: list[tuple[int, np.ndarray]] = []
-                        _drop(tops[name, tree], x, np.arange(len(mine)), ends)
+                        _drop(top, x, np.arange(len(mine)), ends)
+                        for end, rows in ends:
+                            for r in rows.tolist():
+                                codes[r].append(tree << 24 | end)
+                        before = [np.array(c, "<u4").tobytes() for c in codes]
                         for end, rows in ends:
-                            count = blocks.get((name, tree, end), 1)
-                            for i in mine[rows].tolist():
+                            count = counts[end]
+                            for r in rows.tolist():
+                                i = int(mine[r])
                                 b = int(mixed[i]) % count
                                 for other in range(count):
-                                    take.append(i)
-                                    places.append((tree, end, min(b, other) * count + max(b, other), int(b > other)))
-                            # a batch's rows meet every block of a dense end, so they leave in slices
-                            if len(take) > 16_384:
-                                yield from dealt_rows(batch, take, places)
-                                take, places = [], []
-                yield from dealt_rows(batch, take, places)
-
-        def dealt_rows(batch: pa.RecordBatch, take: list[int], places: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(take), 16_384):
-                part = batch.select(["id", "label", "v"]).take(pa.array(take[i : i + 16_384], pa.int64()))
-                tree, end, pair, side = zip(*places[i : i + 16_384], strict=True)
-                yield pa.record_batch(
-                    [*part.columns, pa.array(tree, pa.int32()), pa.array(end, pa.int64()), pa.array(pair, pa.int64()), pa.array(side, pa.int32())],
-                    ["id", "label", "v", "tree", "end", "pair", "side"],
-                )
-
-        seed, spill, leaf, least = self.seed, self.spill, self.leaf, self.cosine
+                                    places.append((i, tree, end, min(b, other) * count + max(b, other), int(b > other), before[r]))
+                            # a batch's rows meet every block of a large leaf, so they leave in slices
+                            if len(places) > 16_384:
+                                yield from dealt(batch, places)
+                                places = []
+                    yield from dealt(batch, places)
+
+        def dealt(batch: pa.RecordBatch, places: list[tuple[int, int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(places), 16_384):
+                i, *rest = zip(*places[at : at + 16_384], strict=True)
+                part = batch.select(["k", "copies", "label", "v"]).take(pa.array(i, pa.int64()))
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.record_batch([*part.columns, *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], ["k", "copies", "label", "v", "tree", "end", "pair", "side", "before"])
+
+        seed, spread, leaf, least, trees = self.seed, self.spread, self.leaf, self.cosine, self.trees
 
         def compare(key, table):
-            ids = table.column("id").to_numpy()
-            width = len(table.column("v")[0])
-            raw = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width)
-            order = np.argsort(ids)
-            ids, raw = ids[order], raw[order]
-            x = _unit(raw)
-            pairs: list[np.ndarray] = []
-            if table.column("side").to_numpy().any():  # two blocks of a dense end: pairs across them
+            k = table.column("k").to_numpy()
+            order = np.argsort(k)
+            raw = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(len(k), -1)[order]
+            k = k[order]
+            tally = _Tally(raw, table.column("copies").to_numpy()[order], least)
+            if key[1].as_py() < 0:  # a whole label
+                random = np.random.default_rng([seed, 77, zlib.crc32(key[0].as_py().encode())])
+                codes: list[list[int]] = [[] for _ in range(len(k))]
+                for tree in range(trees):
+                    leaves = list(_leaves(tally.x, random, _margin(least, raw.shape[1], spread), leaf, least))
+                    for number, rows in enumerate(leaves):
+                        for r in rows.tolist():
+                            codes[r].append(tree << 24 | number)
+                    padded = _padded(codes)
+                    for number, rows in enumerate(leaves):
+                        tally.leaf(rows, None, _shares(padded, tree << 24 | number))
+                    if len(leaves) == 1:
+                        break  # one leaf holds all pairs
+            else:
+                lists = [np.frombuffer(x, "<u4") for x in table.column("before").to_pylist()]
+                before = _shares(_padded([lists[i] for i in order.tolist()]), key[1].as_py() << 24 | key[2].as_py())
                 side = table.column("side").to_numpy()[order]
-                here, there = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                for i in range(0, len(here), 1024):
-                    product = x[here[i : i + 1024]] @ x[there].T
-                    a, b = np.nonzero(product >= least - _SPLIT)
-                    p, q = here[i + a], there[b]
-                    ok = _cosine_at_least(raw, p, q, product[a, b], least)
-                    pairs.append(np.stack([np.minimum(p[ok], q[ok]), np.maximum(p[ok], q[ok])], 1))
-                found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-                return pa.table({"a": pa.array(ids[found[:, 0]]), "b": pa.array(ids[found[:, 1]])})
-            whole = (key[0].as_py(), key[1].as_py(), key[2].as_py()) in forest.value[1]
-            random = np.random.default_rng([seed, 77, *[abs(hash_of(k)) for k in key]])
-            for rows in [np.arange(len(x))] if whole else _leaves(x, random, spill, leaf, least):
-                rows = np.sort(rows)
-                for i in range(0, len(rows), 1024):
-                    product = x[rows[i : i + 1024]] @ x[rows[i:]].T
-                    a, b = np.nonzero(np.triu(product >= least - _SPLIT, 1))
-                    ok = _cosine_at_least(raw, rows[i + a], rows[i + b], product[a, b], least)
-                    pairs.append(np.stack([rows[i + a[ok]], rows[i + b[ok]]], 1))
-            found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            return pa.table({"a": pa.array(ids[found[:, 0]]), "b": pa.array(ids[found[:, 1]])})
-
-        dealt = self.points.mapInArrow(deal, "id long, label string, v array<double>, tree int, end long, pair long, side int")
-        pairs = dealt.groupBy("label", "tree", "end", "pair").applyInArrow(compare, "a long, b long")
-        # a pair may be found by several trees
-        return stored(pairs.distinct(), "vector-links")
+                if side.any():
+                    tally.leaf(np.flatnonzero(side == 0), np.flatnonzero(side == 1), before)
+                else:
+                    tally.leaf(np.arange(len(k)), None, before)
+            some = np.flatnonzero(tally.linked)
+            a = [*k[some].tolist(), *(int(k[i]) for i, _ in tally.edges)]
+            b = [None] * len(some) + [int(k[j]) for _, j in tally.edges]
+            n = [*tally.linked[some].astype(np.int64).tolist(), *[None] * len(tally.edges)]
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+        schema = "k long, copies long, label string, v binary, tree int, end long, pair long, side int, before binary"
+        return self.points.mapInArrow(deal, schema).groupBy("label", "tree", "end", "pair").applyInArrow(compare, "a long, b long, n long")
 
     def result(self) -> DataFrame:
         """(vec_id, n_links, component_id, kept) for every row; a null id has null component_id and kept."""
-        pairs = self.found()
-        copies = self.points.select("id", "copies")
-        both = pairs.union(pairs.select("b", "a"))
-        linked = both.join(copies.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("more")).withColumnRenamed("a", "id")
-        of = components(pairs)
-        names = (
-            self.points.join(linked, "id", "left").join(of, "id", "left")
-            .select("id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
-        )
-        # every row finds its point by the vector itself
-        point = self.rows.where("p IS NOT NULL").groupBy("p").agg(F.min("id").alias("point"))
-        rows = self.rows.join(point, "p", "left").join(names.withColumnRenamed("id", "point"), "point", "left")
+        found = stored(self.found(), "vector-links")
+        more = found.where("b IS NULL").groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("more"))
+        of = components(found.where("b IS NOT NULL")).withColumnRenamed("id", "k")
+        known = self.points.select("k", "k2", "id", "copies").join(more, "k", "left").join(of, "k", "left").withColumn("component", F.coalesce("component", "k"))
+        least = known.groupBy("component").agg(F.min("id").alias("c"))
+        names = stored(known.join(least, "component").select("k", "k2", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), "c"), "vector-names")
+        discard(found)
         component = F.coalesce("c", F.col("id"))
-        return rows.select(
+        return self.rows.join(names, ["k", "k2"], "left").select(
             F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept")
         )
 
 
-def hash_of(value: object) -> int:
-    """A number that depends on a group's key alone."""
-    import zlib
-
-    return zlib.crc32(str(value.as_py() if hasattr(value, "as_py") else value).encode())
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, label, k, k2, v): of vectors that can link the label with the length, both halves of a digest of label and vector, and its bytes; else nulls."""
+    for batch in batches:
+        ids, labels, column = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+        out: list[tuple[str | None, int | None, int | None, bytes | None]] = [(None, None, None, None)] * len(batch)
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        usable = np.asarray(ids.is_valid()) & np.array([x is not None for x in labels], bool) & (sizes > 0)
+        for width in np.unique(sizes[usable]).tolist():
+            rows = np.flatnonzero(usable & (sizes == width))
+            x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width) + 0.0  # of -0.0 and 0.0 the same
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            for i, v in zip(rows[good].tolist(), x[good], strict=True):
+                name, raw = f"{labels[i]}/{width}", v.tobytes()
+                digest = hashlib.blake2b(raw, digest_size=16, key=hashlib.blake2b(name.encode(), digest_size=16).digest()).digest()
+                out[i] = name, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), raw
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.record_batch([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["id", "label", "k", "k2", "v"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
