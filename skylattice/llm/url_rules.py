@@ -1,8 +1,15 @@
-"""URL filters: pattern rules indexed by their rarest literal token. DataFrame expressions only."""
+"""URL filters: pattern rules indexed by their rarest literal token. DataFrame expressions only.
+
+A pattern is matched against host and path. ``||`` at its start stands for the start of the host or
+of one of its parent domains, ``|`` for the start or the end, ``^`` for the border of a token (an
+end, or one character that is no letter or digit), ``*`` for any run of characters; all else is
+literal. A pattern fits if it occurs anywhere.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,34 +23,55 @@ _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern for ``host + path`` and what it says of a URL.
-
-    ``tokens`` are literal runs of a-z, A-Z, 0-9 that every fitting URL has as whole tokens;
-    ``rank`` orders rules that fit the same URL (the highest wins, then the name).
-    """
+    """A pattern and what it says of a URL. ``rank`` orders rules that fit the same URL (the highest wins, then the name)."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
-    rank: int
+    rank: int = 0
+
+    def parts(self) -> list[str]:
+        """The pattern as literals and marks."""
+        return re.findall(r"\A\|\||\A\||\|\Z|[*^]|(?:(?!\|\Z)[^*^])+", self.pattern)
+
+    def regex(self) -> str:
+        """The regular expression that the pattern stands for."""
+        out = []
+        for i, x in enumerate(self.parts()):
+            if x == "||":
+                out.append(r"\A(?:[^/]*\.)?")
+            elif x == "|":
+                out.append(r"\A" if i == 0 else r"\z")
+            elif x == "^":
+                out.append(r"(?:\A|\z|[^0-9A-Za-z])")
+            else:
+                out.append(r"(?s:.*)" if x == "*" else re.escape(x))
+        return "".join(out)
+
+    def tokens(self) -> list[str]:
+        """Runs of letters and digits of the pattern that every fitting URL has as whole tokens: those that something ends on both sides."""
+        found, parts = [], self.parts()
+        for i, x in enumerate(parts):
+            if x in ("||", "|", "^", "*"):
+                continue
+            for m in re.finditer(r"[0-9A-Za-z]+", x):
+                before = m.start() > 0 or (i > 0 and parts[i - 1] != "*")
+                after = m.end() < len(x) or (i + 1 < len(parts) and parts[i + 1] != "*")
+                if before and after:
+                    found.append(m[0])
+        return found
 
 
 def host_rule(verdict: str, rule: str) -> Rule:
-    """A rule ``host/path``: the host and its subdomains, paths that start with the path. Longer rules win."""
+    """A rule ``host/path``: the host and its subdomains, paths that start with the path. Longer rules win, and all win over others."""
     host, slash, path = rule.partition("/")
-    path = slash + path
-    host = host.lower()
-    # the last token of a path may go on in the URL, so it counts only if something ends it
-    ended = path if not path or not path[-1].isalnum() else path[: len(path.rstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))]
-    tokens = re.findall(r"[0-9A-Za-z]+", host) + re.findall(r"[0-9A-Za-z]+", ended)
-    pattern = rf"\A(?:[^/]*\.)?{re.escape(host)}" + (re.escape(path) if path else r"(?:/|\z)")
-    return Rule(rule, verdict, pattern, tuple(tokens), 1_000_000 + len(rule))
+    return Rule(rule, verdict, f"||{host.lower()}{slash}{path}" + ("" if slash else "^"), 1_000_000 + len(rule))
 
 
-def word_rule(verdict: str, name: str, pattern: str, *tokens: str) -> Rule:
-    """A rule of the method's own, after all host rules: its pattern runs on URLs with its tokens."""
-    return Rule(name, verdict, pattern, tokens, 0)
+def rules_of(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table (name, verdict, pattern, rank); rows with a null are left out, a null rank is 0. At most MAX_RULES."""
+    rows = table.where("name IS NOT NULL AND verdict IS NOT NULL AND pattern IS NOT NULL").orderBy("name", "pattern").limit(MAX_RULES + 1).collect()
+    return tuple(Rule(r["name"], r["verdict"], r["pattern"], r["rank"] or 0) for r in rows)
 
 
 #: Host and path rules that the query is asked for.
@@ -57,7 +85,7 @@ HOST_RULES = (
 
 #: What hosts and paths of unwanted pages are called; they decide where no host rule fits.
 WORD_RULES = tuple(
-    word_rule("block", f"word:{word}", rf"(?:\A|[./_-]){word}(?:[./_-]|\z)", *word.split("-"))
+    Rule(f"word:{word}", "block", f"^{word}^")
     for word in ("casino", "free-bets", "bets", "betting", "poker", "porn", "xxx", "adult", "viagra", "payday", "warez", "torrent", "doubleclick")
 )
 
@@ -77,46 +105,51 @@ def _tokens(where: Column) -> Column:
     return F.array_distinct(F.filter(F.split(where, "[^0-9A-Za-z]+"), lambda t: t != ""))
 
 
-def judge(
-    pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", named: tuple[Rule, ...] | None = None, default: str = "allow"
-) -> DataFrame:
-    """Add host, path, rule and verdict to ``pages``, replacing columns of these names.
+def judge(pages: DataFrame, rules: Iterable[Rule], url: str = "url", named: Iterable[Rule] | None = None, default: str = "allow") -> DataFrame:
+    """Add host, path, rule and verdict to ``pages``, replacing columns of these names; all others stay.
 
     Rules are indexed by the literal token that the fewest URLs of ``pages`` have (counted over
     all rows; ties: the first by name). A URL's tokens fetch rules from that index, a map in the
-    plan, and only those rules' patterns run. ``rule`` is the winner's name if it is among
-    ``named`` (all rules, unless given), else null; ``verdict`` the winner's, or ``default`` where
-    none fits. Null and broken URLs have an empty host and path and fit no rule. No shuffle but
-    for the token counts, whose keys are the rules' tokens.
+    plan, and only those rules' regular expressions run, whatever the URL's length. ``rule`` is the
+    winner's name if it is among ``named`` (all rules, unless given), else null; ``verdict`` the
+    winner's, or ``default`` where none fits. Of rules that fit, the highest rank wins, then the
+    greatest name, then the greatest pattern. Null and broken URLs have an empty host and path and
+    fit no rule. Each row counts by itself, repeated rows too. No shuffle but for the token counts,
+    whose keys are the rules' tokens.
     """
+    rules = tuple(rules)
     if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; {MAX_RULES} are the most")
-    if bad := [r.name for r in rules if not r.tokens]:
-        raise ValueError(f"rules without a literal token: {bad}")
-    named = rules if named is None else named
-    wanted = sorted({t for r in rules for t in r.tokens})
-    target = F.concat(host_of(F.col(url)), path_of(F.col(url)))
+        raise ValueError(f"over {MAX_RULES} rules")
+    tokens = {r: r.tokens() for r in rules}
+    if bad := [r.name for r in rules if not tokens[r]]:
+        raise ValueError(f"rules without a whole literal token: {bad}")
+    named = frozenset(rules if named is None else named)
+    wanted = sorted({t for some in tokens.values() for t in some})
+    target = lambda: F.concat(host_of(F.col(url)), path_of(F.col(url)))
     counts = dict(
-        pages.select(F.explode(F.filter(_tokens(target), lambda t: t.isin(wanted))).alias("token")).groupBy("token").count().collect()
+        pages.select(F.explode(F.filter(_tokens(target()), lambda t: t.isin(wanted))).alias("token")).groupBy("token").count().collect()
     )
     index: dict[str, list[Rule]] = {}
-    for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
+    for r in tokens:
+        index.setdefault(min(tokens[r], key=lambda t: (counts.get(t, 0), t)), []).append(r)
     entry = lambda r: F.struct(
-        F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"),
+        F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.regex()).alias("regex"),
         F.lit(r.verdict).alias("verdict"), F.lit(r in named).alias("named"),
     )
-    lists = F.create_map(*[x for t, some in sorted(index.items()) for x in (F.lit(t), F.array(*[entry(r) for r in some]))])
+    lists = F.create_map(*[x for t, some in sorted(index.items()) for x in (F.lit(t), F.array(*[entry(r) for r in some]))]) if index else None
+    best = next(x for i in range(len(pages.columns) + 1) if (x := f"best{i}").lower() not in {c.lower() for c in pages.columns})
     judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    fetched = F.flatten(F.filter(F.transform(F.filter(_tokens(F.concat("host", "path")), lambda t: t.isin(sorted(index))), lambda t: F.element_at(lists, t)), lambda a: a.isNotNull()))
-    fits = F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))
-    judged = judged.withColumn("_best", F.array_max(fits))
+    if lists is None:
+        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    mine = F.filter(_tokens(F.concat("host", "path")), lambda t: t.isin(sorted(index)))
+    fits = F.filter(F.flatten(F.transform(mine, lambda t: F.element_at(lists, t))), lambda r: F.regexp_like(F.concat("host", "path"), r["regex"]))
+    judged = judged.withColumn(best, F.array_max(fits))
     return judged.withColumns(
         {
-            "rule": F.when(F.col("_best.named"), F.col("_best.name")),
-            "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
+            "rule": F.when(F.col(f"{best}.named"), F.col(f"{best}.name")),
+            "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default)),
         }
-    ).drop("_best")
+    ).drop(best)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +180,7 @@ WITH p AS (
 )
 SELECT u.page_id, host, path, m.rule, coalesce(m.verdict,
   CASE WHEN regexp_matches(host || path,
-    '(^|[./_-])(casino|free-bets|bets|betting|poker|porn|xxx|adult|viagra|payday|warez|torrent|doubleclick)([./_-]|$)')
+    '(^|[^0-9A-Za-z])(casino|free-bets|bets|betting|poker|porn|xxx|adult|viagra|payday|warez|torrent|doubleclick)([^0-9A-Za-z]|$)')
   THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN m USING (page_id)
 """
