@@ -147,6 +147,10 @@ def xisf_to_fits(data: bytes, meta_extension: bool = True) -> bytes:
         units.append(fits.image_hdu(planes[0] if len(planes) == 1 else planes, bits, extension=bool(units), bscale=1 if zero else None, bzero=zero or None, extra=extra))
     if not units:
         units.append(fits.empty_primary())
+    kept = {p.id: p.value for p in unit.properties}
+    layout = json.loads(kept.get("FITS:PreservedHDULayout") or "[]")
+    if layout:
+        return _with_kept_units(units, [(x["index"], bytes(kept[f"FITS:HDU{x['index']}"])) for x in layout if f"FITS:HDU{x['index']}" in kept])
     if meta_extension:
         rows = [{"id": p.id, "type": p.type, "value": str(p.value) if isinstance(p.value, complex) else p.value} for p in (*unit.metadata, *unit.properties)]
         text = json.dumps(rows)
@@ -154,6 +158,21 @@ def xisf_to_fits(data: bytes, meta_extension: bool = True) -> bytes:
     return fits.write(units)
 
 
+def _with_kept_units(images: list, kept: list[tuple[int, bytes]]) -> bytes:
+    """A file of image units with units that were kept whole at the places where they stood. A first unit that is no primary one follows an empty one."""
+    out: list[bytes] = []
+    raw, places = dict(kept), iter([fits.write([x]) for x in images])
+    for i in range(len(images) + len(kept)):
+        if i in raw:
+            out.append(raw[i])
+        elif (unit := next(places, None)) is not None:
+            out.append(unit)
+    out += [x for x in places] + [x for i, x in sorted(raw.items()) if i >= len(images) + len(kept)]
+    if out and not out[0].startswith(b"SIMPLE"):
+        out.insert(0, fits.write([fits.empty_primary()]))
+    return b"".join(out)
+
+
 def _typed(text: str) -> fits.Value:
     return fits.parse_value(text)[2]
 

@@ -18,7 +18,9 @@ EXTENSION = {"fits": "fits", "png": "png", "jpeg": "jpg"}
 
 # Keys that the standard wants, those of cubes, and the frames' names.
 REQUIRED = ("creator_did", "obs_title", "dataproduct_type", "hips_version", "hips_frame", "hips_order", "hips_tile_width", "hips_tile_format")
-CUBE_REQUIRED = ("hips_order_freq", "hips_order_min", "em_min", "em_max")
+SPECTRAL_REQUIRED = ("hips_order_freq", "hips_order_min", "em_min", "em_max")
+PLANE_KEYS = ("hips_cube_depth", "hips_cube_firstframe")
+PRODUCTS = ("image", "cube", "spectral-cube")
 FRAMES = {"equatorial": ("RA---", "DEC--", "C"), "galactic": ("GLON-", "GLAT-", "G"), "ecliptic": ("ELON-", "ELAT-", "E")}
 
 
@@ -54,21 +56,38 @@ def compatible_properties(values: dict[str, str]) -> dict[str, str]:
     return values | {k: v for k, v in extra.items() if v}
 
 
+def _whole(text: str, least: int = 0) -> bool:
+    return re.fullmatch(r"\d+", text) is not None and int(text) >= least
+
+
+def formats_of(text: str) -> list[str]:
+    """Formats of a list with commas or blanks, in lower case."""
+    return [x for x in re.split(r"[,\s]+", text.lower()) if x]
+
+
 def check_properties(values: dict[str, str]) -> list[tuple[str, str, str]]:
-    """(level, code, key) of what is missing, invalid or odd."""
-    cube = values.get("dataproduct_type") in ("cube", "spectral-cube") or "hips_order_freq" in values
-    out = [("error", "MISSING_PROPERTY", k) for k in REQUIRED + (CUBE_REQUIRED if cube else ()) if not values.get(k)]
-    whole = lambda k: re.fullmatch(r"\d+", values[k]) is not None
+    """(level, code, key) of what is missing, invalid or odd. ``jpg`` is an odd name of jpeg; cubes need their depth and first frame."""
+    product = values.get("dataproduct_type", "")
+    cube = product == "cube"
+    wanted = REQUIRED + (PLANE_KEYS if cube else ()) + (SPECTRAL_REQUIRED if "hips_order_freq" in values else ())
+    out = [("error", "MISSING_PROPERTY", k) for k in wanted if not values.get(k)]
+    given = {k: v for k, v in values.items() if v}
+    formats = formats_of(given.get("hips_tile_format", ""))
     rules = {
-        "hips_order": lambda: whole("hips_order") and int(values["hips_order"]) <= 29,
-        "hips_tile_width": lambda: whole("hips_tile_width") and int(values["hips_tile_width"]) > 0 and int(values["hips_tile_width"]).bit_count() == 1,
-        "hips_frame": lambda: values["hips_frame"] in FRAMES,
-        "hips_version": lambda: re.fullmatch(r"\d+(\.\d+)*", values["hips_version"]) is not None,
-        "hips_tile_format": lambda: set(values["hips_tile_format"].split()) <= set(EXTENSION),
+        "hips_order": lambda v: _whole(v) and int(v) <= 29,
+        "hips_tile_width": lambda v: _whole(v, 1) and int(v).bit_count() == 1,
+        "hips_frame": lambda v: v in FRAMES,
+        "hips_version": lambda v: re.fullmatch(r"\d+(\.\d+){0,2}", v) is not None,
+        "hips_tile_format": lambda v: bool(formats) and {"jpeg" if f == "jpg" else f for f in formats} <= set(EXTENSION),
+        "dataproduct_type": lambda v: v in PRODUCTS,
+        "hips_order_min": lambda v: _whole(v) and (not _whole(given.get("hips_order", "")) or int(v) <= int(given["hips_order"])),
+        "hips_cube_depth": lambda v: not cube or _whole(v, 1),
+        "hips_cube_firstframe": lambda v: not cube or _whole(v),
     }
-    out += [("error", "INVALID_PROPERTY", k) for k, ok in rules.items() if values.get(k) and not ok()]
-    out += [("warning", "PROPERTY_WARNING", k) for k in ("hips_release_date", "hips_status") if k not in values]
-    return out
+    out += [("error", "INVALID_PROPERTY", k) for k, ok in rules.items() if k in given and not ok(given[k])]
+    odd = [k for k in ("hips_release_date", "hips_status") if k not in values]
+    odd += ["hips_tile_format"] * ("jpg" in formats) + [k for k in PLANE_KEYS if k in given and not cube]
+    return out + [("warning", "PROPERTY_WARNING", k) for k in odd]
 
 
 def lint(paths: Sequence[str], properties: str | None) -> list[tuple[str, str, str]]:
@@ -78,7 +97,7 @@ def lint(paths: Sequence[str], properties: str | None) -> list[tuple[str, str, s
     values = parse_properties(properties)
     out = check_properties(values)
     most = int(values["hips_order"]) if re.fullmatch(r"\d+", values.get("hips_order", "")) else None
-    formats = {EXTENSION[f] for f in values.get("hips_tile_format", "").split() if f in EXTENSION}
+    formats = {EXTENSION[f] for f in ("jpeg" if x == "jpg" else x for x in formats_of(values.get("hips_tile_format", ""))) if f in EXTENSION}
     cube = values.get("dataproduct_type") in ("cube", "spectral-cube")
     tiles = 0
     for path in paths:

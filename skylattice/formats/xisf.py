@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import struct
 import xml.etree.ElementTree as ET
@@ -53,6 +54,8 @@ class Image:
     id: str | None = None
     properties: list[Property] = field(default_factory=list)
     keywords: list[tuple[str, str, str]] = field(default_factory=list)
+    elements: dict[str, dict[str, object]] = field(default_factory=dict)  # by name, their attributes; data under "data"
+    thumbnail: Image | None = None
 
     @property
     def channels(self) -> int:
@@ -89,6 +92,41 @@ def _name(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
+# What an image's descriptive elements hold if their attributes are left out.
+_DESCRIPTIVE = {
+    "RGBWorkingSpace": {"gamma": "sRGB", "x": "0:0:0", "y": "0:0:0", "Y": "0:0:0", "name": None},
+    "DisplayFunction": {"m": "0.5:0.5:0.5:0.5", "s": "0:0:0:0", "h": "1:1:1:1", "l": "0:0:0:0", "r": "1:1:1:1", "name": None},
+    "ColorFilterArray": {"pattern": "", "width": "0", "height": "0", "name": None},
+    "Resolution": {"horizontal": "72", "vertical": "72", "unit": "inch"},
+}
+_CFA_PATTERN = re.compile(r"[0RGBWCMY]+")
+_WHOLE_ATTRIBUTES, _REAL_ATTRIBUTES = ("width", "height"), ("horizontal", "vertical")
+
+
+def _descriptive(e: ET.Element, strict: bool) -> dict[str, object]:
+    """A descriptive element's values: lists of numbers, numbers and text, with the defaults for what is left out."""
+    kind, out = _name(e), {}
+    for key, default in _DESCRIPTIVE[kind].items():
+        text = e.get(key, default)
+        try:
+            if default is not None and ":" in default:
+                out[key] = [float(x) for x in text.split(":")]
+            else:
+                out[key] = int(text) if key in _WHOLE_ATTRIBUTES else float(text) if key in _REAL_ATTRIBUTES else text
+        except ValueError as error:
+            raise XisfValidationError(f"{kind} {key} {text!r}") from error
+        if strict and isinstance(out[key], list) and len(out[key]) != default.count(":") + 1:
+            raise XisfValidationError(f"{kind} {key} has {len(out[key])} numbers")
+    if kind == "Resolution":
+        out["unit"] = "cm" if out["unit"] == "cm" else "inch"
+        if strict and not (0 < out["horizontal"] < float("inf") and 0 < out["vertical"] < float("inf")):
+            raise XisfValidationError("a resolution is positive")
+    if kind == "ColorFilterArray" and strict:
+        if out["width"] <= 0 or out["height"] <= 0 or not _CFA_PATTERN.fullmatch(out["pattern"]) or len(out["pattern"]) != out["width"] * out["height"]:
+            raise XisfValidationError("a filter pattern has a known letter for each of its cells")
+    return out
+
+
 # -- locations and blocks
 
 _LOCATION = re.compile(r"(?:(inline):(\w+)|(embedded)|(?:attachment|attached):(\d+):(\d+)|(url|path)\((.*)\)(?::(\w+))?)\Z", re.S)
@@ -282,7 +320,7 @@ def header_of(data: bytes) -> str:
 
 
 def read(data: bytes, resolve: Resolver | None = None, directory: str = "", strict: bool = True, verify: bool = True, decode_images: bool = True, signature_policy: str = "require") -> Unit:
-    """Read a unit. ``signature_policy``: require, warn or ignore a signature (they are checked as far as digests go)."""
+    """Read a unit. ``signature_policy``: require a signature that is there to hold, warn if it doesn't, or ignore it."""
     text = header_of(data)
     try:
         root = ET.fromstring(text)
@@ -302,13 +340,15 @@ def read(data: bytes, resolve: Resolver | None = None, directory: str = "", stri
             raise XisfValidationError(f"reference {e.get('ref')!r}")
         return found
 
-    def image(e: ET.Element) -> Image:
+    def image(e: ET.Element, thumbnail: bool = False) -> Image:
         geometry = [int(x) for x in e.get("geometry", "").split(":") if x]
         kind = e.get("sampleFormat", "")
         if len(geometry) < 2 or min(geometry) < 1:
             raise XisfValidationError("bad geometry")
         if kind not in SAMPLES:
             raise XisfValidationError(f"sample format {kind!r}")
+        if thumbnail and strict and (kind not in ("UInt8", "UInt16") or len(geometry) != 3):
+            raise XisfValidationError("a thumbnail is a plane image of 8 or 16 bits")
         bounds = tuple(float(x) for x in e.get("bounds").split(":")) if e.get("bounds") else None
         if bounds and not bounds[0] < bounds[1]:
             raise XisfValidationError("bad bounds")
@@ -324,6 +364,14 @@ def read(data: bytes, resolve: Resolver | None = None, directory: str = "", stri
                 out.properties.append(_property(c, context))
             elif _name(c) == "FITSKeyword":
                 out.keywords.append((c.get("name", ""), c.get("value", ""), c.get("comment", "")))
+            elif _name(c) in _DESCRIPTIVE:
+                out.elements[_name(c)] = _descriptive(c, strict)
+            elif _name(c) == "ICCProfile":
+                out.elements["ICCProfile"] = {"data": _block(c, *context)[0]}
+            elif _name(c) == "Thumbnail":
+                if thumbnail and strict:
+                    raise XisfValidationError("a thumbnail within a thumbnail")
+                out.thumbnail = image(c, True)
         return out
 
     def table(e: ET.Element) -> Table:
@@ -367,41 +415,91 @@ def read(data: bytes, resolve: Resolver | None = None, directory: str = "", stri
     return unit
 
 
-_DIGESTS = {"sha1": "sha1", "sha256": "sha256", "sha384": "sha384", "sha512": "sha512"}
+# Hash algorithms by name, with the bytes that PKCS 1 puts before a digest (DigestInfo); names of algorithms.
+_DIGESTS = {
+    "sha1": bytes.fromhex("3021300906052b0e03021a05000414"),
+    "sha256": bytes.fromhex("3031300d060960864801650304020105000420"),
+    "sha384": bytes.fromhex("3041300d060960864801650304020205000430"),
+    "sha512": bytes.fromhex("3051300d060960864801650304020305000440"),
+}
+_DSIG = "http://www.w3.org/2000/09/xmldsig#"
+_ENVELOPED = f"{_DSIG}enveloped-signature"
+_CANONICAL = ("http://www.w3.org/2001/10/xml-exc-c14n#", "http://www.w3.org/TR/2001/REC-xml-c14n-20010315")
 
 
-def check_signature(text: str) -> str | None:
-    """What is wrong with an enveloped RSA signature (PKCS 1, RSAKeyValue); null if it holds.
+def check_signature(text: str, key: tuple[int, int] | None = None) -> str | None:
+    """What is wrong with an enveloped RSA signature (PKCS 1); null if it holds.
 
-    The digest is of the canonical document without its signature, the signature value of the
-    canonical SignedInfo. Other key kinds are reported as unsupported.
+    There must be one Signature, a child of the root, with one Reference, to the whole document
+    (an empty URI), by the enveloped transform and a canonical form without comments. The digest
+    is of the canonical document without the signature; the signature value must open to exactly
+    the padded digest of the canonical SignedInfo. ``key`` is the trusted (modulus, exponent);
+    without it the document's own key is taken, which shows that nothing was changed since the
+    key's owner signed, but not who that is. Everything else is reported as unsupported.
     """
+    scopes: list[dict[str, str]] = []
+    prefixes: dict[str, str] = {}
+    for event, value in ET.iterparse(io.StringIO(text), ("start-ns", "start")):
+        if event == "start-ns":
+            prefixes[value[0]] = value[1]
+        elif value.tag == f"{{{_DSIG}}}SignedInfo":
+            scopes.append(dict(prefixes))
     root = ET.fromstring(text)
-    holder = next((e for e in root if _name(e) == "Signature"), None)
-    if holder is None:
+    holders = [e for e in root.iter() if _name(e) == "Signature"]
+    if not holders:
         return "no signature"
-    find = lambda e, name: next((x for x in e.iter() if _name(x) == name), None)
-    info, value, modulus, exponent = (find(holder, n) for n in ("SignedInfo", "SignatureValue", "Modulus", "Exponent"))
-    if info is None or value is None or modulus is None or exponent is None:
-        return "unsupported key"
-    root.remove(holder)
-    reference = find(info, "Reference")
-    method = find(reference, "DigestMethod").get("Algorithm", "").rpartition("#")[2]
+    if len(holders) > 1 or holders[0] not in list(root) or holders[0].tag != f"{{{_DSIG}}}Signature":
+        return "unsupported place of a signature"
+    holder = holders[0]
+    child = lambda e, name: [x for x in (e if e is not None else ()) if x.tag == f"{{{_DSIG}}}{name}"]
+    one = lambda e, name: found[0] if len(found := child(e, name)) == 1 else None
+    algorithm = lambda e: e.get("Algorithm", "") if e is not None else ""
+    info, value = one(holder, "SignedInfo"), one(holder, "SignatureValue")
+    reference = one(info, "Reference")
+    if info is None or value is None or reference is None or len(scopes) != 1:
+        return "unsupported signature: not one reference"
+    if reference.get("URI") != "":
+        return "unsupported reference"
+    forms = [algorithm(x) for x in child(one(reference, "Transforms"), "Transform")]
+    form = algorithm(one(info, "CanonicalizationMethod"))
+    if forms[:1] != [_ENVELOPED] or len(forms) > 2 or not {*forms[1:], form} <= {*_CANONICAL}:
+        return "unsupported transform"
+    # the inclusive form also writes names that aren't used, which the library's doesn't
+    inclusive = _CANONICAL[1] in (form, *(forms[1:] or _CANONICAL[1:]))
+    if inclusive and any(p for p in scopes[0]):
+        return "unsupported name prefixes"
+    method = algorithm(one(reference, "DigestMethod")).rpartition("#")[2]
     if method not in _DIGESTS:
         return f"unsupported digest {method!r}"
-    canon = ET.canonicalize(ET.tostring(root, encoding="unicode"))
-    if hashlib.new(_DIGESTS[method], canon.encode()).digest() != blocks.from_base64(find(reference, "DigestValue").text or ""):
+    canon = ET.canonicalize(text, exclude_tags=[f"{{{_DSIG}}}Signature"])
+    stated = one(reference, "DigestValue")
+    if stated is None or hashlib.new(method, canon.encode()).digest() != blocks.from_base64(stated.text or ""):
         return "digest differs"
-    n, e = (int.from_bytes(blocks.from_base64(x.text or ""), "big") for x in (modulus, exponent))
-    size = (n.bit_length() + 7) // 8
-    kind = (find(info, "SignatureMethod").get("Algorithm", "").rpartition("#")[2] or "").removeprefix("rsa-")
-    if kind not in _DIGESTS:
+    if key is None:
+        pair = one(one(one(holder, "KeyInfo"), "KeyValue"), "RSAKeyValue")
+        numbers = [one(pair, k) for k in ("Modulus", "Exponent")]
+        if None in numbers:
+            return "unsupported key"
+        key = tuple(int.from_bytes(blocks.from_base64(x.text or ""), "big") for x in numbers)
+    n, e = key
+    kind = algorithm(one(info, "SignatureMethod")).rpartition("#")[2].removeprefix("rsa-")
+    if kind not in _DIGESTS or not algorithm(one(info, "SignatureMethod")).rpartition("#")[2].startswith("rsa-"):
         return f"unsupported signature {kind!r}"
-    signed = pow(int.from_bytes(blocks.from_base64(value.text or ""), "big"), e, n).to_bytes(size, "big")
-    digest = hashlib.new(_DIGESTS[kind], ET.canonicalize(ET.tostring(info, encoding="unicode")).encode()).digest()
-    if not (signed[:2] == b"\0\1" and b"\0" in signed[2:] and signed.endswith(digest)):
+    # SignedInfo as it stands, with the name space that it stands in
+    raw = re.search(r"<SignedInfo\b[^>]*>.*?</SignedInfo\s*>", text, re.S)
+    if raw is None:
+        return "unsupported name prefixes"
+    signed_info = raw[0] if re.match(r"<SignedInfo\b[^>]*\sxmlns=", raw[0]) else raw[0].replace("<SignedInfo", f'<SignedInfo xmlns="{_DSIG}"', 1)
+    info.tail = None
+    if len({ET.canonicalize(ET.tostring(x, encoding="unicode")) for x in (info, ET.fromstring(signed_info))}) > 1:
+        return "unsupported name prefixes"
+    digest = _DIGESTS[kind] + hashlib.new(kind, ET.canonicalize(signed_info).encode()).digest()
+    size = (n.bit_length() + 7) // 8
+    given = blocks.from_base64(value.text or "")
+    if size < len(digest) + 11 or len(given) != size or e < 3:
         return "signature differs"
-    return None
+    wanted = b"\0\1" + b"\xff" * (size - len(digest) - 3) + b"\0" + digest
+    return None if pow(int.from_bytes(given, "big"), e, n).to_bytes(size, "big") == wanted else "signature differs"
 
 
 # -- writing
@@ -457,15 +555,7 @@ class _Writer:
     def build(self, unit: Unit) -> ET.Element:
         root = ET.Element("xisf", {"version": "1.0", "xmlns": NAMESPACE})
         for image in unit.images:
-            e = ET.SubElement(root, "Image", {"geometry": ":".join(map(str, image.geometry)), "sampleFormat": image.sample_format, "colorSpace": image.color_space})
-            for k, v in (("id", image.id), ("pixelStorage", image.pixel_storage if image.pixel_storage != "Planar" else None), ("bounds", ":".join(map(repr, image.bounds)) if image.bounds else None), ("byteOrder", image.byte_order if image.byte_order != "little" else None)):
-                if v:
-                    e.set(k, v)
-            self.attach(e, image.data or b"", np.dtype(SAMPLES[image.sample_format]).itemsize, image=True)
-            for name, value, comment in image.keywords:
-                ET.SubElement(e, "FITSKeyword", {"name": name, "value": value, "comment": comment})
-            for p in image.properties:
-                self.property(e, p)
+            self.image(root, image)
         for p in unit.properties:
             self.property(root, p)
         for t in unit.tables:
@@ -482,6 +572,25 @@ class _Writer:
             self.property(meta, p)
         return root
 
+    def image(self, parent: ET.Element, image: Image, tag: str = "Image") -> None:
+        e = ET.SubElement(parent, tag, {"geometry": ":".join(map(str, image.geometry)), "sampleFormat": image.sample_format, "colorSpace": image.color_space})
+        for k, v in (("id", image.id), ("pixelStorage", image.pixel_storage if image.pixel_storage != "Planar" else None), ("bounds", ":".join(map(repr, image.bounds)) if image.bounds else None), ("byteOrder", image.byte_order if image.byte_order != "little" else None)):
+            if v:
+                e.set(k, v)
+        self.attach(e, image.data or b"", np.dtype(SAMPLES[image.sample_format]).itemsize, image=True)
+        for name, value, comment in image.keywords:
+            ET.SubElement(e, "FITSKeyword", {"name": name, "value": value, "comment": comment})
+        for p in image.properties:
+            self.property(e, p)
+        for name, values in image.elements.items():
+            if name == "ICCProfile":
+                self.attach(ET.SubElement(e, name), values["data"], 1)
+            else:
+                text = {k: ":".join(map(repr, v)) if isinstance(v, list) else str(v) for k, v in values.items() if v is not None}
+                ET.SubElement(e, name, text)
+        if image.thumbnail:
+            self.image(e, image.thumbnail, "Thumbnail")
+
 
 def write(unit: Unit, compression: str | None = None, level: int = 6, checksum: str | None = "sha1", max_inline: int = 3072, alignment: int = 4096) -> bytes:
     """A monolithic file; images are attachments at multiples of ``alignment``."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +19,18 @@ def block_padding(n: Column | str) -> Column:
 
 def cards(header: Column | str, max_lines: int = 600) -> Column:
     """Header text as an array of 80-character lines, up to END."""
-    text = col(header)
-    lines = F.transform(F.sequence(F.lit(0), F.least(F.lit(max_lines), F.ceil(F.length(text) / 80).cast("int")) - 1), lambda i: F.substring(text, i * 80 + 1, F.lit(80)))
-    end = F.array_position(F.transform(lines, lambda x: F.rtrim(x)), "END")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.when(end > 0, F.slice(lines, 1, (end - 1).cast("int"))).otherwise(lines))
+    # found in one pass: a substring by its place would count characters from the start each time
+    lines = F.slice(F.regexp_extract_all(col(header), F.lit("(?s).{1,80}"), F.lit(0)), 1, max_lines)
+
+    def up_to_end(lines: Column) -> Column:
+        return _bound(F.array_position(F.transform(lines, lambda x: F.rtrim(x)), "END"), lambda end: F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines))
+
+    return _bound(lines, up_to_end)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
 
 
 def card_key(line: Column | str) -> Column:
@@ -175,3 +185,31 @@ def format_properties(values: Column) -> Column:
 def fixed_text(raw: Column | str) -> Column:
     """A fixed field of bytes as text: up to the first NUL, trimmed."""
     return F.trim(F.split_part(F.decode(col(raw), "ISO-8859-1"), F.lit("\0"), F.lit(1)))
+
+
+def content_range(header: Column | str) -> Column:
+    """(start, end, total) of a Content-Range header such as ``bytes 0-99/2880``; null unless all three are there and fit."""
+    pattern = r"(?i)^\s*bytes\s+(\d+)-(\d+)/(\d+)\s*$"
+    start, end, total = (F.try_to_number(F.nullif(F.regexp_extract(col(header), pattern, i), F.lit("")), F.lit("9" * 18)).cast("long") for i in (1, 2, 3))
+    return F.when((start <= end) & (end < total), F.struct(start.alias("start"), end.alias("end"), total.alias("total")))
+
+
+def range_problem(status: Column, encoding: Column, header: Column, start: Column, end: Column, total: Column) -> Column:
+    """Why an answer to a range request can't be used (STATUS, ENCODING, RANGE_INVALID or RANGE_MISMATCH); null if it can."""
+    found = content_range(header)
+    plain = F.lower(F.trim(F.coalesce(encoding, F.lit(""))))
+    return (
+        F.when(~status.eqNullSafe(F.lit(206)), "STATUS").when(~plain.isin("", "identity"), "ENCODING").when(found.isNull(), "RANGE_INVALID")
+        .when((found["start"] != start) | (found["end"] != end) | (found["total"] != total), "RANGE_MISMATCH")
+    )
+
+
+def cutout_query(hips_id: Column | str, width: Column, height: Column, format: str = "fits", projection: str = "TAN", **values: Column) -> Column:
+    """The query string that asks a remote service for a cutout. ``values``: fov, ra, dec, coordsys, rotation_angle, or wcs, which counts before them; null ones are left out."""
+    pairs = [("hips", col(hips_id)), ("width", width), ("height", height), ("format", F.lit(format))]
+    if "wcs" in values:
+        pairs.append(("wcs", values["wcs"]))
+    else:
+        pairs += [("projection", F.lit(projection)), *((k, values[k]) for k in ("fov", "ra", "dec", "coordsys", "rotation_angle") if k in values)]
+    text = lambda v: F.url_encode(v.cast("string"))
+    return F.concat_ws("&", *(F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), text(v))) for k, v in pairs))

@@ -120,6 +120,11 @@ def first_with_data(hdus: DataFrame) -> DataFrame:
     return hdus.where("has_data").groupBy("path").agg(F.min("hdu_index").alias("hdu_index"))
 
 
+def is_cube(naxis: Column) -> Column:
+    """Whether an image has more than one plane: some axis beyond the second is longer than 1."""
+    return F.exists(F.slice(naxis, 3, 999), lambda n: n > 1)
+
+
 def same_shape(hdus: DataFrame) -> DataFrame:
     """Image units of each file that have the shape and type of its first one."""
     images = hdus.where("data_type = 'image'")

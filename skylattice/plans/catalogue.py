@@ -511,13 +511,6 @@ def ser_relaxed_frames(spark, d):
     return rows.select("n", "p", video.relaxed_frames(F.col("n"), F.col("p"), F.lit(100)).alias("frames"))
 
 
-@query()
-def ser_cfa_rgb(spark, d):
-    rows = table(spark, d, "embeddings").select(
-        F.col("vec_id"), F.lit(0).alias("frame"), F.lit(0).cast("long").alias("ts_ticks"), images.to_bytes(F.transform("embedding", lambda x: x.cast("double"))).alias("samples"))
-    return arrow.read_ser_frames(arrow.write_ser(rows, "vec_id", 8, 8, 8, color_id=8), rgb=True).select("path", "samples")
-
-
 # -- blocks
 
 

@@ -235,6 +235,51 @@ def write_ser(frames: DataFrame, key: str, width: int, height: int, pixel_depth:
     return frames.groupBy(key).applyInArrow(run, "path string, content binary")
 
 
+def write_xisf_images(df: DataFrame, sample_format: str, bounds: tuple[float, float] | None = None, distributed: bool = False, **options) -> DataFrame:
+    """(path, content): a unit per row (path, width, height, pixels and, if there, keywords: array of name, value, comment; elements: map of map).
+
+    A distributed unit is two files in the folder ``path``: unit.xish and blocks.xisb.
+    """
+    from skylattice.formats import xisf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, out = [], []
+            for r in batch.to_pylist():
+                x = np.array(r["pixels"]).astype(xisf.SAMPLES[sample_format]).reshape(-1, r["height"], r["width"])
+                keywords = [(k["name"], k["value"], k["comment"]) for k in r.get("keywords") or ()]
+                elements = {k: {a: [float(n) for n in b.split(":")] if ":" in b else b for a, b in v} for k, v in r.get("elements") or ()}
+                image = xisf.Image([r["width"], r["height"], len(x)], sample_format, bounds=bounds, data=x.tobytes(), keywords=keywords, elements=elements, id="main")
+                unit = xisf.Unit(metadata=[xisf.Property("XISF:CreatorApplication", "String", "skylattice")], images=[image])
+                if distributed:
+                    out += xisf.write_distributed(unit, **options)
+                    paths += [f"{r['path']}/unit.xish", f"{r['path']}/blocks.xisb"]
+                else:
+                    out.append(xisf.write(unit, **options))
+                    paths.append(r["path"])
+            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(out, pa.binary())], ["path", "content"])
+
+    return df.mapInArrow(run, "path string, content binary")
+
+
+def write_zip(files: DataFrame, key: str) -> DataFrame:
+    """(path, content): an archive per value of ``key`` of rows (key, path, content). An archive's files meet in one task."""
+    from skylattice.formats import archive
+
+    def run(name: tuple, table: pa.Table) -> pa.Table:
+        some = dict(zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True))
+        return pa.table({"path": [f"{name[0].as_py()}.zip"], "content": pa.array([archive.pack(some)], pa.binary())})
+
+    return files.select(key, "path", "content").groupBy(key).applyInArrow(run, "path string, content binary")
+
+
+def read_zip(files: DataFrame) -> DataFrame:
+    """(path, content) of the files in archives; paths begin with the archive's."""
+    from skylattice.formats import archive
+
+    return _emit(files, "path string, content binary", lambda path, data: ({"path": f"{path}/{k}", "content": v} for k, v in archive.unpack(data).items()))
+
+
 def convert(files: DataFrame, *way: str) -> DataFrame:
     """(path, content) of each file converted through formats, such as "ser", "fits", "xisf"."""
     from skylattice.formats.convert import convert as one
@@ -255,14 +300,47 @@ _VALUES = "value_str string, value_num double, value_exact decimal(20,0), vec ar
 XISF_PROPERTIES = f"path string, scope string, image int, id string, type string, format string, comment string, {_VALUES}"
 XISF_CELLS = f"path string, table_id string, row int, pos int, field_id string, type string, {_VALUES}"
 XISF_KEYWORDS = "path string, image int, name string, value string, comment string"
+XISF_ELEMENTS = "path string, image int, element string, values map<string,string>, data binary"
+_XISF_VIEWS = {"images": XISF_IMAGES, "properties": XISF_PROPERTIES, "cells": XISF_CELLS, "keywords": XISF_KEYWORDS, "elements": XISF_ELEMENTS}
+
+
+def read_xisf(files: DataFrame, view: str = "images", strict: bool = True, verify: bool = True, decode_images: bool = True, blocks: DataFrame | None = None, signature_policy: str = "require") -> DataFrame:
+    """images, properties, cells, keywords or elements (an image's descriptive ones) of XISF units.
+
+    ``blocks`` are the files (path, content) in which distributed units keep their data: a header
+    file of folder f finds ``path(@header_dir/name)`` as f/name, and other targets by their whole
+    text. Headers and blocks meet by folder, so a folder's files are in one task.
+    """
+    rows = _xisf_rows(view, strict, verify, decode_images, signature_policy)
+    if blocks is None:
+        return _emit(files, _XISF_VIEWS[view], rows)
+    kind = schema_of(_XISF_VIEWS[view])
+    arrow = to_arrow_schema(kind)
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+
+    def run(key: tuple, headers: pa.Table, parts: pa.Table) -> pa.Table:
+        held = dict(zip(parts.column("block_path").to_pylist(), parts.column("block").to_pylist(), strict=True))
 
+        def resolve(_: str, target: str) -> bytes:
+            if target not in held:
+                from skylattice.errors import XisfResourceError
 
-def read_xisf(files: DataFrame, view: str = "images", strict: bool = True, verify: bool = True, decode_images: bool = True) -> DataFrame:
-    """images, properties, cells or keywords of XISF units."""
+                raise XisfResourceError(f"no file {target!r}")
+            return held[target]
+
+        out = [r for path, data in zip(headers.column("path").to_pylist(), headers.column("content").to_pylist(), strict=True) if data is not None for r in rows(path, data, resolve, key[0].as_py())]
+        return pa.Table.from_pylist(out, arrow)
+
+    named = files.select(folder.alias("folder"), "path", "content").groupBy("folder")
+    parts = blocks.select(folder.alias("folder"), F.col("path").alias("block_path"), F.col("content").alias("block")).groupBy("folder")
+    return named.cogroup(parts).applyInArrow(run, kind)
+
+
+def _xisf_rows(view: str, strict: bool, verify: bool, decode_images: bool, signature_policy: str) -> Callable[..., Iterator[dict]]:
     from skylattice.formats import xisf
 
-    def rows(path: str, data: bytes) -> Iterator[dict]:
-        unit = xisf.read(data, strict=strict, verify=verify, decode_images=decode_images and view == "images")
+    def rows(path: str, data: bytes, resolve: xisf.Resolver | None = None, directory: str = "") -> Iterator[dict]:
+        unit = xisf.read(data, resolve, directory, strict=strict, verify=verify, decode_images=decode_images and view == "images", signature_policy=signature_policy)
         if view == "images":
             for i, x in enumerate(unit.images):
                 yield {
@@ -279,12 +357,17 @@ def read_xisf(files: DataFrame, view: str = "images", strict: bool = True, verif
                 for r, cells in enumerate(t.rows):
                     for pos, p in enumerate(cells):
                         yield {"path": path, "table_id": t.id, "row": r, "pos": pos, "field_id": p.id, "type": p.type, **xisf.value_columns(p)}
-        else:
+        elif view == "keywords":
             for i, x in enumerate(unit.images):
                 for name, value, comment in x.keywords:
                     yield {"path": path, "image": i, "name": name, "value": value, "comment": comment}
+        else:
+            for i, x in enumerate(unit.images):
+                for name, values in x.elements.items():
+                    some = {k: ":".join(f"{n:g}" for n in v) if isinstance(v, list) else f"{v:g}" if isinstance(v, float) else str(v) for k, v in values.items() if k != "data" and v is not None}
+                    yield {"path": path, "image": i, "element": name, "values": some, "data": values.get("data")}
 
-    return _emit(files, {"images": XISF_IMAGES, "properties": XISF_PROPERTIES, "cells": XISF_CELLS, "keywords": XISF_KEYWORDS}[view], rows)
+    return rows
 
 
 def write_xisf_tables(df: DataFrame, table_id: str, kinds: Sequence[str]) -> DataFrame:
