@@ -410,6 +410,43 @@ def columns(header: Header) -> list[Column]:
     return out
 
 
+def kind_of(code: str) -> str:
+    """The NumPy kind of a binary table's elements; complex ones are pairs of it."""
+    return _CODES[code][1]
+
+
+def size_of(code: str) -> int:
+    return _CODES[code][0]
+
+
+def descriptors(part: np.ndarray, column: Column) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of elements, their places in the heap) of a variable column's bytes."""
+    pairs = np.frombuffer(part.tobytes(), ">i4" if column.variable == "P" else ">i8").reshape(len(part), -1)[:, :2].astype(np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def heap_span(rows: np.ndarray, wanted: Sequence[Column]) -> tuple[int, int]:
+    """The first and last byte of the heap that some rows' variable columns need."""
+    low, high = None, 0
+    for c in wanted:
+        if c.variable and c.width and len(rows):
+            counts, at = descriptors(np.ascontiguousarray(rows[:, c.offset : c.offset + c.width]), c)
+            some = counts > 0
+            if some.any():
+                size = -(-counts // 8) if c.code == "X" else counts * _CODES[c.code][0]
+                low = int(at[some].min()) if low is None else min(low, int(at[some].min()))
+                high = max(high, int((at + size)[some].max()))
+    return (low or 0), high
+
+
+@dataclass(frozen=True)
+class Encoded:
+    """A column in the bytes of its form: a row each, or (number, place) pairs and a heap."""
+
+    rows: np.ndarray
+    heap: bytes | None = None
+
+
 def _elements(raw: np.ndarray, code: str, count: int) -> list:
     """Python values of ``count`` elements in contiguous bytes."""
     data = raw.tobytes()
@@ -425,8 +462,8 @@ def _elements(raw: np.ndarray, code: str, count: int) -> list:
     return x.tolist()
 
 
-def decode_column(rows: np.ndarray, heap: bytes, column: Column) -> list | np.ndarray:
-    """A column's values from rows given as a matrix of bytes: scalars, lists, or strings."""
+def decode_column(rows: np.ndarray, heap: bytes, column: Column, base: int = 0) -> list | np.ndarray:
+    """A column's values from rows given as a matrix of bytes: scalars, lists, or strings. ``heap`` begins ``base`` bytes into the table's."""
     part = np.ascontiguousarray(rows[:, column.offset : column.offset + column.width])
     size = _CODES[column.code][0]
     if column.variable:
@@ -435,6 +472,7 @@ def decode_column(rows: np.ndarray, heap: bytes, column: Column) -> list | np.nd
         out = []
         for count, at in pairs:
             n = -(-count // 8) if column.code == "X" else count * size
+            at = at - base if n else 0
             if at < 0 or at + n > len(heap):
                 raise FitsDataError(f"column {column.name} points outside the heap")
             found = _elements(np.frombuffer(heap, np.uint8, n, at) if n else np.zeros(0, np.uint8), column.code, count)
@@ -495,9 +533,17 @@ def _encode_fixed(values: Sequence, code: str, repeat: int) -> np.ndarray:
 def table_hdu(names: Sequence[str], forms: Sequence[str], values: Sequence[Sequence], extra: Cards = (), name: str | None = None) -> tuple[Cards, bytes]:
     """A binary table of columns; variable ones (P or Q) go to the heap."""
     parts, heap = [], bytearray()
-    count = len(values[0]) if values else 0
+    count = len(values[0].rows if isinstance(values[0], Encoded) else values[0]) if len(values) else 0
     for form, column in zip(forms, values, strict=True):
         repeat, variable, code = parse_tform(form)
+        if isinstance(column, Encoded):
+            if column.heap is None:
+                parts.append(column.rows)
+            else:
+                pairs = column.rows + [0, len(heap)]
+                heap += column.heap
+                parts.append(np.frombuffer(pairs.astype(">i4" if variable == "P" else ">i8").tobytes(), np.uint8).reshape(len(pairs), -1))
+            continue
         if not variable:
             parts.append(_encode_fixed(column, code, repeat))
             continue
@@ -540,9 +586,13 @@ def ascii_columns(header: Header) -> list[AsciiColumn]:
     return out
 
 
-def decode_ascii(data: bytes, header: Header) -> dict[str, list]:
-    """Columns by their places in the line, or split at white space; numbers that can't be read are NaN (null for whole ones)."""
+def decode_ascii(data: bytes, header: Header, rows: int | None = None) -> dict[str, list]:
+    """Columns by their places in the line, or split at white space; numbers that can't be read are NaN (null for whole ones).
+
+    ``rows`` says how many lines ``data`` has if it isn't the whole table.
+    """
     width, count = (*header.axes, 0, 0)[:2]
+    count = count if rows is None else rows
     cols = ascii_columns(header)
     lines = [data[i * width : (i + 1) * width].decode("latin-1") for i in range(count)]
     out: dict[str, list] = {}

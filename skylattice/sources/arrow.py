@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from skylattice.formats import fits, ser, tiles
+from skylattice.sources import columns
 
 #: Rows of a decoded table in one Arrow batch.
 ROWS = 16_384
@@ -131,16 +132,21 @@ def read_table(files: DataFrame, schema: str | T.StructType, hdu: int = 1, start
                 if unit.header.kind == "table":
                     found = fits.decode_ascii(body, unit.header)
                 else:
-                    found = fits.decode_table(body, unit.header, names, start, count)
+                    cells, heap = fits.split_table(body, unit.header)
+                    cells = cells[start : None if count is None else start + count]
+                    found = {c.name: columns.decode(cells, heap, c) for c in fits.columns(unit.header) if c.name in names}
                 if row:
                     size = len(next(iter(found.values()), []))
                     found[row] = np.arange(start, start + size)
-                columns = [pa.array(found[f.name], from_pandas=False).cast(f.type) if isinstance(found[f.name], np.ndarray) else pa.array(found[f.name], f.type) for f in arrow]
-                yield from pa.table(columns, schema=arrow).to_batches(ROWS)
+                yield from pa.table([as_array(found[f.name], f.type) for f in arrow], schema=arrow).to_batches(ROWS)
 
     return files.select("content").mapInArrow(run, kind)
 
 
+def as_array(values: pa.Array | np.ndarray | list, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, kind) if isinstance(values, list) else (values if isinstance(values, pa.Array) else pa.array(values, from_pandas=False)).cast(kind)
+
+
 def _to_numpy(column: pa.Array) -> list | np.ndarray:
     kind = column.type
     return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind) else column.to_pylist()
@@ -155,8 +161,10 @@ def write_tables(df: DataFrame, forms: Sequence[str], ascii_: bool = False, plac
 
         part = TaskContext.get().partitionId()
         for i, batch in enumerate(batches):
-            values = [_to_numpy(c) for c in batch.columns]
-            unit = fits.ascii_hdu(names, forms, values, places) if ascii_ else fits.table_hdu(names, forms, values, extra)
+            if ascii_:
+                unit = fits.ascii_hdu(names, forms, [_to_numpy(c) for c in batch.columns], places)
+            else:
+                unit = fits.table_hdu(names, forms, [columns.encode(c, f) for c, f in zip(batch.columns, forms, strict=True)], extra)
             yield pa.record_batch([[f"part-{part}-{i}.fits"], pa.array([fits.write([fits.empty_primary(), unit])], pa.binary())], ["path", "content"])
 
     return df.mapInArrow(run, "path string, content binary")

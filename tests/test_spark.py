@@ -49,6 +49,66 @@ def test_data_sources(spark, tmp_path):
     assert [r["samples"] for r in frames.where("frame BETWEEN 3 AND 4").orderBy("frame").collect()] == [[3] * 4, [4] * 4]
 
 
+def test_sources_split_tables_and_read_only_their_part(spark, tmp_path, monkeypatch):
+    """ASCII and variable-length tables in many partitions; nothing is opened to plan them, and a task reads its rows and their heap alone."""
+    from skylattice.sources import datasource
+
+    datasource.register(spark)
+    n = 300
+    ascii_ = fits.ascii_hdu(["id", "name"], ["I8", "A6"], [list(range(n)), [f"n{i}" for i in range(n)]])
+    wide = fits.table_hdu(["id", "v", "s", "x", "c"], ["1K", "1PD", "1PA", "5X", "2C"], [list(range(n)), [[float(i)] * (i % 5) for i in range(n)], ["t" * (i % 3) for i in range(n)], [[i >> k & 1 for k in range(5)] for i in range(n)], [[complex(i, 1), complex(0, i)] for i in range(n)]])
+    (tmp_path / "t.fits").write_bytes(fits.write([fits.empty_primary(), ascii_, wide]))
+    read = lambda **o: spark.read.format("skyfits").options(path=str(tmp_path / "t.fits"), view="rows", partitionBytes="4096", **o).load()
+    assert read(hdu="1").rdd.getNumPartitions() >= 3
+    assert sorted(tuple(r) for r in read(hdu="1").select("_row", "id", "name").collect()) == [(i, i, f"n{i}") for i in range(n)]
+    rows = read(hdu="2").where("_row >= 10 AND _row < 290").orderBy("_row").collect()
+    assert [(r["id"], r["v"], r["s"], r["x"]) for r in rows] == [(i, [float(i)] * (i % 5), "t" * (i % 3), [i >> k & 1 for k in range(5)]) for i in range(10, 290)]
+    assert [(r["c"][0]["re"], r["c"][1]["im"]) for r in rows] == [(i, i) for i in range(10, 290)]
+
+    opened = []
+    monkeypatch.setattr(datasource, "reader_of", lambda path: opened.append(path))
+    source = datasource.FitsSource({"path": str(tmp_path / "t.fits"), "view": "rows", "partitionBytes": "4096"})
+    reader = source.reader(None)
+    assert len(reader.partitions()) >= 3 and not opened
+    monkeypatch.undo()
+
+    sizes = []
+    plain = datasource.reader_of
+
+    def counting(path):
+        one = plain(path)
+        return lambda at, length: sizes.append(length) or one(at, length)
+
+    monkeypatch.setattr(datasource, "reader_of", counting)
+    schema = datasource.FitsSource({"path": str(tmp_path / "t.fits"), "view": "rows", "hdu": "2"}).schema()
+    part = datasource._FitsReader({"path": "", "view": "rows", "hdu": "2"}, schema)
+    sizes.clear()
+    got = sum(b.num_rows for b in part.read(datasource.Part(str(tmp_path / "t.fits"), 1, 30)))
+    assert got == 10 and max(sizes) <= 2880 and sum(sizes) < 12_000
+
+
+def test_xisf_source_finds_blocks_in_the_unit_s_folder_only(spark, tmp_path):
+    from skylattice.formats import xisf
+    from skylattice.sources.datasource import register
+
+    register(spark)
+    unit = xisf.Unit(images=[xisf.Image([2, 2, 1], "UInt8", data=b"abcd", id="m", keywords=[("A", "1", "")])], properties=[xisf.Property("P:v", "F64Vector", [1.0, 2.0])])
+    (tmp_path / "one").mkdir()
+    header, blocks = xisf.write_distributed(unit, max_inline=0)
+    (tmp_path / "one" / "unit.xish").write_bytes(header)
+    (tmp_path / "one" / "blocks.xisb").write_bytes(blocks)
+    (tmp_path / "one" / "whole.xisf").write_bytes(xisf.write(unit))
+    read = lambda path="one", **o: spark.read.format("skyxisf").options(path=str(tmp_path / path), **o).load()
+    assert [bytes(r["data"]) for r in read().collect()] == [b"abcd", b"abcd"]
+    assert [r["vec"] for r in read(view="properties").where("scope = 'unit'").collect()] == [[1.0, 2.0]] * 2
+    assert read(view="keywords").count() == 2 and read(decodeImages="false").first()["data"] is None
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "unit.xish").write_bytes(header.replace(b"@header_dir/blocks", b"@header_dir/../one/blocks"))
+    with pytest.raises(Exception, match="outside the unit"):
+        read("two").collect()
+    assert bytes(read("two", anywhere="true").first()["data"]) == b"abcd"
+
+
 def test_pyramid_tree(spark, tmp_path):
     y, x = np.mgrid[0:16, 0:32]
     wcs = (16.5, 8.5, 0.1, 0.1, -0.5, 0.0, 0.0, 0.5)
