@@ -79,12 +79,21 @@ def bintable_get_column(spark, d):
     return arrow.read_table(arrow.write_tables(rows, ["1K", "1D", "1A"]), "o_totalprice double")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r BETWEEN 100 AND 199")
+@query("SELECT c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer) WHERE r BETWEEN 2 AND 5")
 def bintable_row_range(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    rows = rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
-    back = arrow.read_table(arrow.write_tables(rows, ["1K", "1D"]), "o_orderkey bigint, o_totalprice double")
-    return back.orderBy("o_orderkey").offset(100).limit(100)
+    """Rows 2 to 5 of a file per nation; no others are decoded."""
+    import numpy as np
+    import pyarrow as pa
+
+    from skylattice.formats import fits
+
+    def run(key, rows):
+        order = np.argsort(rows.column("c_custkey").to_numpy())
+        unit = fits.table_hdu(["c_custkey", "c_acctbal"], ["1K", "1D"], [rows.column(c).to_numpy()[order] for c in ("c_custkey", "c_acctbal")])
+        return pa.table({"path": [f"{key[0].as_py()}.fits"], "content": pa.array([fits.write([fits.empty_primary(), unit])], pa.binary())})
+
+    files = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal").groupBy("c_nationkey").applyInArrow(run, "path string, content binary")
+    return arrow.read_table(files, "c_custkey bigint, c_acctbal double", start=2, count=4)
 
 
 @query("SELECT p_partkey, p_name, p_size, round(p_retailprice, 2) AS p_retailprice FROM part")
@@ -320,10 +329,13 @@ def rgba_to_gray(spark, d):
 
 
 @query("""SELECT c_custkey AS tile, CAST((c_custkey % 7) * 16 AS INTEGER) AS x, CAST((c_custkey // 7) * 8 AS INTEGER) AS y, CAST(least(16, 100 - (c_custkey % 7) * 16) AS INTEGER) AS w,
-  CAST(least(8, 5000 - (c_custkey // 7) * 8) AS INTEGER) AS h FROM customer WHERE (c_custkey // 7) * 8 < 5000""")
+  CAST(least(8, m + 5 - (c_custkey // 7) * 8) AS INTEGER) AS h FROM customer, (SELECT (max(c_custkey) // 7) * 8 AS m FROM customer)""")
 def tile_placement(spark, d):
-    t = images.tile_layout(F.col("c_custkey"), F.lit(100), F.lit(5000), F.lit(16), F.lit(8))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("tile"), t["x"].alias("x"), t["y"].alias("y"), t["w"].alias("w"), t["h"].alias("h")).where("y < 5000")
+    """Customers as tiles of an image that is as high as their largest key needs, its last row of tiles cut."""
+    rows = table(spark, d, "customer")
+    height = F.lit((rows.agg(F.max("c_custkey")).first()[0] or 0) // 7 * 8 + 5)
+    t = images.tile_layout(F.col("c_custkey"), F.lit(100), height, F.lit(16), F.lit(8))
+    return rows.select(F.col("c_custkey").alias("tile"), t["x"].alias("x"), t["y"].alias("y"), t["w"].alias("w"), t["h"].alias("h"))
 
 
 @query("""SELECT l_orderkey AS k, count(*) AS n, round(sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_partkey * 0.25 + 100 END), 3) AS total FROM lineitem GROUP BY 1""")
@@ -333,12 +345,12 @@ def dequantize(spark, d):
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("total"))
 
 
-@query("""WITH RECURSIVE r(i, s) AS (SELECT 1, 16807::BIGINT UNION ALL SELECT i + 1, s * 16807 % 2147483647 FROM r WHERE i < 2000)
+@query("""WITH RECURSIVE r(i, s) AS (SELECT 1, 16807::BIGINT UNION ALL SELECT i + 1, s * 16807 % 2147483647 FROM r WHERE i < 10000)
   SELECT i, round(CAST(CAST(s / 2147483647.0 AS FLOAT) AS DOUBLE), 6) AS value FROM r""")
 def dither_sequence(spark, d):
     from skylattice.formats.tiles import dither_sequence as randoms
 
-    return spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(randoms()[:2000])], "i int, value double")
+    return spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(randoms())], "i int, value double")
 
 
 # -- sky

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import text
 from skylattice.operators import images, video
-from skylattice.plans.catalogue import _PIXELS, _RASTER_SQL, _TICKS, _event_sequences, _events, _frames, _raster, _region_files, query, table
+from skylattice.plans.catalogue import SQL, _PIXELS, _RASTER_SQL, _TICKS, _event_sequences, _events, _frames, _raster, _region_files, query, table
 from skylattice.sources import arrow
 
 
@@ -491,6 +491,27 @@ def hips_footprint(spark, d):
     return mapped(table(spark, d, "customer").select("c_custkey"), "c_custkey long, lon double, lat double, radius double", one)
 
 
+@query(f"SELECT ipix, round(avg(value), 3) AS value FROM ({SQL['hips_reproject_nearest']}) GROUP BY 1")
+def hips_map_mean(spark, d):
+    """A map of an order: the mean of each tile's finite pixels."""
+    from skylattice.plans import pyramids
+
+    y, x = np.mgrid[0:16, 0:32]
+    tiles = pyramids.build_tiles(spark, (100.0 + x + 10 * y)[None], (16.5, 8.5, 0.13, 0.17, -0.5, 0.0, 0.0, 0.5), order=1, min_order=0, tile_width=8, interpolation="nearest")
+    found = pyramids.map_values(tiles, 0, "RING").where(~F.isnan("value"))
+    return found.select("ipix", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey % 192 AS i FROM customer)
+  SELECT c_custkey, CAST(i AS BIGINT) AS ipix, 'Norder2/Dir0/Npix' || i || '.fits' AS path, CAST(i // 13 AS INTEGER) AS tile_row, CAST(i % 13 AS INTEGER) AS tile_col FROM c""")
+def hips_paths_and_places(spark, d):
+    """A tile's path, read back, and its place in the mosaic of its order."""
+    rows = table(spark, d, "customer").select("c_custkey", text.tile_path(F.lit(2), F.col("c_custkey") % 192).alias("path"))
+    i = text.parse_tile_path("path")["ipix"]
+    place = images.allsky_place(i, 2, 8)
+    return rows.select("c_custkey", i.alias("ipix"), "path", place["row"].alias("tile_row"), place["column"].alias("tile_col"))
+
+
 # -- remote ranges and queries, archives
 
 
