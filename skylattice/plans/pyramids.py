@@ -134,7 +134,7 @@ def lint(files: DataFrame, properties: str | None) -> DataFrame:
     per_path = F.col("path")
     p = text.parse_tile_path("path")
     most = values.get("hips_order", "")
-    formats = [hips.EXTENSION[f] for f in values.get("hips_tile_format", "").split() if f in hips.EXTENSION]
+    formats = [hips.EXTENSION[f] for f in ("jpeg" if x == "jpg" else x for x in hips.formats_of(values.get("hips_tile_format", ""))) if f in hips.EXTENSION]
     cube = values.get("dataproduct_type") in ("cube", "spectral-cube")
     named = F.regexp_extract(per_path, r"([^/]*)$", 1).startswith("Npix")
     allsky = per_path.rlike(r"(^|/)Norder\d+/Allsky\.")
@@ -156,6 +156,22 @@ def lint(files: DataFrame, properties: str | None) -> DataFrame:
     return own.union(each).union(whole)
 
 
+def _halved(tiles: DataFrame, most: int) -> DataFrame:
+    """(ipix, depth, data as bytes) of tiles that are halved, where they are, until they are ``most`` pixels wide or less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                planes = list(np.array(r["data"], np.float32).reshape(r["depth"], r["width"], r["width"]))
+                while planes[0].shape[0] > most:
+                    planes = [hips.downsample(x).astype(np.float32) for x in planes]
+                out.append(np.stack(planes).tobytes())
+            yield pa.record_batch([batch.column("ipix"), batch.column("depth"), pa.array(out, pa.binary())], ["ipix", "depth", "data"])
+
+    return tiles.select("ipix", "depth", "width", "data").mapInArrow(run, "ipix long, depth int, data binary")
+
+
 def write_tree(tiles: DataFrame, root: str, title: str, order: int, tile_width: int, formats: tuple[str, ...] = ("fits",), frame: str = "equatorial", properties: dict[str, str] | None = None) -> dict[str, str]:
     """Write tile files, properties, Allsky, MOC and an index page under a local or mounted folder; returns the properties.
 
@@ -181,11 +197,10 @@ def write_tree(tiles: DataFrame, root: str, title: str, order: int, tile_width:
     low = min(order, 3)
     planes: list[list[tuple[int, np.ndarray]]] = [[]]
     width = tile_width
-    for r in tiles.where(F.col("order") == low).select("ipix", "depth", "data").toLocalIterator():
-        for z, x in enumerate(np.array(r["data"], np.float32).reshape(r["depth"], tile_width, tile_width)):
-            while x.shape[0] > 64:
-                x = hips.downsample(x).astype(np.float32)
-            width = x.shape[0]
+    while width > 64:
+        width //= 2
+    for r in _halved(tiles.where(F.col("order") == low), 64).toLocalIterator():
+        for z, x in enumerate(np.frombuffer(r["data"], np.float32).reshape(r["depth"], width, width)):
             if z == len(planes):
                 planes.append([])
             planes[z].append((r["ipix"], x))
