@@ -83,7 +83,7 @@ def test_sources_split_tables_and_read_only_their_part(spark, tmp_path, monkeypa
     schema = datasource.FitsSource({"path": str(tmp_path / "t.fits"), "view": "rows", "hdu": "2"}).schema()
     part = datasource._FitsReader({"path": "", "view": "rows", "hdu": "2"}, schema)
     sizes.clear()
-    got = sum(b.num_rows for b in part.read(datasource.Part(str(tmp_path / "t.fits"), 1, 30)))
+    got = sum(b.num_rows for b in part.read(datasource.Part((str(tmp_path / "t.fits"),), 1, 30)))
     assert got == 10 and max(sizes) <= 2880 and sum(sizes) < 12_000
 
 
