@@ -21,6 +21,8 @@ MIN_POINTS = 20
 MIN_DOCS = 3
 #: Keys in a shard's filter when the shards are laid out.
 SHARD_KEYS = 50_000
+#: Generations of postings beyond which they are written anew as one, without what was removed.
+MOST_GENERATIONS = 8
 #: Bytes of filters, and rows of repeated keys, that are broadcast at most; beyond them, joins do the work.
 FILTER_BYTES = 64 << 20
 EXACT_ROWS = 1_000_000
@@ -81,7 +83,9 @@ class LineStore:
     counts of documents and the largest document id of each key, and ``filters`` (shard, blob),
     a cuckoo filter per shard with the keys that ``min_docs`` documents or more hold. Keys that
     cross that count are inserted into, or deleted from, their shard's filter; a filter without
-    room is built anew at twice its size. A generation counts once it is complete, so a step
+    room is built anew at twice its size. Once shards hold twice the keys that they are meant for,
+    they are laid out anew, and all filters built. After MOST_GENERATIONS, postings are written
+    anew without removed documents. A generation counts once it is complete, so a step
     that fails or repeats leaves the last one whole.
     """
 
@@ -92,13 +96,14 @@ class LineStore:
         self.shards = 0
         self._postings: list[str] = []
         self._removed: list[str] = []
+        self._refs = "refs"  # the name of this generation's table
 
     def _at(self, table: str, gen: int | None = None) -> str:
         return f"{self.path}/gen-{self.gen if gen is None else gen:05d}/{table}"
 
     def refs(self) -> DataFrame:
         """Exact counts at this generation: (shard, k1, k2, refs, holder)."""
-        return self.spark.read.parquet(self._at("refs"))
+        return self.spark.read.parquet(self._at(self._refs))
 
     def filters(self) -> DataFrame:
         return self.spark.read.parquet(self._at("filters"))
@@ -153,11 +158,18 @@ class LineStore:
             counts.write.mode("overwrite").parquet(self._at("counts", gen))
             counts = self.spark.read.parquet(self._at("counts", gen))
             self.shards = max(1, -(-counts.where(F.col("refs") >= self.min_docs).count() // SHARD_KEYS))
-        counts.select(self._shard(), "k1", "k2", "refs", "holder").write.mode("overwrite").parquet(self._at("refs", gen))
-        refs = self.spark.read.parquet(self._at("refs", gen))
-        many = F.col("refs") >= self.min_docs
+        write = lambda rows, name: rows.select(self._shard(), "k1", "k2", "refs", "holder").write.mode("overwrite").parquet(self._at(name, gen))
+        name, many = "refs", F.col("refs") >= self.min_docs
+        write(counts, name)
+        refs = self.spark.read.parquet(self._at(name, gen))
+        keys = refs.where(many).count()
+        fresh = not self.gen
+        if keys > 2 * SHARD_KEYS * self.shards:
+            self.shards, fresh, name = -(-keys // SHARD_KEYS), True, "refs-laid-out"
+            write(refs.drop("shard"), name)
+            refs = self.spark.read.parquet(self._at(name, gen))
         now = refs.where(many).select("shard", "k1", "k2")
-        if self.gen:
+        if not fresh:
             old = self.refs().where(many).select("shard", "k1", "k2")
             change = now.join(old, ["shard", "k1", "k2"], "left_anti").withColumn("step", F.lit(1))
             change = change.unionByName(old.join(now, ["shard", "k1", "k2"], "left_anti").withColumn("step", F.lit(-1)))
@@ -173,7 +185,11 @@ class LineStore:
         else:
             filters = now.groupBy("shard").applyInPandas(_built, "shard int, blob binary")
         filters.write.mode("overwrite").parquet(self._at("filters", gen))
-        self.gen = gen
+        self.gen, self._refs = gen, name
+        if len(self._postings) > MOST_GENERATIONS:
+            one = self._at("live")
+            self.live().withColumn("gen", F.lit(gen)).write.mode("overwrite").parquet(one)
+            self._postings, self._removed = [one], []
         return self
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,9 +222,11 @@ class LineStore:
             shared = self.spark.sparkContext.broadcast((_Filters(blobs, self.shards), None))
             rows = rows.mapInArrow(_sifter(shared), "k1 long, k2 long, doc_id long")
         lost = rows.join(repeated.select("k1", "k2", "holder"), ["k1", "k2"]).where("doc_id != holder")
-        lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_lost")).withColumnRenamed("doc_id", "_id")
-        joined = docs.join(lost, docs[id_col].cast("long") == lost["_id"], "left").drop("_id")
-        return joined.mapInArrow(_dropper(None, at, len(docs.columns)), schema)
+        # columns go by place here, so that no name of docs can clash
+        names = [f"c{i}" for i in range(len(docs.columns))]
+        lost = lost.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
+        joined = docs.toDF(*names).join(lost, F.col(names[at[0]]).cast("long") == F.col("id"), "left").select(*names, "lost")
+        return joined.mapInArrow(_dropper(None, at, len(names)), schema)
 
 
 def _built(rows: pd.DataFrame) -> pd.DataFrame:

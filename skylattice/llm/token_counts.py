@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm.shared import small_batches
+from skylattice.llm.shared import small_batches, stored
 from skylattice.llm.tokens import Encoder, default_path
 
 
@@ -44,9 +44,10 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
     quantile: the share of documents of at most that length.
 
     Running sums are made in two steps, within ranges of lengths and over the ranges' totals, so
-    that no task sorts the whole histogram.
+    that no task sorts the whole histogram. Both steps read the histogram from shared storage, so
+    that texts are encoded once. Lengths that tie are one row; other columns are ignored.
     """
-    h = histogram.withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    h = stored(histogram.select("n_tokens", "n_docs"), "token-histogram").withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     # ranges of equal ratio: an eighth of an octave each, so few however long texts are
     h = h.withColumn("part", F.floor(F.log2(F.col("n_tokens") + 1) * 8).cast("int"))
     from pyspark.sql import Window

@@ -224,10 +224,15 @@ def brute_lines(texts, min_docs=3):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"exact_rows": 0}, {"exact_rows": 0, "filter_bytes": 0}])
-def test_lines_go_and_come_back(spark, options):
+@pytest.mark.parametrize(("options", "small"), [({}, False), ({}, True), ({"exact_rows": 0}, False), ({"exact_rows": 0, "filter_bytes": 0}, True)])
+def test_lines_go_and_come_back(spark, options, small, monkeypatch):
+    from skylattice.llm import line_dedup
     from skylattice.llm.line_dedup import LineStore
 
+    if small:  # shards are laid out anew as they fill, postings written anew all the time
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+        monkeypatch.setattr(line_dedup, "MOST_GENERATIONS", 1)
+
     r = random.Random(6)
     lines = ["  This is a line that repeats a lot. ", "THIS is a line that repeats a lot.", "short", "", "another rather long line é à ü ß", "\tthird line, which is long enough\r", "éééééééééééééééééééé"]
     texts = [(i, "\n".join(r.choices(lines, k=r.randint(0, 6)))) for i in range(30)] + [(30, None), (31, ""), (32, "\n")]
@@ -237,7 +242,11 @@ def test_lines_go_and_come_back(spark, options):
         want = brute_lines(some)
         assert {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["text"] or "") for x in rows} == want
 
-    store = LineStore(spark, **options).add(docs_of(spark, [t for _, t in texts[:20]], [i for i, _ in texts[:20]]))
+    store = LineStore(spark, **options)
+    if small:  # begins with one shard
+        store.add(docs_of(spark, [t for _, t in texts[:3]], [i for i, _ in texts[:3]]))
+    store.add(docs_of(spark, [t for _, t in texts[:20]], [i for i, _ in texts[:20]]))
+    assert store.shards > 1 or not small
     check(store, texts[:20])
     store.add(docs_of(spark, [t for _, t in texts[20:]], [i for i, _ in texts[20:]]))
     check(store, texts)
@@ -248,6 +257,20 @@ def test_lines_go_and_come_back(spark, options):
     check(store, texts)
 
 
+@pytest.mark.parametrize("options", [{}, {"exact_rows": 0, "filter_bytes": 0}])
+def test_lines_of_long_texts_repeated_and_null_ids_and_clashing_columns(spark, options):
+    from skylattice.llm.line_dedup import LineStore
+
+    line = "a line that is long enough to count"
+    rows = [(1, line), (1, line), (2, f"x\n{line}\n{line}"), (3, f"{line}\n" * 20_000 + "y"), (None, line), (4, None)]
+    docs = spark.createDataFrame([(i, t, 9, "z") for i, t in rows], "doc_id long, text string, _id int, lost string")
+    kept = LineStore(spark, **options).add(docs).dedup(docs)
+    assert kept.columns == ["doc_id", "text", "_id", "lost", "n_lines", "n_dropped"]
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"], r["_id"], r["lost"]) for r in kept.collect()), key=str)
+    want = [(1, "", 1, 1), (1, "", 1, 1), (2, "x", 3, 2), (3, rows[3][1], 20_001, 0), (None, line, 1, 0), (4, None, 1, 0)]
+    assert got == sorted(((*w, 9, "z") for w in want), key=str)
+
+
 def test_lines_of_an_empty_table(spark):
     from skylattice.llm.line_dedup import LineStore
 
