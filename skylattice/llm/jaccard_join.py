@@ -45,8 +45,8 @@ from skylattice.llm.textkernel import Block, blocks, byte_class, grams, mix
 
 WORDS = 5
 PERCENT = 75
-#: A shingle is frequent if this many documents hold it, and one in FREQUENT_SHARE.
-FREQUENT_DOCS = 32
+#: A shingle is frequent if one in FREQUENT_SHARE documents holds it, and at least FREQUENT_DOCS.
+FREQUENT_DOCS = 4
 FREQUENT_SHARE = 16_000
 #: Sets that share a shingle of their prefixes, beyond which it counts as crowded: pairs would be many times the sets.
 CROWD = 8
