@@ -19,8 +19,9 @@ to tasks, so that each task holds the paths which can meet:
    Pairs are written at once only for shingles of up to CROWD sets, so a row makes CROWD / 2 at most.
 4. The sets of more crowded shingles, and of frequent ones, are bundled by the shingles' smallest
    set, so that all shingles of a passage meet in a task, which sifts its pairs before it writes
-   them. Shingles of over CROWD_ROWS sets are compared in parts of that size, dealt by component;
-   parts of one component never meet each other.
+   them. Sets of shingles of over CROWD_ROWS sets are bundled likewise, and cut into parts of that
+   size, dealt by component; parts of one component never meet each other. Where two parts meet,
+   their sets are compared at once in a trie, and only links that connect something are written.
 5. Candidates that share too few prefix shingles, or whose counts of shingles by hash cell rule
    the similarity out, are dropped; the rest is grouped around common neighbours, a bounded number
    of pairs a group. Each group's sets form a trie, which is traversed from its root towards the
@@ -52,8 +53,10 @@ FREQUENT_SHARE = 16_000
 CROWD = 8
 #: Sets in a block of near copies.
 BLOCK_SETS = 256
-#: Rows of a crowded shingle in a part; two parts meet in a task.
+#: Sets of crowded shingles in a part, about; two parts meet in a task.
 CROWD_ROWS = 1024
+#: Shingles of a part's sets, about.
+PART_TOKENS = 1_000_000
 #: Rows of crowded shingles in a bundle, about.
 BUNDLE_ROWS = 20_000
 #: Prefix shingles in a shard, about.
@@ -450,47 +453,55 @@ class JaccardJoin:
         columns = ["bundle", "token", "sid", "n", "pos", "label", "cells"]
         return dealt.select(columns).groupBy("bundle").applyInArrow(run, "a long, b long, c long")
 
-    def _crowd_pairs(self, rows: DataFrame) -> DataFrame:
-        """(a, b): candidates of different components at shingles of more sets. rows: token, sid, n, pos, label.
+    def _crowd_links(self, rows: DataFrame) -> DataFrame:
+        """(a, b): links between components at shingles of more sets, enough of them to connect what they connect.
 
-        A shingle's rows are cut into parts: a component of many rows has parts of its own, the
-        others are dealt by component. Parts of one component don't meet; all other pairs of parts
-        meet in a task each.
+        rows: token, sid, label. Shingles with the same smallest set, as those of a passage mostly
+        have, are one bundle, in which a set is one row. A bundle's sets are cut into parts: a
+        component of many sets has parts of its own, the others are dealt by component. Parts of one
+        component don't meet; all other pairs of parts meet in a block each. There the sets are
+        compared at once, so candidates are never rows: a block writes a link only if it joins two
+        components that nothing in the block has joined before, fewer links than it has sets.
         """
-        percent = self.percent
-        rows = rows.join(rows.groupBy("sid").agg(F.collect_list("token").alias("all")), "sid").join(self.classes.select("sid", "cells"), "sid")
-        groups = rows.groupBy("token", "label").agg(F.count("*").alias("c")).withColumn("own", F.col("c") > self.crowd_rows // 4)
-        pool = groups.where("NOT own").groupBy("token").agg(F.ceil(F.sum("c") / self.crowd_rows).cast("int").alias("parts"))
-        alone = F.ceil(F.col("c") / self.crowd_rows).cast("int")
-        groups = groups.join(pool, "token", "left").select("token", "label", "own", F.when(F.col("own"), alone).otherwise(F.col("parts")).alias("parts"))
-        groups = stored(groups.withColumn("head", F.when(F.col("own"), F.col("label"))), "jaccard-crowd")
+        firsts = rows.groupBy("token").agg(F.min("sid").alias("first"))
+        rows = rows.join(firsts, "token").select("first", "sid", "label").distinct()
+        rows = stored(rows.join(self.classes.select("sid", "rep", "n"), "sid"), "jaccard-crowd-sets")
+        share = F.greatest(F.count("*") / self.crowd_rows, F.sum("n") / PART_TOKENS)
+        groups = rows.groupBy("first", "label").agg(share.alias("share")).withColumn("own", F.col("share") > 0.25)
+        pool = groups.where("NOT own").groupBy("first").agg(F.ceil(F.sum("share")).cast("int").alias("parts"))
+        groups = groups.join(pool, "first", "left").withColumn("parts", F.when(F.col("own"), F.ceil("share").cast("int")).otherwise(F.col("parts")))
+        groups = stored(groups.select("first", "label", "own", "parts", F.when(F.col("own"), F.col("label")).alias("head")), "jaccard-crowd")
         part = lambda x: F.pmod(F.xxhash64(x), F.col("parts")).cast("int")
-        rows = rows.join(groups, ["token", "label"]).withColumn("part", F.when(F.col("own"), part("sid")).otherwise(part("label")))
-        ends = groups.select("token", "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct().withColumn("p", F.xxhash64("head", "part"))
-        meet = ends.alias("x").join(ends.alias("y"), "token").where("x.p <= y.p AND (x.head IS NULL OR y.head IS NULL OR x.head != y.head)")
-        meet = meet.select("token", F.col("x.p").alias("i"), F.col("y.p").alias("j"))
-        sides = meet.select("token", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("p"))
-        rows = rows.withColumn("p", F.xxhash64("head", "part")).join(sides, ["token", "p"]).select("token", "sid", "n", "pos", "label", "all", "cells", "p", "i", "j")
+        dealt = rows.join(groups, ["first", "label"]).withColumn("part", F.when(F.col("own"), part("sid")).otherwise(part("label")))
+        dealt = dealt.select("first", "sid", "rep", "label", F.xxhash64("head", "part").alias("p"))
+        ends = groups.select("first", "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).distinct().withColumn("p", F.xxhash64("head", "part"))
+        meet = ends.alias("x").join(ends.alias("y"), "first").where("x.p <= y.p AND (x.head IS NULL OR y.head IS NULL OR x.head != y.head)")
+        meet = meet.select("first", F.xxhash64("first", "x.p", "y.p").alias("block"), F.col("x.p").alias("i"), F.col("y.p").alias("j"))
+        # a part that meets itself is on both sides (0), others are on the left (1) or the right (2)
+        sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("p"), F.lit(0).alias("side")))).otherwise(
+            F.array(F.struct(F.col("i").alias("p"), F.lit(1).alias("side")), F.struct(F.col("j").alias("p"), F.lit(2).alias("side")))
+        )
+        meet = meet.select("first", "block", F.explode(sides).alias("e")).select("first", "block", "e.p", "e.side")
+        wanted = stored(dealt.join(meet, ["first", "p"]).select("block", "sid", "rep", "label", "side"), "jaccard-crowd-blocks")
+        percent = self.percent
 
         def run(key, table):
-            sid, n, pos, label, part = (table.column(c).to_numpy() for c in ("sid", "n", "pos", "label", "p"))
-            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2").reshape(-1, CELLS)
-            token = table.column("token")[0].as_py()
-            before = [frozenset(t for t in some if t < token) for some in table.column("all").to_pylist()]
-            left = np.flatnonzero(part == table.column("i")[0].as_py())
-            right = np.flatnonzero(part == table.column("j")[0].as_py())
-            out = []
-            for a in left.tolist():
-                b = right[label[right] != label[a]]
-                b = b[_possible(n[a], n[b], pos[a], pos[b], percent)]
-                b = b[_cells_allow(cells[a], cells[b], n[a], n[b], percent)]
-                # a pair comes from the first of the crowded shingles that it shares
-                b = np.array([k for k in b.tolist() if before[a].isdisjoint(before[k])], np.int64)
-                out.append(np.stack([np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])], 1))
-            found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-            return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-        return rows.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
+            own: dict[int, np.ndarray] = {}
+            place: dict[int, tuple[int, int]] = {}
+            for sid, x, label, side in zip(*(table.column(c).to_pylist() for c in ("sid", "set", "label", "side")), strict=True):
+                if x is not None:
+                    own[sid] = np.frombuffer(x, np.uint64)
+                else:
+                    place[sid] = (label, side)
+            names = sorted(own)
+            found = _apart([own[x] for x in names], *(np.array([place[x][k] for x in names], np.int64) for k in (0, 1)), percent)
+            return pa.table({"a": pa.array([names[i] for i, _ in found], pa.int64()), "b": pa.array([names[j] for _, j in found], pa.int64())})
+
+        sets = self._blocks_of_sets(wanted.select("block", "sid", "rep"))
+        packed = sets.unionByName(wanted.select("block", "sid", "label", "side"), allowMissingColumns=True)
+        out = stored(packed.groupBy("block").applyInArrow(run, "a long, b long"), "jaccard-crowd-links")
+        discard(rows, groups, wanted)
+        return out
 
     # -- all
 
@@ -509,12 +520,13 @@ class JaccardJoin:
         crowded = stored(crowded, "jaccard-crowded")
         pairs = found.where("token IS NULL").select("a", "b", F.col("n").alias("c"))
         pairs = pairs.unionByName(self._bundled(crowded.where("first IS NOT NULL")))
-        hot = crowded.where("first IS NULL").drop("first")
-        pairs = pairs.unionByName(self._crowd_pairs(hot).withColumn("c", F.lit(0).cast("long")))
+        hot = crowded.where("first IS NULL").select("token", "sid", "label")
+        near = None if hot.isEmpty() else self._crowd_links(hot)
         pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"))
         pairs = stored(self._sifted(pairs, hot.groupBy("sid").agg(F.count("*").alias("k"))), "jaccard-pairs")
         discard(prefixes, found, crowded)
-        return labels, self._verified(pairs)
+        rest = self._verified(pairs)
+        return labels, rest if near is None else rest.unionByName(near)
 
     def _sifted(self, pairs: DataFrame, crowded: DataFrame) -> DataFrame:
         """Pairs (a, b) whose shared prefix shingles, and whose counts by hash cell, allow enough overlap.
@@ -593,6 +605,30 @@ def _cells_allow(va, vb, na, nb, percent: int) -> np.ndarray:
     return ((100 + percent) * bound >= percent * (na + nb)) | (np.maximum(na, nb) > 65535)
 
 
+def _apart(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect components of sets on the left (side 1) and on the right (2); those on side 0 are on both.
+
+    A set is compared only with sets that are of other components by then. Sizes and counts by
+    hash cell rule most of these out; a trie is traversed towards the others.
+    """
+    trie = Trie(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    cells = np.frombuffer(b"".join(_cells(x & ~_LATE) for x in sets), "<u2").reshape(-1, CELLS)
+    component = label.copy()
+    right = np.flatnonzero(side != 1)
+    out = []
+    for a in np.flatnonzero(side != 2).tolist():
+        b = right[right > a] if side[a] == 0 else right
+        b = b[component[b] != component[a]]
+        b = b[100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])]
+        b = b[_cells_allow(cells[a], cells[b], size[a], size[b], percent)]
+        for m in trie.links(a, percent, targets=b.tolist()):
+            if component[m] != component[a]:
+                component[component == component[m]] = component[a]
+                out.append((a, m))
+    return out
+
+
 _PACKED = ["shard", "t", "p", "c", "s", "n", "f", "l"]
 _ROW = ["token", "a", "b", "n", "pos", "label"]
 

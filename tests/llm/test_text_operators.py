@@ -355,6 +355,22 @@ def test_jaccard_components_match_brute_force(spark, options, near, monkeypatch)
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == brute_components(list(enumerate(texts)))
 
 
+def test_jaccard_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Copies of one text, each with a word changed, that no band brings together: all pairs are similar, few links are needed."""
+    import skylattice.llm.jaccard_join as j
+
+    monkeypatch.setattr(j.JaccardJoin, "_near_copies", lambda self: spark.createDataFrame([], "a long, b long"))
+    words = [f"w{i}" for i in range(130)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(120)]
+    texts += [" ".join([*words[:80], *(f"y{i}.{k}" for k in range(50))]) for i in range(10)]  # hold most of it, but are similar to none
+    one = j.JaccardJoin(docs_of(spark, texts), crowd_rows=40)
+    _, links = one.links()
+    found = links.count()
+    assert 119 <= found < 10 * len(texts)  # of 7,140 similar pairs
+    rows = one.components().collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == brute_components(list(enumerate(texts)))
+
+
 def test_jaccard_rows_with_repeated_and_null_ids(spark):
     from skylattice.llm.jaccard_join import JaccardJoin
 
