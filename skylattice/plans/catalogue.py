@@ -216,6 +216,22 @@ def _raster(spark: SparkSession, d: str, value=None) -> DataFrame:
     return cells.select(F.lit("raster").alias("path"), F.lit(50).alias("width"), F.lit(11).alias("height"), F.lit(1).alias("depth"), pixels.alias("pixels"))
 
 
+def _digit_images(image: DataFrame, base: int) -> DataFrame:
+    """An image per digit of the pixels (whole numbers from 0 on) to the base, so that counts of any size fit into narrow samples; paths end in the digit's place."""
+    most, places = F.array_max("pixels"), range(-(-53 // (base.bit_length() - 1)))
+    place = F.explode(F.filter(F.array(*map(F.lit, places)), lambda k: (k == 0) | (F.pow(F.lit(float(base)), k) <= F.col("_most")))).alias("_place")
+    digit = lambda v: F.floor(v / F.pow(F.lit(float(base)), F.col("_place"))) % base
+    rows = image.withColumn("_most", most).select("*", place)
+    return rows.withColumns({"path": F.concat_ws("-", "path", "_place"), "pixels": F.transform("pixels", lambda v: digit(v).cast("double"))}).drop("_most", "_place")
+
+
+def _from_digits(px: DataFrame, base: int, bscale: float = 1.0, bzero: float = 0.0) -> DataFrame:
+    """(x, y, value) of what ``_digit_images`` made, scaled as its images were; pixels of which no digit counts are left out."""
+    place = F.regexp_extract("path", r"-(\d+)$", 1).cast("int")
+    count = F.sum((F.col("value") - bzero) / bscale * F.pow(F.lit(float(base)), place))
+    return px.groupBy("x", "y").agg(count.alias("_n")).where("_n != 0").select("x", "y", (F.col("_n") * bscale + bzero).alias("value"))
+
+
 def _decoded(spark: SparkSession, d: str, bitpix: int, raw=None, **options) -> DataFrame:
     image = _raster(spark, d)
     if raw is not None:
@@ -641,8 +657,9 @@ _conversion_query("convert_ser_xisf_ser", "ser", "xisf", "ser")
 
 @query(_RASTER_SQL.format(value="count(*)"))
 def convert_fits_xisf_fits(spark, d):
-    image = arrow.write_images(_raster(spark, d).withColumn("pixels", F.transform("pixels", lambda v: v - 32768)), 16, bscale=1.0, bzero=32768.0)
-    return images.pixels(arrow.read_frames(arrow.convert(image, "fits", "xisf", "fits"))).where("value != 0").select("x", "y", "value")
+    base = 1 << 16
+    image = arrow.write_images(_digit_images(_raster(spark, d), base).withColumn("pixels", F.transform("pixels", lambda v: v - 32768)), 16, bscale=1.0, bzero=32768.0)
+    return _from_digits(images.pixels(arrow.read_frames(arrow.convert(image, "fits", "xisf", "fits"))), base)
 
 
 @query("""WITH g AS (SELECT x, y, CAST(100 + x + 10 * y AS DOUBLE) AS v FROM (SELECT unnest(range(32)) AS x) a CROSS JOIN (SELECT unnest(range(16)) AS y) b),
