@@ -232,18 +232,22 @@ def _from_digits(px: DataFrame, base: int, bscale: float = 1.0, bzero: float = 0
     return px.groupBy("x", "y").agg(count.alias("_n")).where("_n != 0").select("x", "y", (F.col("_n") * bscale + bzero).alias("value"))
 
 
-def _decoded(spark: SparkSession, d: str, bitpix: int, raw=None, **options) -> DataFrame:
+def _decoded(spark: SparkSession, d: str, bitpix: int, raw=None, base: int | None = None, shown=(1.0, 0.0), **options) -> DataFrame:
+    base = base or (1 << 15 if bitpix == 16 else 1 << 24)  # what samples of 16 bits, reals of 32 bits and PLIO hold exactly
     image = _raster(spark, d)
+    if bitpix == 8:
+        base, image = 1 << 8, image.withColumn("pixels", F.transform("pixels", lambda v: v % 256))
+    image = _digit_images(image, base)
     if raw is not None:
         image = image.withColumn("pixels", F.transform("pixels", raw))
-    return images.pixels(arrow.read_frames(arrow.write_images(image, bitpix, **options))).where("value != 0").select("x", "y", "value")
+    return _from_digits(images.pixels(arrow.read_frames(arrow.write_images(image, bitpix, **options))), base, *shown)
 
 
 def _image_query(bitpix: int, sql_value: str, raw, name: str, **options) -> None:
     query(_RASTER_SQL.format(value=sql_value) + f" HAVING {sql_value} <> 0", name)(lambda spark, d: _decoded(spark, d, bitpix, raw, **options))
 
 
-_image_query(8, "count(*) % 256", lambda v: v % 256, "image_decode_8")
+_image_query(8, "count(*) % 256", None, "image_decode_8")
 for _bits in (16, 32, 64, -32, -64):
     _image_query(_bits, "count(*)", None, f"image_decode_{str(_bits).replace('-', 'm')}")
 _image_query(16, "count(*)", lambda v: v - 32768, "image_scaled_bzero", bscale=1.0, bzero=32768.0)
@@ -251,7 +255,7 @@ _image_query(16, "count(*)", lambda v: v - 32768, "image_scaled_bzero", bscale=1
 
 @query("SELECT x, y, value * 0.5 + 10 AS value FROM (" + _RASTER_SQL.format(value="count(*)") + ")")
 def image_scaled_real(spark, d):
-    return _decoded(spark, d, 16, bscale=0.5, bzero=10.0).where("value != 10")
+    return _decoded(spark, d, 16, shown=(0.5, 10.0), bscale=0.5, bzero=10.0)
 
 
 for _codec, _bits in (("RICE_1", 32), ("GZIP_1", 16), ("PLIO_1", 32), ("HCOMPRESS_1", 32)):
