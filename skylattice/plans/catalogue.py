@@ -250,7 +250,7 @@ def _image_query(bitpix: int, sql_value: str, raw, name: str, **options) -> None
 _image_query(8, "count(*) % 256", None, "image_decode_8")
 for _bits in (16, 32, 64, -32, -64):
     _image_query(_bits, "count(*)", None, f"image_decode_{str(_bits).replace('-', 'm')}")
-_image_query(16, "count(*)", lambda v: v - 32768, "image_scaled_bzero", bscale=1.0, bzero=32768.0)
+_image_query(16, "count(*)", lambda v: v - 32768, "image_scaled_bzero", base=1 << 16, bscale=1.0, bzero=32768.0)
 
 
 @query("SELECT x, y, value * 0.5 + 10 AS value FROM (" + _RASTER_SQL.format(value="count(*)") + ")")

@@ -6,7 +6,7 @@ import pytest
 
 from skylattice.plans import catalogue
 
-NARROW = ["gzip_tile", "image_decode_8", "image_decode_16", "image_scaled_real", "convert_fits_xisf_fits"]
+NARROW = ["image_scaled_bzero", "gzip_tile", "image_decode_8", "image_decode_16", "image_scaled_real", "convert_fits_xisf_fits"]
 
 
 @pytest.fixture(scope="module")
