@@ -17,10 +17,29 @@ def block_padding(n: Column | str) -> Column:
     return F.pmod(-col(n), F.lit(2880))
 
 
+_END = "END".ljust(80)
+
+
 def cards(header: Column | str, max_lines: int = 600) -> Column:
-    """Header text as an array of 80-character lines, up to END."""
+    """Header text as an array of 80-character lines, up to END.
+
+    One search finds the END card. If its place counted in characters is its place counted in bytes, all
+    before it is ASCII, and lines are cut out of the bytes; other text is cut by characters.
+    """
+
+    def cut(x: Column) -> Column:
+        raw, at = x["raw"], x["at"]
+        plain = (at % 80 == 1) & (F.substring(raw, at, F.lit(80)) == F.lit(_END.encode()))
+        stop = F.least(at - 1, F.lit(80 * max_lines))
+        lines = F.transform(F.sequence(F.lit(1), stop, F.lit(80)), lambda i: F.substring(raw, i, F.lit(80))).cast("array<string>")
+        return F.when(plain, F.when(stop > 0, lines).otherwise(F.array().cast("array<string>"))).otherwise(_character_cards(raw.cast("string"), max_lines))
+
+    return _bound(F.struct(col(header).cast("binary").alias("raw"), F.regexp_instr(col(header), F.lit(_END)).alias("at")), cut)
+
+
+def _character_cards(header: Column, max_lines: int) -> Column:
     # found in one pass: a substring by its place would count characters from the start each time
-    lines = F.slice(F.regexp_extract_all(col(header), F.lit("(?s).{1,80}"), F.lit(0)), 1, max_lines)
+    lines = F.slice(F.regexp_extract_all(header, F.lit("(?s).{1,80}"), F.lit(0)), 1, max_lines)
 
     def up_to_end(lines: Column) -> Column:
         return _bound(F.array_position(F.transform(lines, lambda x: F.rtrim(x)), "END"), lambda end: F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines))

@@ -36,6 +36,11 @@ def schema_of(ddl: str | T.StructType) -> T.StructType:
     return ddl if isinstance(ddl, T.StructType) else T._parse_datatype_string(ddl)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over tasks by ``keys``: a table of few bytes lies in one or two partitions, however much work its rows are. For rows of keys and short values."""
+    return rows.repartition(max(24, 3 * rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def _emit(files: DataFrame, schema: str | T.StructType, rows: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
     """Rows that ``rows(path, content)`` gives for each file; null contents give none."""
     kind = schema_of(schema)

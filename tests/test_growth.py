@@ -30,3 +30,47 @@ def test_counts_beyond_the_width_of_a_sample(spark, crowded, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{crowded}/lineitem.parquet/*.parquet')")
     assert rows_of(catalogue.QUERIES[name](spark, crowded).select("x", "y", "value").collect()) == rows_of(con.execute(f"SELECT x, y, value FROM ({catalogue.SQL[name]})").fetchall())
+
+
+def test_cards_of_all_texts(spark):
+    """Lines are those of a cut by characters, wherever END stands and whatever else the text holds."""
+    from pyspark.sql import functions as F
+
+    from skylattice.functions import text
+
+    end, line = "END".ljust(80), "COMMENT a line".ljust(80)
+    some = [
+        "", end, line, line * 3 + end + line, line[:-3] + end + line * 2, line[:-3] + end + "   " + line + end, "é".ljust(80) + line + end, "\U0001d54f".ljust(80) + end, line + "END", line + "END  ",
+        line * 599 + end, line * 600 + end, line * 700 + end, line * 700, "\n" * 80 + end, "é" * 40 + end + " " * 40 + end, line + end[:-1] + "x" + line + end, None,
+    ]
+
+    def want(x):
+        lines = [x[i : i + 80] for i in range(0, len(x), 80)][:600]
+        return lines[: next((i for i, v in enumerate(lines) if v.rstrip(" ") == "END"), None)]
+
+    rows = spark.createDataFrame(list(enumerate(some)), "i int, x string").select("i", text.cards(F.col("x")).alias("lines")).collect()
+    assert {r["i"]: r["lines"] for r in rows} == {i: None if x is None else want(x) for i, x in enumerate(some)}
+
+
+def tasks_of(frame):
+    """How many of a frame's partitions have rows."""
+    return frame.rdd.mapPartitions(lambda rows: [1] if next(iter(rows), None) is not None else []).count()
+
+
+@pytest.fixture(scope="module")
+def one_task(spark, tmp_path_factory):
+    """Tables of one partition each, as small files are."""
+    d = str(tmp_path_factory.mktemp("one_task"))
+    spark.range(3000).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    assert tasks_of(catalogue.table(spark, d, "orders")) == 1
+    return d
+
+
+SPREAD = ["header_line_cap"]
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_rows_of_a_small_table_are_spread_over_tasks(spark, one_task, name):
+    from skylattice.plans import formats, trees  # noqa: F401
+
+    assert tasks_of(catalogue.QUERIES[name](spark, one_task)) >= 8
