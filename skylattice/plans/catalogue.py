@@ -627,14 +627,14 @@ def xisb_roundtrip(spark, d):
     from skylattice.formats import xisf
 
     def trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow.steps(batches):
             data = batch.column(1).to_pylist()
             file = xisf.build_index([(x, len(x)) for x in data])
             index = xisf.parse_index(file)
             out = [file[index[i + 1][0] : index[i + 1][0] + index[i + 1][1]] for i in range(len(data))]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "raw"])
 
-    rows = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).mapInArrow(trip, "doc_id long, raw binary")
+    rows = arrow.bounded(table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))).mapInArrow(trip, "doc_id long, raw binary")
     return rows.select("doc_id", F.length("raw").cast("long").alias("n"), F.sha2("raw", 256).alias("digest"))
 
 

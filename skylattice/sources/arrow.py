@@ -6,6 +6,7 @@ one frame, tile or table row each. Readers decode a batch of files at a time and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,9 @@ from skylattice.sources import columns
 #: Rows of a decoded table in one Arrow batch.
 ROWS = 16_384
 
+#: Rows, and bytes, that kernels which hold Python values or whole files take at a time; and bytes of a batch that Spark sends them.
+STEP_ROWS, STEP_BYTES, BATCH_BYTES = 256, 4 << 20, 16 << 20
+
 HDUS = (
     "path string, hdu_index int, xtension string, extname string, data_type string, bitpix int, naxis array<long>, bzero double, bscale double, "
     "pcount long, gcount int, header_offset long, data_offset long, data_length long, has_data boolean"
@@ -41,6 +45,23 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(max(24, 3 * rows.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session now sends Python batches of at most 16 MiB (of 64 by default)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of bounded rows and bytes, so that what is made of a slice is bounded, too."""
+    for batch in batches:
+        size = max(1, min(STEP_ROWS, STEP_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def _emit(files: DataFrame, schema: str | T.StructType, rows: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
     """Rows that ``rows(path, content)`` gives for each file; null contents give none."""
     kind = schema_of(schema)

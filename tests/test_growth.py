@@ -1,11 +1,15 @@
 """Queries over inputs that grow: counts beyond a sample's width, rows spread over tasks, batches of bounded size."""
 
 import collections
+import os
 
+import pyarrow as pa
 import pytest
 
 from skylattice.plans import catalogue
 
+DATA = "/root/testdata/sf0.001"
+
 NARROW = ["image_scaled_bzero", "gzip_tile", "image_decode_8", "image_decode_16", "image_scaled_real", "convert_fits_xisf_fits"]
 
 
@@ -74,3 +78,49 @@ def test_rows_of_a_small_table_are_spread_over_tasks(spark, one_task, name):
     from skylattice.plans import formats, trees  # noqa: F401
 
     assert tasks_of(catalogue.QUERIES[name](spark, one_task)) >= 8
+
+
+class Kernels:
+    """Stands for a DataFrame and keeps the functions that would run on its batches."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.runs = spark, []
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.runs.append(run)
+        return self
+
+
+def sizes_of(run, batch):
+    """(most rows, most bytes) of what a kernel yields for one batch; the rows of it all."""
+    out = list(run(iter([batch])))
+    return max(b.num_rows for b in out), max(b.nbytes for b in out), pa.Table.from_batches(out)
+
+
+TEXTS = ["xisb_roundtrip"]
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_texts_are_held_a_few_at_a_time(spark, monkeypatch, name):
+    """3,000 texts of 20 KB in one batch: a kernel makes copies of some megabytes at a time, not of all."""
+    kernels = Kernels(spark)
+    monkeypatch.setattr(catalogue, "table", lambda *_: kernels)
+    catalogue.QUERIES[name](spark, "")
+    texts = [bytes([65 + i % 26]) * 20_000 + b"%d" % i for i in range(3000)]
+    rows, size, found = sizes_of(kernels.runs[0], pa.record_batch([pa.array(range(3000)), pa.array(texts)], ["doc_id", "raw"]))
+    assert rows <= 256 and size <= 8 << 20
+    assert found.column("doc_id").to_pylist() == list(range(3000)) and found.column("raw").to_pylist() == texts
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", TEXTS)
+def test_texts_equal_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    assert rows_of(catalogue.QUERIES[name](spark, DATA).collect()) == rows_of(con.execute(catalogue.SQL[name]).fetchall())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
