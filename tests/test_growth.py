@@ -100,7 +100,7 @@ def sizes_of(run, batch):
     return max(b.num_rows for b in out), max(b.nbytes for b in out), pa.Table.from_batches(out)
 
 
-TEXTS = ["xisb_roundtrip", "zlib_roundtrip"]
+TEXTS = ["xisb_roundtrip", "zlib_roundtrip", "lz4_roundtrip"]
 
 
 @pytest.mark.parametrize("name", TEXTS)
