@@ -21,7 +21,6 @@ from skylattice.sources import columns
 
 #: Rows of a decoded table in one Arrow batch.
 ROWS = 16_384
-
 #: Rows, and bytes, that kernels which hold Python values or whole files take at a time; and bytes of a batch that Spark sends them.
 STEP_ROWS, STEP_BYTES, BATCH_BYTES = 256, 4 << 20, 16 << 20
 
@@ -62,26 +61,33 @@ def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, size)
 
 
+def _weight(row: dict) -> int:
+    """Bytes that a row's arrays, texts and lists hold, about."""
+    return sum(v.nbytes if isinstance(v, np.ndarray) else 8 * len(v) if isinstance(v, list) else len(v) for v in row.values() if isinstance(v, np.ndarray | bytes | str | list))
+
+
 def _emit(files: DataFrame, schema: str | T.StructType, rows: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
     """Rows that ``rows(path, content)`` gives for each file; null contents give none."""
     kind = schema_of(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        weight = 0
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 if not content.is_valid:
                     continue
-                held: list[dict] = []
                 for row in rows(path.as_py(), content.as_py()):
                     held.append(row)
-                    if len(held) >= 256:
+                    weight += _weight(row)
+                    if len(held) >= STEP_ROWS or weight >= STEP_BYTES:
                         yield pa.RecordBatch.from_pylist(held, arrow)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, arrow)
+                        held, weight = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return files.select("path", "content").mapInArrow(run, kind)
+    return bounded(files.select("path", "content")).mapInArrow(run, kind)
 
 
 def hdu_row(path: str, h: fits.Hdu) -> dict:
@@ -200,10 +206,10 @@ def write_images(df: DataFrame, bitpix: int, bscale: float | None = None, bzero:
     """(path, content): a file per row (path, width, height, depth, pixels); pixels are stored as given, or tile by tile with a codec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             out = []
-            for r in batch.to_pylist():
-                x = np.array(r["pixels"]).reshape((r["depth"], r["height"], r["width"]) if r["depth"] > 1 else (r["height"], r["width"]))
+            for width, height, depth, pixels in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "depth")), batch.column("pixels"), strict=True):
+                x = pixels.values.to_numpy(zero_copy_only=False).reshape((depth, height, width) if depth > 1 else (height, width))
                 if codec:
                     data = fits.write([fits.empty_primary(), tiles.image_hdu(x.astype(np.int64), codec, bitpix, tile)])
                 else:
@@ -211,7 +217,7 @@ def write_images(df: DataFrame, bitpix: int, bscale: float | None = None, bzero:
                 out.append(data)
             yield pa.record_batch([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
-    return df.select("path", "width", "height", "depth", "pixels").mapInArrow(run, "path string, content binary")
+    return bounded(df.select("path", "width", "height", "depth", "pixels")).mapInArrow(run, "path string, content binary")
 
 
 SER_FILES = (
@@ -277,10 +283,10 @@ def write_xisf_images(df: DataFrame, sample_format: str, bounds: tuple[float, fl
     from skylattice.formats import xisf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             paths, out = [], []
-            for r in batch.to_pylist():
-                x = np.array(r["pixels"]).astype(xisf.SAMPLES[sample_format]).reshape(-1, r["height"], r["width"])
+            for r, pixels in zip(batch.drop_columns(["pixels"]).to_pylist(), batch.column("pixels"), strict=True):
+                x = pixels.values.to_numpy(zero_copy_only=False).astype(xisf.SAMPLES[sample_format]).reshape(-1, r["height"], r["width"])
                 keywords = [(k["name"], k["value"], k["comment"]) for k in r.get("keywords") or ()]
                 elements = {k: {a: [float(n) for n in b.split(":")] if ":" in b else b for a, b in v} for k, v in r.get("elements") or ()}
                 image = xisf.Image([r["width"], r["height"], len(x)], sample_format, bounds=bounds, data=x.tobytes(), keywords=keywords, elements=elements, id="main")
@@ -293,7 +299,7 @@ def write_xisf_images(df: DataFrame, sample_format: str, bounds: tuple[float, fl
                     paths.append(r["path"])
             yield pa.record_batch([pa.array(paths, pa.string()), pa.array(out, pa.binary())], ["path", "content"])
 
-    return df.mapInArrow(run, "path string, content binary")
+    return bounded(df).mapInArrow(run, "path string, content binary")
 
 
 def write_zip(files: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import os
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -124,3 +125,22 @@ def test_texts_equal_sql(spark, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
     assert rows_of(catalogue.QUERIES[name](spark, DATA).collect()) == rows_of(con.execute(catalogue.SQL[name]).fetchall())
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
+
+
+def test_images_are_held_a_few_at_a_time(spark):
+    """Writers and readers of files yield bounded batches, whatever they get in one; small files share a batch."""
+    from skylattice.sources import arrow
+
+    n, side = 600, 64
+    kernels = Kernels(spark)
+    arrow.write_images(kernels, -64)
+    arrow.read_frames(kernels)
+    pixels = np.arange(n * side * side, dtype=np.float64).reshape(n, -1)
+    whole = [np.full(n, k, np.int32) for k in (side, side, 1)]
+    images = pa.record_batch([pa.array(map(str, range(n))), *map(pa.array, whole), pa.array(list(pixels))], ["path", "width", "height", "depth", "pixels"])
+    rows, size, files = sizes_of(kernels.runs[0], images)
+    assert rows <= 256 and size <= 10 << 20
+    rows, size, frames = sizes_of(kernels.runs[1], files.combine_chunks().to_batches()[0])
+    assert 16 <= rows <= 256 and size <= 10 << 20
+    assert frames.column("path").to_pylist() == [str(i) for i in range(n)]
+    assert np.array_equal(np.concatenate([c.values.to_numpy() for c in frames.column("pixels").combine_chunks()]), pixels.ravel())
