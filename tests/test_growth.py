@@ -66,7 +66,12 @@ def tasks_of(frame):
 def one_task(spark, tmp_path_factory):
     """Tables of one partition each, as small files are."""
     d = str(tmp_path_factory.mktemp("one_task"))
-    spark.range(3000).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    columns = {
+        "orders": ["id AS o_orderkey"], "customer": ["id AS c_custkey", "'name ' || id AS c_name", "'BUILDING' AS c_mktsegment"],
+        "part": ["id AS p_partkey", "'part <' || id || '> & \"é\"' AS p_name", "CAST(id % 50 + 1 AS INT) AS p_size", "id + 0.5D AS p_retailprice"],
+    }
+    for name, some in columns.items():
+        spark.range(3000).selectExpr(*some).coalesce(1).write.parquet(f"{d}/{name}.parquet")
     assert tasks_of(catalogue.table(spark, d, "orders")) == 1
     return d
 
@@ -144,3 +149,53 @@ def test_images_are_held_a_few_at_a_time(spark):
     assert 16 <= rows <= 256 and size <= 10 << 20
     assert frames.column("path").to_pylist() == [str(i) for i in range(n)]
     assert np.array_equal(np.concatenate([c.values.to_numpy() for c in frames.column("pixels").combine_chunks()]), pixels.ravel())
+
+
+def test_a_unit_s_header_is_written_once(monkeypatch):
+    """Positions of attachments are put into the written header; it is the one that the library's writer gives."""
+    import xml.etree.ElementTree as ET
+
+    from skylattice.formats import xisf
+
+    odd = "a & <b> \"c\" 'd' é \U0001d54f\r\n\t"
+    properties = [xisf.Property("P:s", "String", odd, odd), xisf.Property("P:e", "String", ""), *(xisf.Property(f"P:{i}", "F64Vector", [float(i)] * (40 * i + 1)) for i in range(40))]
+    unit = xisf.Unit(properties=properties, images=[xisf.Image([3, 2, 1], "UInt8", data=b"abcdef", id=odd, keywords=[("A", odd, odd)])])
+    calls, real = [], xisf._xml
+    monkeypatch.setattr(xisf, "_xml", lambda e: calls.append(ET.tostring(e)) or real(e))
+    for align in (1, 4096):
+        calls.clear()
+        back = xisf.read(xisf.write(unit, max_inline=16, alignment=align))
+        assert len(calls) == 1
+        assert [(p.id, p.value) for p in back.properties[2:]] == [(p.id, p.value) for p in properties[2:]] and back.images[0].data == b"abcdef"
+        assert back.images[0].keywords == [("A", odd, odd)]
+    root = ET.fromstring(calls[0])
+    root.tag, e = "xisf", ET.SubElement(root, "New", {"k": odd})
+    e.text = odd
+    for x in root.iter():
+        x.tag = x.tag.rpartition("}")[2]
+    assert real(root) == ET.tostring(root)
+
+
+def test_folders_of_many_units_are_listed_by_tasks(tmp_path, monkeypatch):
+    """The driver sees the folders' names alone; every unit is read once, those beside the folders, too."""
+    from pyspark.sql import types as T
+
+    from skylattice.formats import xisf
+    from skylattice.sources import datasource
+
+    monkeypatch.setattr(datasource, "FOLDERS", 70)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("id", T.StringType())])
+    unit = xisf.write_distributed(xisf.Unit(properties=[xisf.Property("P:v", "F64Vector", [1.0, 2.0])]), max_inline=0)
+    for i in range(150):
+        (tmp_path / f"[{i}]" / "deep").mkdir(parents=True)
+        (tmp_path / f"[{i}]/deep/unit.xish").write_bytes(unit[0])
+        (tmp_path / f"[{i}]/deep/blocks.xisb").write_bytes(unit[1])
+    (tmp_path / "top.xisf").write_bytes(xisf.write(xisf.Unit(properties=[xisf.Property("P:a", "Int32", 1)])))
+    (tmp_path / "_left.xisf").write_bytes(b"")
+    reader = datasource._XisfReader({"path": str(tmp_path), "view": "properties"}, schema)
+    with monkeypatch.context() as m:
+        m.setattr(os, "walk", lambda *_: pytest.fail("the driver walks the folders"))
+        parts = reader.partitions()
+    assert max(len(p.names) for p in parts if isinstance(p, datasource.Folders)) <= 70 and len(parts) > 64
+    found = [x["path"] for p in parts for b in reader.read(p) for x in b.to_pylist()]
+    assert sorted(found) == sorted([str(tmp_path / f"[{i}]/deep/unit.xish") for i in range(150)] + [str(tmp_path / "top.xisf")])
