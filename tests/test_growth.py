@@ -76,7 +76,7 @@ def one_task(spark, tmp_path_factory):
     return d
 
 
-SPREAD = ["header_line_cap"]
+SPREAD = ["header_line_cap", "xisf_properties_view"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
