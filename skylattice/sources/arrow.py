@@ -341,11 +341,11 @@ XISF_PROPERTIES = f"path string, scope string, image int, id string, type string
 XISF_CELLS = f"path string, table_id string, row int, pos int, field_id string, type string, {_VALUES}"
 XISF_KEYWORDS = "path string, image int, name string, value string, comment string"
 XISF_ELEMENTS = "path string, image int, element string, values map<string,string>, data binary"
-_XISF_VIEWS = {"images": XISF_IMAGES, "properties": XISF_PROPERTIES, "cells": XISF_CELLS, "keywords": XISF_KEYWORDS, "elements": XISF_ELEMENTS}
+_XISF_VIEWS = {"images": XISF_IMAGES, "properties": XISF_PROPERTIES, "cells": XISF_CELLS, "keywords": XISF_KEYWORDS, "elements": XISF_ELEMENTS, "described": XISF_ELEMENTS}
 
 
 def read_xisf(files: DataFrame, view: str = "images", strict: bool = True, verify: bool = True, decode_images: bool = True, blocks: DataFrame | None = None, signature_policy: str = "require") -> DataFrame:
-    """images, properties, cells, keywords or elements (an image's descriptive ones) of XISF units.
+    """images, properties, cells, keywords, elements (an image's descriptive ones) or described (those and the keywords, as elements) of XISF units.
 
     ``blocks`` are the files (path, content) in which distributed units keep their data: a header
     file of folder f finds ``path(@header_dir/name)`` as f/name, and other targets by their whole
@@ -406,6 +406,8 @@ def _xisf_rows(view: str, strict: bool, verify: bool, decode_images: bool, signa
                 for name, values in x.elements.items():
                     some = {k: ":".join(f"{n:g}" for n in v) if isinstance(v, list) else f"{v:g}" if isinstance(v, float) else str(v) for k, v in values.items() if k != "data" and v is not None}
                     yield {"path": path, "image": i, "element": name, "values": some, "data": values.get("data")}
+                for name, value, comment in x.keywords if view == "described" else ():
+                    yield {"path": path, "image": i, "element": "FITSKeyword", "values": {"name": name, "value": value, "comment": comment}, "data": None}
 
     return rows
 
