@@ -160,7 +160,7 @@ def header_verify_issues(spark, d):
             names = ["p_partkey", "level", "code", "key"]
             yield pa.record_batch([pa.array([r[i] for r in out], pa.int64() if i == 0 else pa.string()) for i in range(4)], names)
 
-    return table(spark, d, "part").select("p_partkey").mapInArrow(run, "p_partkey long, level string, code string, key string")
+    return arrow.spread(table(spark, d, "part").select("p_partkey"), "p_partkey").mapInArrow(run, "p_partkey long, level string, code string, key string")
 
 
 @query("SELECT n, (2880 - n % 2880) % 2880 AS pad FROM (SELECT DISTINCT l_orderkey AS n FROM lineitem)")
@@ -599,7 +599,7 @@ def xisf_compression_parse(spark, d):
 
 @query("SELECT p_partkey, p_name, p_size, round(p_retailprice, 2) AS price FROM part")
 def xisf_table_cells(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("int"), "p_retailprice")
+    rows = arrow.spread(table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("int"), "p_retailprice"), "p_partkey")
     cells = arrow.read_xisf(arrow.write_xisf_tables(rows, "PARTS", ["UInt64", "String", "Int32", "Float64"]), "cells")
     of = lambda name, c: F.max(F.when(F.col("field_id") == name, F.col(c)))
     wide = cells.groupBy("path", "row").agg(
@@ -728,4 +728,4 @@ def hips_properties_validate(spark, d):
             bad, missing = ([x in f for f in found] for x in (("INVALID_PROPERTY", "hips_tile_width"), ("MISSING_PROPERTY", "obs_title")))
             yield pa.record_batch([batch.column(0), pa.array(bad), pa.array(missing)], ["p_partkey", "bad_width", "missing_title"])
 
-    return table(spark, d, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, bad_width boolean, missing_title boolean")
+    return arrow.spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").mapInArrow(run, "p_partkey long, bad_width boolean, missing_title boolean")

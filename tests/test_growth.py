@@ -76,7 +76,7 @@ def one_task(spark, tmp_path_factory):
     return d
 
 
-SPREAD = ["header_line_cap", "xisf_properties_view", "xisf_image_elements"]
+SPREAD = ["header_line_cap", "ser_header_fields", "xisf_properties_view", "xisf_image_elements"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
